@@ -261,10 +261,13 @@ def _across(left: DataFrame, signatures: DataFrame, threshold: float) -> DataFra
 
 
 def distinct_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, one for each kept document."""
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """The rows of docs that near_duplicates() keeps, one for each kept document; rows without an id all stay.
+
+    Join and deduplication have the same key, so the texts are shuffled once."""
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.withColumn("_kept_id", F.col(id_col).cast("long"))
+    once = rows.where("_kept_id is not null").join(kept, "_kept_id", "left_semi").dropDuplicates(["_kept_id"])
+    return once.select(*docs.columns).unionByName(rows.where("_kept_id is null").select(*docs.columns))
 
 
 __all__ = ["distinct_groups", "near_duplicates", "shingle_hashes", "superminhash"]
