@@ -5,10 +5,11 @@
 2. A SuperMinHash signature of each set: every shingle deals correlated ranks 0, 1, 2, ... along its
    own random permutation of the components, and stops as soon as no component can get smaller.
 3. Banding: classes that agree in all components of a band share a bucket.
-4. Each class is compared with the centre of each of its buckets (another one in each band). Signatures rule
-   out pairs that are far below the threshold, and the rest are verified on full sets. Verified pairs are grouped.
+4. Each class is compared with the centres of its buckets; a group's buckets mostly have the same few. Signatures
+   rule out pairs that are far below the threshold, and the rest are verified on full sets. Verified pairs are grouped.
 5. Buckets that still hold several groups compare their classes across groups, in a grid of bounded
-   chunks, so no link between groups is lost; pairs inside a group can't change the result and are not made.
+   chunks, so no link between groups is lost; a pair comes from the first bucket that both share, and pairs
+   inside a group can't change the result and are not made.
 
 With 32 bands of 4 components a pair at similarity 0.8 misses every band with probability 5e-8.
 
@@ -109,23 +110,26 @@ def _signed(size: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 fp = [np.array([int(mix(s ^ U(salt)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64) for salt in (0x1B873593, 0x85EBCA6B)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(fp[0]), pa.array(fp[1]), pa.array([x.tobytes() for x in byte], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(fp[0]), pa.array(fp[1]), pa.array([x.tobytes() + k.tobytes() for x, k in zip(byte, (keys >> U(32)).astype(np.uint32), strict=True)], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
                 )
 
     return run
 
 
-def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Share of equal signature bytes in each row."""
-    x, y = (common.texts(c)[0] for c in (a, b))
-    return (x == y).reshape(len(a), -1).mean(1) if len(a) else np.empty(0)
+def _signature_bytes(column, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row a byte for each of the m components, and the upper halves of its band keys."""
+    both = common.texts(column)[0].reshape(len(column), -1)
+    return both[:, :m], np.ascontiguousarray(both[:, m:]).view(np.uint32)
 
 
-def _near(threshold: float):
+def _near(threshold: float, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _alike(batch.column("sig_a"), batch.column("sig_b")) >= threshold - FAR
+            if not batch.num_rows:
+                continue
+            x, y = (_signature_bytes(batch.column(c), m)[0] for c in ("sig_a", "sig_b"))
+            keep = (x == y).mean(1) >= threshold - FAR
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
 
     return run
@@ -147,8 +151,9 @@ class _Verifier:
     def __init__(self, docs: DataFrame, reps: DataFrame, size: int, percent: int):
         self.docs, self.reps, self.size, self.percent = docs, reps, size, percent
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the ids, staged."""
+        ids = ids.distinct()
         words, size = self.docs.sparkSession.sparkContext.broadcast(_bit_filter(ids)), self.size
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
@@ -171,7 +176,7 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        sets = self.sets(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
         def verify(batches):
             for batch in batches:
@@ -198,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
     signatures = classes.select("id", "sig")
-    near = _near(percent / 100)
+    near = _near(percent / 100, bands * rows)
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose signatures are near enough."""
@@ -206,8 +211,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
         return both.select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
 
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    # the centre of a bucket is its member with the smallest hash, salted by the band
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id")).alias("centre")).where("n > 1")
+    # the centre of a bucket is its member with the smallest hash, the same for all bands that a group shares
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("centre")).where("n > 1")
     members = stage(members.join(buckets.select("band", "key", "n", F.col("centre.id").alias("centre")), ["band", "key"]), "members")
 
     star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -221,12 +226,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     left = grouped(members.select("id", "band", "key", "n"))
     several = left.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
     left = stage(left.join(several, ["band", "key"]), "left")
-    rest = _across(left, signatures, percent / 100)
-    tried = star.select("a", "b")
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verify(rest)
-        groups = stage(connected_components(links.unionByName(more)), "groups")
+    members_left = _promising_members(left, signatures, percent / 100, bands * rows)
+    members_left = stage(members_left, "promising")
+    if not members_left.isEmpty():
+        more = _verified_across(members_left, verify.sets(members_left.select("id")), percent, percent / 100, bands * rows)
+        groups = stage(connected_components(links.unionByName(stage(more, "links"))), "groups")
 
     reps = classes.select("fp1", "fp2", "n_shingles", "id")
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(grouped(reps).select("fp1", "fp2", "n_shingles", "component"), ["fp1", "fp2", "n_shingles"], "left")
@@ -234,30 +238,74 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(left: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose signatures are near: a grid of chunks of CHUNK members."""
+def _candidates(table: pa.Table, threshold: float, m: int):
+    """For each class i of the first chunk of a grid cell (i, classes j of the second): pairs of different groups whose
+    signatures are near, and whose first shared band is the cell's."""
+    ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+    sig, keys = _signature_bytes(table.column("sig"), m)
+    chunk, band = table.column("chunk").to_numpy(), table.column("band")[0].as_py()
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    cols = np.flatnonzero(chunk == y)
+    for i in np.flatnonzero(chunk == x):
+        js = cols[(component[cols] != component[i]) & ((ids[cols] > ids[i]) if x == y else True)]
+        js = js[(sig[js] == sig[i]).mean(1) >= threshold - FAR] if len(js) else js
+        js = js[(keys[js] == keys[i]).argmax(1) == band] if len(js) else js
+        if len(js):
+            yield int(i), js
+
+
+_CELL = "band int, key long, x int, y int, id long, component long, sig binary, chunk int"
+
+
+def _promising_members(left: DataFrame, signatures: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Members of buckets that hold several groups, dealt into a grid of chunks of CHUNK members; of each cell, those
+    that are near a member of another group. A row for each member and cell, however many pairs there are."""
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     rows = left.join(signatures, "id").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), chunks).cast("int"))
     rows = rows.select("band", "key", "id", "component", "sig", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    rows = rows.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
+    rows = rows.select("band", "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "component", "sig", "chunk")
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
-        sig = common.texts(table.column("sig"))[0].reshape(len(ids), -1)
-        chunk = table.column("chunk").to_numpy()
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        cols = np.flatnonzero(chunk == y)
+        hit = np.zeros(table.num_rows, bool)
+        for i, js in _candidates(table, threshold, m):
+            hit[i] = True
+            hit[js] = True
+        return table.filter(pa.array(hit))
+
+    return rows.groupBy("band", "key", "x", "y").applyInArrow(meet, _CELL)
+
+
+def _verified_across(members: DataFrame, sets: DataFrame, percent: int, threshold: float, m: int) -> DataFrame:
+    """Links (a, b) between groups, verified in their grid cell on full sets; a pair whose groups have been linked in the
+    cell before is left out, as it can't change the components."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_pylist()
+        full = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
+        parent = {c: c for c in component}
+
+        def find(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
         a, b = [], []
-        for i in np.flatnonzero(chunk == x):
-            js = cols[(component[cols] != component[i]) & ((ids[cols] > ids[i]) if x == y else True)]
-            if len(js):
-                js = js[(sig[js] == sig[i]).mean(1) >= threshold - FAR]
-                a.append(np.minimum(ids[i], ids[js]))
-                b.append(np.maximum(ids[i], ids[js]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+        for i, js in _candidates(table, threshold, m):
+            for j in js.tolist():
+                p, q = find(component[i]), find(component[j])
+                if p == q:
+                    continue
+                both = np.concatenate([full[i], full[j]])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.join(sets, "id").select("band", "key", "x", "y", "id", "component", "sig", "chunk", "shingles").groupBy("band", "key", "x", "y").applyInArrow(verify, "a long, b long")
 
 
 def distinct_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
