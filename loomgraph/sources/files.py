@@ -58,10 +58,10 @@ def ignored(path: Column | str, dirs: tuple[str, ...] = (), globs: tuple[str, ..
     return out
 
 
-@F.pandas_udf("string")
-def sniff(head: pd.Series) -> pd.Series:
-    """The compressed format that content starts as, or null."""
-    return head.map(lambda b: next((k for k, m in MAGIC.items() if b is not None and bytes(b[:8]).startswith(m)), None))
+def sniff(content: Column | str) -> Column:
+    """The compressed format that binary content starts as, or null."""
+    head = F.hex(F.substring(content, 1, 8))
+    return F.coalesce(*(F.when(F.startswith(head, F.lit(magic.hex().upper())), F.lit(kind)) for kind, magic in MAGIC.items()))
 
 
 def verified(content: Column, sha256: Column) -> Column:
