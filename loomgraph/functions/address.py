@@ -94,7 +94,8 @@ def format_address(package: Column, name: Column, args: Column | None = None) ->
     text = F.concat(F.lit("//"), package, F.lit(":"), name)
     if args is None:
         return text
-    pairs = F.array_sort(F.transform(F.map_entries(args), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))))
+    shown = lambda v: F.when(v.rlike('[, |"]'), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
+    pairs = F.array_sort(F.transform(F.map_entries(args), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), shown(e["value"])))))
     return F.when(F.size(args) > 0, F.concat(text, F.lit("@"), F.array_join(pairs, ","))).otherwise(text)
 
 

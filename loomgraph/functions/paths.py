@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -130,9 +131,8 @@ def glob_base(pattern: Column | str) -> Column:
 
 
 def literal_prefix(pattern: str) -> str:
-    """As glob_base, for a pattern that is known at plan time; a path to start a walk from."""
-    head = re.match(r"[^*?\[{]*", pattern)[0]
-    return pattern if head == pattern else head.rpartition("/")[0]
+    """The leading components of a pattern that hold no glob characters: where a walk starts. A literal pattern is its own."""
+    return "/".join(itertools.takewhile(lambda piece: not re.search(r"[*?\[\]{}<>\\,]", piece), pattern.split("/")))
 
 
 def bit_bucket(value: Column | str) -> Column:
@@ -146,19 +146,25 @@ def bucket_upper(bucket: Column) -> Column:
     return F.when(bucket <= 0, F.lit(0).cast("long")).otherwise((F.pow(F.lit(2.0), bucket) - 1).cast("long"))
 
 
-def human_elapsed(ms: Column | str) -> Column:
-    """1h02m03s, 2m03s or 3.4s."""
+def human_elapsed(ms: Column | str, millis: bool = False) -> Column:
+    """The two largest units: 12s (12.345s with millis), 1m05s, 1h05m, 2d03h. From a minute on it is padded to 6 characters."""
     ms = _col(ms).cast("long")
     s = F.floor(ms / 1000)
-    h, m, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
-    return F.when(s >= 3600, F.format_string("%dh%02dm%02ds", h, m, rest)).when(s >= 60, F.format_string("%dm%02ds", m, rest)).otherwise(F.format_string("%.1fs", ms / 1000))
+    under = F.format_string("%d.%03ds", s, ms % 1000) if millis else F.format_string("%ds", s)
+    units = [(60, "m", 1, "s"), (3600, "h", 60, "m"), (86_400, "d", 3600, "h")]
+    shown = [F.format_string(f"%d{big}%02d{small}", F.floor(s / a), F.floor(s % a / b)) for a, big, b, small in units]
+    over = F.when(s < 3600, shown[0]).when(s < 86_400, shown[1]).otherwise(shown[2])
+    return F.when(s < 60, under).otherwise(F.lpad(over, F.greatest(F.length(over), F.lit(6)), F.lit(" ")))
 
 
 def compression_for(size: Column, precompressed: Column) -> Column:
     return F.when((size >= 1024) & ~precompressed, F.lit("gzip")).otherwise(F.lit("none"))
 
 
-def key_segment(text: Column | str, most: int = 64) -> Column:
-    """A cache key segment: plain if it is short and harmless, else a hash of it."""
+def key_segment(text: Column | str, most: int = 96) -> Column:
+    """A segment of an object key: the text itself if it is short and harmless, else a harmless form of it with a hash of
+    the text behind '--', so that different texts never share a segment."""
     text = _col(text)
-    return F.when(text.rlike(r"^[A-Za-z0-9._-]+$") & (F.length(text) <= most) & ~text.isin(".", ".."), text).otherwise(F.concat(F.lit("h_"), F.substring(F.sha2(text, 256), 1, 32)))
+    plain = text.rlike(r"^[A-Za-z0-9._@=,-]+$") & (F.length(text) <= most) & ~text.isin(".", "..") & ~F.contains(text, F.lit("--"))
+    safe = F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._@=,-]", "_"), 1, most)
+    return F.when(plain, text).otherwise(F.concat(safe, F.lit("--"), F.substring(F.sha2(text, 256), 1, 16)))

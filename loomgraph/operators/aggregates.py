@@ -28,13 +28,16 @@ def life_records(events: DataFrame) -> DataFrame:
         F.min(F.when(starts, F.col("at_ms"))).alias("started_ms"),
         F.max(F.when(ended, F.col("at_ms"))).alias("ended_ms"),
         F.max(F.when(ended, F.col("error"))).alias("failed"),
+        F.count_if(ended & F.col("error").isNotNull() & F.col("upstream_of").isNotNull()).alias("blocked"),
+        F.max(ended & F.col("error").isNotNull() & F.col("upstream_of").isNull()).alias("own_failure"),
         F.count_if(F.col("type") == "local_miss").alias("miss_local"),
         F.count_if(F.col("type") == "remote_miss").alias("miss_remote"),
     )
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """One row of totals, with the hit rate cached / (cached + executed misses); null without any."""
+    """One row of totals: executions, hits, misses, results blocked by another failure, and targets that failed by themselves; with
+    the hit rate cached / (cached + missed), null if the caches were never asked."""
     r = life_records(events)
     totals = r.agg(
         F.coalesce(F.sum("executed_ok"), F.lit(0)).alias("executed"),
@@ -42,16 +45,18 @@ def counters(events: DataFrame) -> DataFrame:
         F.count_if(F.col("cached") == "remote_hit").alias("cached_remote"),
         F.coalesce(F.sum("miss_local"), F.lit(0)).alias("miss_local"),
         F.coalesce(F.sum("miss_remote"), F.lit(0)).alias("miss_remote"),
-        F.count("failed").alias("failed"),
+        F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"),
+        F.count_distinct(F.when(F.col("own_failure"), F.col("addr"))).alias("roots"),
     )
     cached = F.col("cached_local") + F.col("cached_remote")
-    return totals.withColumn("hit_rate", F.try_divide(cached.cast("double"), cached + F.col("miss_local")))
+    return totals.withColumn("hit_rate", F.try_divide(cached.cast("double"), cached + F.col("miss_local") + F.col("miss_remote")))
 
 
 def misses_by_package(events: DataFrame, most: int | None = None) -> DataFrame:
-    """(package, misses) of local misses, most first; remote misses accompany local ones and don't count."""
+    """(package, misses) of local misses; remote misses accompany local ones and don't count. With most, the first of them in
+    order of misses, and the number of all packages."""
     found = events.where("type = 'local_miss'").groupBy(paths.package_of("addr").alias("package")).agg(F.count("*").alias("misses"))
-    return found if most is None else found.orderBy(F.desc("misses"), "package").limit(most)
+    return found if most is None else found.orderBy(F.desc("misses"), "package").limit(most).join(found.agg(F.count("*").alias("n_packages")))
 
 
 def blocked_by_root(events: DataFrame) -> DataFrame:
@@ -80,12 +85,33 @@ def slowest(events: DataFrame, most: int = 20) -> DataFrame:
     return r.select("addr", (F.col("ended_ms") - F.col("started_ms")).alias("duration_ms")).orderBy(F.desc("duration_ms"), "addr").limit(most)
 
 
-def running_over(spans: DataFrame, now_ms: int, threshold_ms: int, most: int = 10) -> DataFrame:
-    """Open spans (addr, phase, since_ms) of at least the threshold, longest first, with their number; background phases don't count."""
-    over = spans.where("phase <> 'remote_cache_write'").withColumn("elapsed_ms", F.lit(now_ms) - F.col("since_ms")).where(F.col("elapsed_ms") >= threshold_ms)
+def running_over(spans: DataFrame, now_ms: int, threshold_ms: int, most: int = 10, strict: bool = False) -> DataFrame:
+    """Open spans (addr, phase, since_ms) of at least (strict: over) the threshold, longest first, with their number; background
+    phases don't count."""
+    elapsed = F.col("elapsed_ms")
+    over = spans.where("phase <> 'remote_cache_write'").withColumn("elapsed_ms", F.lit(now_ms) - F.col("since_ms")).where(elapsed > threshold_ms if strict else elapsed >= threshold_ms)
     return over.orderBy(F.desc("elapsed_ms"), "addr").limit(most).join(over.agg(F.count("*").alias("n_over")))
 
 
+def lock_waits(events: DataFrame, now_ms: int, threshold_ms: int, most: int = 10) -> DataFrame:
+    """(addr, since_ms, n_over): targets that have waited for their lock for the threshold or longer, longest first, with their number."""
+    last = events.where("type in ('lock_wait_start', 'lock_wait_end')").groupBy("addr").agg(F.max_by(F.struct("type", F.col("at_ms").alias("since_ms")), F.struct("at_ms", "seq")).alias("w"))
+    over = last.where("w.type = 'lock_wait_start'").select("addr", "w.since_ms").where(F.lit(now_ms) - F.col("since_ms") >= threshold_ms)
+    return over.orderBy("since_ms", "addr").limit(most).join(over.agg(F.count("*").alias("n_over")))
+
+
+def elapsed(events: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """One row elapsed_ms: from the first event to the last, or to now while the stream is open; 0 without events."""
+    end = F.max("at_ms") if now_ms is None else F.greatest(F.max("at_ms"), F.lit(now_ms))
+    return events.agg(F.coalesce(F.greatest(end - F.min_by("at_ms", "seq"), F.lit(0)), F.lit(0)).alias("elapsed_ms"))
+
+
+def seen_counts(events: DataFrame) -> DataFrame:
+    """(done, total) over every target that was seen: the total grows as dependencies come in."""
+    results = events.where("type in ('result_start', 'result_end')").groupBy("addr").agg(F.max(F.col("type") == "result_end").alias("ended"))
+    return results.agg(F.count_if("ended").alias("done"), F.count("*").alias("total"))
+
+
 def operation_times(spans: DataFrame, order: list[str], least_ms: int = 1000) -> DataFrame:
     """(addr, op, total_ms, place): summed time by operation, without short ones, in the order of the pipeline."""
     total = spans.groupBy("addr", "op").agg(F.sum("ms").alias("total_ms")).where(F.col("total_ms") >= least_ms)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators.selection import first_by
 from loomgraph.operators.staging import stage
 
+#: The input that stands for the outputs of its own target.
+OWN_OUTPUTS = "//@introspect:outputs"
 #: Levels after which an iteration is taken for endless.
 MOST_LEVELS = 10_000
 
@@ -94,8 +96,9 @@ def cyclic(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def expand_groups(inputs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Inputs with transparent targets replaced by their members, at any depth. Place, mode, origin and flags are those of the
-    first input; annotations are merged, those of members first. ValueError for a group that holds itself."""
+    """Inputs with transparent targets replaced by their members, at any depth; `order` is the path of places that leads to
+    each. A member that is reached twice is there twice. Mode, origin and flags are those of the input that names the
+    group; annotations are merged, those of members first. ValueError for a group that holds itself."""
     groups = targets.where("transparent").select(F.col("addr").alias("group_addr")).distinct()
     members = inputs.join(groups, F.col("addr") == F.col("group_addr"), "left_semi").select(F.col("addr").alias("group_addr"), F.col("dep_addr").alias("member"), F.col("pos").alias("member_pos"), F.col("annotations").alias("member_notes"))
     members = stage(members, "members")
@@ -107,8 +110,7 @@ def expand_groups(inputs: DataFrame, targets: DataFrame) -> DataFrame:
         out = plain if out is None else out.unionByName(plain)
         open_ = stage(now.join(groups, is_group, "left_semi"), "open")
         if open_.isEmpty():
-            kept = first_by(out, ["addr", "dep_addr", "mode", "origin_id"], ["order"])
-            return kept.drop("via")
+            return out.drop("via")
         if not open_.where(F.array_contains("via", F.col("dep_addr"))).isEmpty():
             raise ValueError("a group is a member of itself")
         inner = open_.join(members, F.col("dep_addr") == F.col("group_addr"))
@@ -118,27 +120,44 @@ def expand_groups(inputs: DataFrame, targets: DataFrame) -> DataFrame:
     raise RuntimeError("expansion does not end")
 
 
-def introspect(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Inputs named 'outputs' become one file or glob input for each declared output of their target, each once."""
-    magic = inputs.where("output = 'outputs'").select("addr", "pos", "dep_addr")
-    made = magic.join(outputs.withColumnRenamed("addr", "dep_addr").withColumnRenamed("pos", "out_pos"), "dep_addr")
-    source = F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "path")).otherwise(F.concat(F.lit("glob:"), "path"))
-    return made.select("addr", source.alias("source"), "pos").groupBy("addr", "source").agg(F.min("pos").alias("pos"))
-
-
-def link(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Runtime inputs with the paths of the output group they name, or an error: a missing group, or a tool that isn't one file."""
-    named = inputs.where("runtime").select("addr", "pos", "dep_addr", "mode", F.coalesce("output", F.lit("")).alias("wanted"))
-    files = outputs.groupBy(F.col("addr").alias("dep_addr"), F.col("group").alias("wanted")).agg(F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("found"), F.count_if(F.col("kind") == "file").alias("n_files"))
-    linked = named.join(files, ["dep_addr", "wanted"], "left")
-    error = F.when(F.col("found").isNull(), F.lit("missing group")).when((F.col("mode") == "tool") & ((F.col("n_files") != 1) | (F.size("found") != 1)), F.lit("tool needs exactly one file"))
-    return linked.select("addr", "pos", "dep_addr", "wanted", F.transform("found", lambda f: f["path"]).alias("paths"), error.alias("error"))
+def introspect(inputs: DataFrame, outputs: DataFrame, magic: str = OWN_OUTPUTS) -> DataFrame:
+    """(addr, pos, out_pos, dep_addr): inputs on `magic` become a file or glob input for each output that their target
+    declares, each once; the others stay as they are."""
+    own = inputs.where(F.col("dep_addr") == magic).select("addr", "pos")
+    bare = F.regexp_replace("path", "/+$", "")
+    source = F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "path")).when(F.col("kind") == "dir", F.concat(F.lit("glob:"), bare, F.lit("/**/*"))).otherwise(F.concat(F.lit("glob:"), "path"))
+    made = own.join(outputs.select("addr", F.col("pos").alias("out_pos"), source.alias("dep_addr")), "addr")
+    made = made.groupBy("addr", "pos", "dep_addr").agg(F.min("out_pos").alias("out_pos"))
+    rest = inputs.where(F.col("dep_addr") != magic).select("addr", "pos", F.lit(None).cast("int").alias("out_pos"), "dep_addr")
+    return rest.unionByName(made)
+
+
+def link(inputs: DataFrame, outputs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Runtime inputs with the output groups that they select: (addr, pos, dep_addr, group, paths, error), a row for each group.
+
+    An input that names no group selects all of its target; without any it keeps one row with a null group. Errors: a named
+    group that isn't there, a tool whose group isn't exactly one file, and, if targets are given, an unknown target."""
+    named = inputs.where("runtime").select("addr", "pos", "dep_addr", "mode", F.col("output").alias("wanted"))
+    groups = outputs.groupBy(F.col("addr").alias("made_by"), "group").agg(F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("found"), F.count_if(F.col("kind") == "file").alias("n_files"))
+    picked = (F.col("dep_addr") == F.col("made_by")) & (F.col("wanted").isNull() | (F.col("wanted") == F.col("group")))
+    linked = named.join(groups, picked, "left")
+    lost = F.col("wanted").isNotNull() & F.col("made_by").isNull()
+    error = F.when(lost, F.lit("missing group")).when((F.col("mode") == "tool") & (F.col("n_files") != 1), F.lit("tool needs exactly one file"))
+    if targets is not None:
+        known = targets.select(F.col("addr").alias("dep_addr")).distinct().withColumn("_known", F.lit(True))
+        linked = linked.join(known, "dep_addr", "left")
+        error = F.when(F.col("_known").isNull(), F.lit("unknown target")).otherwise(error)
+    return linked.select("addr", "pos", "dep_addr", "group", F.transform("found", lambda f: f["path"]).alias("paths"), error.alias("error"))
 
 
 def transitive(inputs: DataFrame, contributions: DataFrame) -> DataFrame:
-    """What runtime dependencies contribute to a target: (addr, kind, key, mode, value), each key once, first declared first."""
+    """What runtime dependencies contribute to a target: (addr, kind, key, mode, value), each key once. Tools are told apart by
+    key, deps by key and mode, and the first declared stays; of an environment variable the last stays."""
     got = inputs.where("runtime").select("addr", "dep_addr", "pos").join(contributions.withColumnRenamed("addr", "dep_addr"), "dep_addr")
-    return first_by(got, ["addr", "kind", "key", "mode"], ["pos", "dep_addr"]).drop("pos", "dep_addr")
+    got = got.withColumn("_mode", F.when(F.col("kind") == "dep", F.col("mode")))
+    first = first_by(got.where("kind <> 'env'"), ["addr", "kind", "key", "_mode"], ["pos", "dep_addr"])
+    last = got.where("kind = 'env'").groupBy(F.col("addr").alias("_addr"), F.col("key").alias("_key")).agg(F.max_by(F.struct(*got.columns), F.struct("pos", "dep_addr")).alias("_row")).select("_row.*")
+    return first.unionByName(last).drop("pos", "dep_addr", "_mode")
 
 
 def failure_roots(inputs: DataFrame, failed: DataFrame) -> DataFrame:
@@ -147,6 +166,22 @@ def failure_roots(inputs: DataFrame, failed: DataFrame) -> DataFrame:
     return failed.select("addr").distinct().join(below, "addr", "left").select("addr", F.col("_below").isNull().alias("root"))
 
 
+def blame(inputs: DataFrame, failed: DataFrame) -> DataFrame:
+    """(addr, root) of failed targets: the root that the first declared failed dependency leads to, and a root itself for
+    itself; null on or above a cycle of such dependencies. Pointers are doubled in each round, so a chain of n failures
+    takes log2(n) joins; a row for each target is all that is ever held."""
+    failed = stage(failed.select("addr").distinct(), "failed")
+    bad = inputs.join(failed, "addr", "left_semi").join(failed.select(F.col("addr").alias("dep_addr")), "dep_addr", "left_semi")
+    first = bad.groupBy("addr").agg(F.min(F.struct("pos", "dep_addr"))["dep_addr"].alias("to"))
+    now = stage(failed.join(first, "addr", "left").select("addr", F.coalesce("to", "addr").alias("to"), F.col("to").isNull().alias("ended")), "blame")
+    for _ in range(failed.count().bit_length() + 1):
+        if now.where("not ended").isEmpty():
+            break
+        step = now.select(F.col("addr").alias("to"), F.col("to").alias("next"), F.col("ended").alias("there"))
+        now = stage(now.join(step, "to").select("addr", F.col("next").alias("to"), F.col("there").alias("ended")), "blame")
+    return now.select("addr", F.when(F.col("ended"), F.col("to")).alias("root"))
+
+
 def distinct_members(members: DataFrame, key: str = "addr") -> DataFrame:
     """(key, members, single): distinct members in the order they first appear, and whether there is only one."""
     once = members.groupBy(key, "member").agg(F.min("pos").alias("pos"))
@@ -172,4 +207,4 @@ def touched(targets: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return targets.where(F.pmod(F.xxhash64("package", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
-__all__ = ["closure", "cyclic", "dep_path", "dep_path_between", "deps", "distinct_members", "expand_groups", "failure_roots", "introspect", "layered_graph", "link", "revdeps", "topological_levels", "touched", "transitive"]
+__all__ = ["blame", "closure", "cyclic", "dep_path", "dep_path_between", "deps", "distinct_members", "expand_groups", "failure_roots", "introspect", "layered_graph", "link", "revdeps", "topological_levels", "touched", "transitive"]

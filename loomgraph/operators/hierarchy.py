@@ -64,8 +64,41 @@ def overlay(layers: list[DataFrame], key: str = "name") -> DataFrame:
 
 
 def merge_lists(earlier: DataFrame, later: DataFrame, key: str = "name") -> DataFrame:
-    """Union by key; the later row wins."""
-    return later.unionByName(earlier.join(later.select(key), key, "left_anti").select(*later.columns))
+    """Union by key in order of pos: a later row takes the place of the earlier one of its key, new ones come after all."""
+    places = earlier.select(F.col(key).alias("_key"), F.col("pos").alias("_pos"))
+    end = earlier.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_end"))  # one row
+    put = later.join(places, F.col(key) == F.col("_key"), "left").join(F.broadcast(end)).withColumn("pos", F.coalesce("_pos", F.col("_end") + F.col("pos")))
+    return put.select(*later.columns).unionByName(earlier.join(later.select(key), key, "left_anti").select(*later.columns))
+
+
+def with_defaults(rows: DataFrame, defaults: dict, required: tuple[str, ...] = (), key: str = "name") -> DataFrame:
+    """Defaults for fields that no layer has set; ValueError naming a row that lacks a required one."""
+    for field in required:
+        lost = rows.where(F.col(field).isNull()).select(key).first()
+        if lost:
+            raise ValueError(f"{lost[0]} is missing the required {field}")
+    return rows.select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else c for c in rows.columns))
+
+
+def listed_states(packages: DataFrame, states: DataFrame, inherited: bool = True, provider: str | None = None) -> DataFrame:
+    """(package, declared_at, depth, ...state columns) of each package, also of one that nobody lists: its own states or, inherited,
+    those above it too. In order of package, then from the root down, then as the providers declare them."""
+    found = ancestor_states(packages, states if provider is None else states.where(F.col("provider") == provider))
+    found = found if inherited else found.where("declared_at = package")
+    return found.orderBy("package", "depth", *(c for c in ("provider_ord", "decl_ord") if c in states.columns))
+
+
+def universe(variants: DataFrame, root: str = "") -> DataFrame:
+    """All variants (name, package, ...) that are declared in the module's subtree."""
+    return states_under(variants, root)
+
+
+def pinned(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """refs (name, package, ...) with the factors of exactly that variant; `error` names those that aren't declared there."""
+    fields = [c for c in known.columns if c not in ("name", "package")]
+    found = refs.join(known.withColumn("_found", F.lit(True)), ["name", "package"], "left")
+    error = F.when(F.col("_found").isNull(), F.concat(F.lit("variant "), "name", F.lit(" is not declared at "), "package"))
+    return found.select(*refs.columns, *fields, error.alias("error"))
 
 
 def state_json(states: DataFrame) -> DataFrame:
@@ -74,4 +107,4 @@ def state_json(states: DataFrame) -> DataFrame:
     return states.withColumn("json", F.to_json(F.map_from_entries(entries)))
 
 
-__all__ = ["ancestor_states", "inherit", "longest_prefix", "merge_lists", "nearest", "overlay", "state_json", "states_under"]
+__all__ = ["ancestor_states", "inherit", "listed_states", "longest_prefix", "merge_lists", "nearest", "overlay", "pinned", "state_json", "states_under", "universe", "with_defaults"]

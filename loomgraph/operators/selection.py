@@ -56,6 +56,36 @@ def select_outputs(outputs: DataFrame, names: list[str] | None) -> DataFrame:
     return F.broadcast(wanted).join(outputs, F.col("wanted") == F.col("group"), "left")
 
 
-def complete(targets: DataFrame, typed: str) -> DataFrame:
-    """Completions of what was typed: addresses that start with it, as text and not by components."""
-    return targets.where(F.startswith("addr", F.lit(typed))).select(F.col("addr").alias("completion")).distinct()
+def complete(targets: DataFrame, typed: str, base: str = "") -> DataFrame:
+    """Distinct completions of what was typed, in the same form: //pkg: and //pkg:name, :name, ./sub: and ../sib: with or without a
+    name, and a bare name. Relative forms are as seen from base; packages go by their text, so that //go also finds group."""
+    head, colon, name = typed.rpartition(":")
+    if typed.startswith("//") and not colon:
+        return _texts(targets.where(F.startswith("package", F.lit(typed[2:]))), F.concat(F.lit("//"), "package", F.lit(":")))
+    if typed.startswith(("./", "../")) and not colon:
+        relative = _relative(base)
+        return _texts(targets.where(F.startswith(relative, F.lit(typed))), F.concat(relative, F.lit(":")))
+    if "/" in typed and not colon:
+        return _texts(targets.where(F.lit(False)), F.col("package"))
+    try:
+        package = head[2:] if head.startswith("//") else paths.join_rel_checked(base, head, keep_slash=False)
+    except ValueError:
+        return _texts(targets.where(F.lit(False)), F.col("package"))
+    named = targets.where((F.col("package") == package) & F.startswith("name", F.lit(name)))
+    return _texts(named, F.concat(F.lit(head + colon), "name"))
+
+
+def _texts(found: DataFrame, text: Column) -> DataFrame:
+    return found.select(text.alias("completion")).distinct()
+
+
+def _relative(base: str) -> Column:
+    """./sub or ../sib for the column package as seen from base; null for base itself."""
+    pieces = [p for p in base.split("/") if p]
+    out = None
+    for up in range(len(pieces) + 1):
+        top = "/".join(pieces[: len(pieces) - up])
+        rest = F.expr(f"substring(package, {len(top) + 2 if top else 1})")
+        text = F.concat(F.lit("../" * up), rest) if up else F.when(F.col("package") != base, F.concat(F.lit("./"), rest))
+        out = F.when(paths.has_prefix("package", top), text) if out is None else out.when(paths.has_prefix("package", top), text)
+    return out

@@ -12,12 +12,17 @@ _written: list[tuple[SparkSession, str]] = []
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet under spark.checkpoint.dir (an own folder only where that is unset), read back."""
-    spark = df.sparkSession
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/loomgraph-{spark.sparkContext.applicationId}"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @atexit.register

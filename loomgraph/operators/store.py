@@ -44,10 +44,12 @@ def collect_garbage(revisions: DataFrame, artifacts: DataFrame, specs: DataFrame
     return doomed.join(sizes, ["addr", "hashin"], "left").select("addr", "hashin", F.col("decision").alias("reason"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
-def garbage_totals(revisions: DataFrame, doomed: DataFrame) -> DataFrame:
-    """One row: removed, kept, bytes and orphans."""
-    gone = doomed.agg(F.count("*").alias("removed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.countDistinct(F.when(F.col("reason") == "orphan", F.col("addr"))).alias("orphans"))
-    return revisions.agg(F.count("*").alias("n")).join(gone).select("removed", (F.col("n") - F.col("removed")).alias("kept"), "bytes", "orphans")
+def garbage_totals(revisions: DataFrame, doomed: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row: revisions removed, those kept on live targets, bytes, orphaned targets, and targets left alone for an error."""
+    gone = doomed.agg(F.count("*").alias("removed"), F.count_if(F.col("reason") == "trim").alias("trimmed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.countDistinct(F.when(F.col("reason") == "orphan", F.col("addr"))).alias("orphans"))
+    known = revisions.join(specs.select("addr", "status"), "addr")
+    left = known.agg(F.count_if(F.col("status") != "error").alias("live"), F.countDistinct(F.when(F.col("status") == "error", F.col("addr"))).alias("errored"))
+    return left.join(gone).select("removed", (F.col("live") - F.col("trimmed")).alias("kept"), "bytes", "orphans", "errored")
 
 
 def prune_older(rows: DataFrame, column: str, cutoff) -> DataFrame:
@@ -91,3 +93,29 @@ def cached_hashes(files: DataFrame, cache: DataFrame) -> DataFrame:
 def read_order(probes: DataFrame) -> DataFrame:
     """Caches by their median latency; unreachable ones last."""
     return probes.groupBy("cache").agg(F.expr("percentile(latency_ms, 0.5)").alias("median_ms")).withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("median_ms"), "cache")))
+
+
+def cached_listings(dirs: DataFrame, cache: DataFrame) -> DataFrame:
+    """dirs (path, mtime_ns) with the cached `listing` where the times agree; where `valid` is false, it has to be read anew."""
+    known = cache.select("path", "mtime_ns", "listing")
+    return dirs.join(known, ["path", "mtime_ns"], "left").withColumn("valid", F.col("listing").isNotNull())
+
+
+def prune_gone(cache: DataFrame, live: DataFrame) -> DataFrame:
+    """Cache rows whose path still exists."""
+    return cache.join(live.select("path"), "path", "left_semi")
+
+
+def needed_artifacts(artifacts: DataFrame, names: list[str]) -> DataFrame:
+    """Artifacts (addr, hashin, type, group, ...) that a reader of the named output groups needs: their outputs, and the support
+    files; if no group is named, support files only of revisions without any output. Never logs."""
+    output = (F.col("type") == "output") & (F.col("group").isin(*names) if names else F.lit(False))
+    if names:
+        return artifacts.where(output | (F.col("type") == "support"))
+    with_output = artifacts.where("type = 'output'").select("addr", "hashin").distinct()
+    return artifacts.where("type = 'support'").join(with_output, ["addr", "hashin"], "left_anti")
+
+
+def missing_blobs(needed: DataFrame, present: DataFrame) -> DataFrame:
+    """Needed artifacts whose blob isn't in a store (addr, hashin, name) yet."""
+    return needed.join(present.select("addr", "hashin", "name"), ["addr", "hashin", "name"], "left_anti")

@@ -85,10 +85,14 @@ class Bridge:
         micros = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
         return self.table("lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("addr"), ident.alias("hashin"), (micros * 1000).alias("created_at_ns"), F.col("l_quantity").cast("long").alias("size"))
 
-    def events(self) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files."""
+        return self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+
+    def events(self, rows: DataFrame | None = None) -> DataFrame:
         """Users as targets: click and view are local and remote hits, signup an execution, purchase a local miss, error a failed
         result. A signup is a start, a success and the end of the result, at one time."""
-        e = self.table("events")
+        e = self.table("events") if rows is None else rows
         addr = F.concat(F.lit("//users/g"), (F.col("user_id") % 10).cast("string"), F.lit(":u"), F.col("user_id").cast("string"))
         kinds = F.when(F.col("event_type") == "click", F.array(F.lit("local_hit"))).when(F.col("event_type") == "view", F.array(F.lit("remote_hit"))).when(F.col("event_type") == "signup", F.array(F.lit("execute_start"), F.lit("execute_end"), F.lit("result_end"))).when(F.col("event_type") == "purchase", F.array(F.lit("local_miss"))).otherwise(F.array(F.lit("result_end")))
         at_ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")

@@ -258,4 +258,35 @@ def select(targets: DataFrame, addr: str | None = None, label: str | None = None
     return query(targets, " && ".join(arms) or "//...", base, outputs)
 
 
-__all__ = ["Address", "Node", "QueryError", "compile_query", "format_query", "narrowing_prefix", "package_verdict", "parse", "query", "select", "shape", "tokenize"]
+#: The package of targets that stand for the result of a query.
+QUERY_PACKAGE = "@query"
+
+
+def query_address(expr: str, base: str = "", exclude: tuple[str, ...] = ()) -> Address:
+    """The address of a query as a target; exclude names providers that its resolution skips."""
+    args = {"expr": expr} | ({"_base": base} if base else {}) | ({"exclude_provider": ";".join(exclude)} if exclude else {})
+    return Address(QUERY_PACKAGE, "query", tuple(sorted(args.items())))
+
+
+def query_members(targets: DataFrame, address: Address, outputs: DataFrame | None = None) -> DataFrame:
+    """What a query target stands for. Arguments that start with '_' only tell addresses apart; excluding a provider that
+    doesn't exist excludes none."""
+    args = dict(address.args)
+    if "expr" not in args:
+        unknown = sorted(k for k in args if not k.startswith("_") and k != "exclude_provider")
+        raise QueryError(f"unknown arguments of a query target: {unknown}" if unknown else "a query target needs an expression")
+    skip = tuple(p for p in args.get("exclude_provider", "").split(";") if p)
+    return query(targets, args["expr"], args.get("_base", ""), outputs, skip)
+
+
+def stamp_query_inputs(inputs: DataFrame) -> DataFrame:
+    """inputs (addr, provider, dep_package, dep_name, dep_args): those on query targets get the argument _origin, a hash of their own
+    target, and exclude their own target's provider, unless they say themselves what to exclude."""
+    origin = F.create_map(F.lit("_origin"), F.substring(F.sha2("addr", 256), 1, 16))
+    args = F.map_concat(F.map_filter("dep_args", lambda k, _: k != "_origin"), origin)
+    own = (F.coalesce("provider", F.lit("")) != "") & ~F.map_contains_key("dep_args", F.lit("exclude_provider"))
+    args = F.when(own, F.map_concat(args, F.create_map(F.lit("exclude_provider"), F.col("provider")))).otherwise(args)
+    return inputs.withColumn("dep_args", F.when(F.col("dep_package") == QUERY_PACKAGE, args).otherwise(F.col("dep_args")))
+
+
+__all__ = ["Address", "Node", "QueryError", "compile_query", "format_query", "narrowing_prefix", "package_verdict", "parse", "query", "query_address", "query_members", "select", "shape", "stamp_query_inputs", "tokenize"]

@@ -47,16 +47,17 @@ rec AS (SELECT addr, life,
   CASE WHEN bool_or(type = 'execute_start') THEN NULL ELSE (list(type ORDER BY at_ms, seq) FILTER (type IN ('local_hit', 'remote_hit')))[1] END AS cached,
   count(*) FILTER (type = 'execute_end' AND error IS NULL) AS ok, bool_or(type = 'execute_start') AS ran,
   min(at_ms) FILTER (type IN ('result_start', 'execute_start', 'local_hit', 'remote_hit')) AS started, max(at_ms) FILTER (type = 'result_end') AS ended,
-  max(error) FILTER (type = 'result_end') AS failed, count(*) FILTER (type = 'local_miss') AS ml, count(*) FILTER (type = 'remote_miss') AS mr FROM lived GROUP BY addr, life)
+  max(error) FILTER (type = 'result_end') AS failed, count(*) FILTER (type = 'local_miss') AS ml, count(*) FILTER (type = 'remote_miss') AS mr,
+  count(*) FILTER (type = 'result_end' AND error IS NOT NULL AND upstream_of IS NOT NULL) AS blocked, bool_or(type = 'result_end' AND error IS NOT NULL AND upstream_of IS NULL) AS own FROM lived GROUP BY addr, life)
 """
 PATHS = "pagepaths AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, page_id FROM pages)"
-_UP = "list_transform(range(len(string_split({x}, '/')), -1, -1), lambda n: array_to_string(string_split({x}, '/')[1:n], '/'))"
+UP = "list_transform(range(len(string_split({x}, '/')), -1, -1), lambda n: array_to_string(string_split({x}, '/')[1:n], '/'))"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def register(sql: str | None = None):
     def add(function):
         _QUERIES[function.__name__] = lambda spark, sf_dir: function(Bridge(spark, sf_dir))
         if sql:
@@ -73,56 +74,56 @@ def _selected(expr: str, where: str):
     return run, f"WITH {TARGETS} SELECT DISTINCT addr, package FROM targets WHERE {where}"
 
 
-def _named(name: str, run, sql: str) -> None:
+def named(name: str, run, sql: str) -> None:
     run.__name__ = name
-    _query(sql)(run)
+    register(sql)(run)
 
 
 _WORLD = "(package = 'world' OR package LIKE 'world/%')"
-_named("q_flagship", *_selected(FLAGSHIP, f"{_WORLD} AND list_contains(labels, 'BUILDING') AND NOT (package = 'world/ASIA' OR package LIKE 'world/ASIA/%')"))
-_named("q_prefix", *_selected("//world/ASIA/...", "(package = 'world/ASIA' OR package LIKE 'world/ASIA/%')"))
-_named("q_exact_package", *_selected("//world/ASIA", "package = 'world/ASIA'"))
-_named("q_addr", *_selected("//world/AFRICA:n0 || addr(//world/AFRICA:n5)", "addr IN ('//world/AFRICA:n0', '//world/AFRICA:n5')"))
-_named("q_label", *_selected("label(BUILDING)", "list_contains(labels, 'BUILDING')"))
-_named("q_union", *_selected("label(F) || label(ECONOMY)", "list_contains(labels, 'F') OR list_contains(labels, 'ECONOMY')"))
-_named("q_except", *_selected("//parts/... && !label(ECONOMY)", "package LIKE 'parts/%' AND NOT list_contains(labels, 'ECONOMY')"))
-_named("q_precedence", *_selected("label(F) || //parts/... && !(label(ECONOMY) || label(LARGE))", "list_contains(labels, 'F') OR (package LIKE 'parts/%' AND NOT (list_contains(labels, 'ECONOMY') OR list_contains(labels, 'LARGE')))"))
-_named("q_whole_graph", *_selected("//...", "true"))
-
-
-@_query(f"WITH {TARGETS} SELECT DISTINCT addr, package FROM targets WHERE provider_ord NOT IN (0) AND list_contains(labels, 'F')")
+named("q_flagship", *_selected(FLAGSHIP, f"{_WORLD} AND list_contains(labels, 'BUILDING') AND NOT (package = 'world/ASIA' OR package LIKE 'world/ASIA/%')"))
+named("q_prefix", *_selected("//world/ASIA/...", "(package = 'world/ASIA' OR package LIKE 'world/ASIA/%')"))
+named("q_exact_package", *_selected("//world/ASIA", "package = 'world/ASIA'"))
+named("q_addr", *_selected("//world/AFRICA:n0 || addr(//world/AFRICA:n5)", "addr IN ('//world/AFRICA:n0', '//world/AFRICA:n5')"))
+named("q_label", *_selected("label(BUILDING)", "list_contains(labels, 'BUILDING')"))
+named("q_union", *_selected("label(F) || label(ECONOMY)", "list_contains(labels, 'F') OR list_contains(labels, 'ECONOMY')"))
+named("q_except", *_selected("//parts/... && !label(ECONOMY)", "package LIKE 'parts/%' AND NOT list_contains(labels, 'ECONOMY')"))
+named("q_precedence", *_selected("label(F) || //parts/... && !(label(ECONOMY) || label(LARGE))", "list_contains(labels, 'F') OR (package LIKE 'parts/%' AND NOT (list_contains(labels, 'ECONOMY') OR list_contains(labels, 'LARGE')))"))
+named("q_whole_graph", *_selected("//...", "true"))
+
+
+@register(f"WITH {TARGETS} SELECT DISTINCT addr, package FROM targets WHERE provider_ord NOT IN (0) AND list_contains(labels, 'F')")
 def q_skip_provider(b: Bridge) -> DataFrame:
     return query_language.query(b.targets(), "label(F)", skip_providers=("world",)).select("addr", "package")
 
 
-@_query(f"WITH {TARGETS} SELECT DISTINCT addr, package FROM targets WHERE list_contains(labels, 'BUILDING') AND package LIKE 'world/EUROPE/%'")
+@register(f"WITH {TARGETS} SELECT DISTINCT addr, package FROM targets WHERE list_contains(labels, 'BUILDING') AND package LIKE 'world/EUROPE/%'")
 def q_select_label_under(b: Bridge) -> DataFrame:
     return query_language.select(b.targets(), label="BUILDING", under="//world/EUROPE/...").select("addr", "package")
 
 
-@_query(f"WITH {TARGETS}, dup AS (SELECT *, provider_ord AS o FROM targets UNION ALL SELECT *, 9 FROM targets WHERE package LIKE 'parts/%') SELECT addr, min(o) AS provider_ord FROM dup GROUP BY addr")
+@register(f"WITH {TARGETS}, dup AS (SELECT *, provider_ord AS o FROM targets UNION ALL SELECT *, 9 FROM targets WHERE package LIKE 'parts/%') SELECT addr, min(o) AS provider_ord FROM dup GROUP BY addr")
 def q_first_provider_wins(b: Bridge) -> DataFrame:
     t = b.targets()
     twice = t.unionByName(t.where(paths.has_prefix("package", "parts")).withColumn("provider_ord", F.lit(9)))
     return selection.resolve_specs(twice).select("addr", "provider_ord")
 
 
-@_query(f"WITH {TARGETS} SELECT package, min(provider_ord) AS provider_ord FROM targets WHERE {_WORLD} GROUP BY package")
+@register(f"WITH {TARGETS} SELECT package, min(provider_ord) AS provider_ord FROM targets WHERE {_WORLD} GROUP BY package")
 def q_package_scan(b: Bridge) -> DataFrame:
     return selection.package_scan(b.targets(), "world")
 
 
-@_query(f"WITH {TARGETS} SELECT DISTINCT unnest(labels) AS label FROM targets WHERE {_WORLD}")
+@register(f"WITH {TARGETS} SELECT DISTINCT unnest(labels) AS label FROM targets WHERE {_WORLD}")
 def q_labels(b: Bridge) -> DataFrame:
     return selection.labels(b.targets().where(paths.has_prefix("package", "world")))
 
 
-@_query(f"WITH {TARGETS} SELECT count(DISTINCT addr) AS n_targets FROM targets")
+@register(f"WITH {TARGETS} SELECT count(DISTINCT addr) AS n_targets FROM targets")
 def q_graph_size(b: Bridge) -> DataFrame:
     return selection.graph_size(b.targets())
 
 
-@_query(f"WITH {TARGETS} SELECT DISTINCT addr AS completion FROM targets WHERE starts_with(addr, '//world/A')")
+@register(f"WITH {TARGETS} SELECT DISTINCT '//' || package || ':' AS completion FROM targets WHERE starts_with(package, 'world/A')")
 def q_completion(b: Bridge) -> DataFrame:
     return selection.complete(b.targets(), "//world/A")
 
@@ -130,51 +131,51 @@ def q_completion(b: Bridge) -> DataFrame:
 _OUT = "CASE WHEN page_id % 3 = 0 THEN 'none' WHEN page_id % 3 = 1 THEN 'copy' ELSE 'in_place' END"
 
 
-def _outputs(b: Bridge) -> DataFrame:
-    """Pages as targets of package 'example' with their URL paths as outputs: files, directories and globs."""
+def outputs_of(b: Bridge) -> DataFrame:
+    """Pages as targets of the root package, with outputs by their URL paths: files, directories and globs."""
     p = b.url_paths()
     codegen = F.when(F.col("page_id") % 3 == 0, F.lit("none")).when(F.col("page_id") % 3 == 1, F.lit("copy")).otherwise(F.lit("in_place"))
     kind = F.when(F.col("page_id") % 5 == 0, F.lit("dir")).when(F.col("page_id") % 5 == 1, F.lit("glob")).otherwise(F.lit("file"))
-    path = F.when(kind == "glob", F.concat("path", F.lit("/*.txt"))).otherwise(F.col("path"))
+    path = F.when(kind == "glob", F.concat("path", F.lit("/*.txt"))).when(kind == "dir", F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
     return p.select(F.concat(F.lit("//:p"), F.col("page_id").cast("string")).alias("addr"), F.lit("out").alias("group"), F.lit(0).alias("pos"), path.alias("path"), kind.alias("kind"), codegen.alias("codegen"), F.when(F.col("page_id") % 7 == 0, F.lit("fs")).otherwise(F.lit("exec")).alias("driver"), "page_id")
 
 
-_OUTPUTS = f"""{PATHS}, outs AS (SELECT '//:p' || page_id AS addr, CASE WHEN page_id % 5 = 1 THEN path || '/*.txt' ELSE path END AS path, CASE page_id % 5 WHEN 0 THEN 'dir' WHEN 1 THEN 'glob' ELSE 'file' END AS kind, {_OUT} AS codegen, CASE WHEN page_id % 7 = 0 THEN 'fs' ELSE 'exec' END AS driver, path AS base FROM pagepaths)"""
+OUTPUTS = f"""{PATHS}, outs AS (SELECT '//:p' || page_id AS addr, CASE page_id % 5 WHEN 0 THEN regexp_replace(path, '/[^/]*$', '') WHEN 1 THEN path || '/*.txt' ELSE path END AS path, CASE page_id % 5 WHEN 0 THEN 'dir' WHEN 1 THEN 'glob' ELSE 'file' END AS kind, {_OUT} AS codegen, CASE WHEN page_id % 7 = 0 THEN 'fs' ELSE 'exec' END AS driver, CASE page_id % 5 WHEN 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS base FROM pagepaths)"""
 
 
-@_query(f"""WITH {_OUTPUTS}, first AS (SELECT split_part(min(path), '/', 1) AS host FROM pagepaths),
+@register(f"""WITH {OUTPUTS}, first AS (SELECT split_part(min(path), '/', 1) AS host FROM pagepaths),
 d AS (SELECT addr, kind, CASE WHEN kind = 'file' THEN regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') ELSE base END AS dir FROM outs WHERE codegen <> 'none')
 SELECT DISTINCT addr FROM d, first WHERE dir = host OR starts_with(dir, host || '/') OR (kind <> 'file' AND (dir = '' OR starts_with(host, dir || '/')))""")
 def q_tree_output(b: Bridge) -> DataFrame:
-    outs = _outputs(b)
+    outs = outputs_of(b)
     host = outs.agg(F.min(F.split_part("path", F.lit("/"), F.lit(1)))).first()[0] or ""
     targets = outs.select("addr", F.lit("").alias("package"), F.array().cast("array<string>").alias("labels"), F.lit("pages").alias("provider"), F.lit(0).alias("provider_ord"))
     return query_language.query(targets, f'tree_output("{host}")', outputs=outs).select("addr")
 
 
-@_query(f"WITH {INPUTS} SELECT addr, dep_addr, min(pos) AS pos FROM inputs WHERE addr LIKE 'o%' GROUP BY ALL")
+@register(f"WITH {INPUTS} SELECT addr, dep_addr, min(pos) AS pos FROM inputs WHERE addr LIKE 'o%' GROUP BY ALL")
 def q_deps(b: Bridge) -> DataFrame:
     return graph.deps(b.inputs().where("addr like 'o%'"))
 
 
-@_query(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr = 'p7'")
+@register(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr = 'p7'")
 def q_revdeps(b: Bridge) -> DataFrame:
     inputs = b.inputs()
     on = b.spark.createDataFrame([("p7",)], "dep_addr string")
     return graph.revdeps(inputs.select("addr").distinct(), inputs, on)
 
 
-@_query(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'o1' AS addr UNION SELECT dep_addr FROM reach JOIN inputs USING (addr)) SELECT addr FROM reach")
+@register(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'o1' AS addr UNION SELECT dep_addr FROM reach JOIN inputs USING (addr)) SELECT addr FROM reach")
 def q_closure(b: Bridge) -> DataFrame:
     return graph.closure(b.inputs(), b.spark.createDataFrame([("o1",)], "addr string")).select("addr")
 
 
-@_query(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'n3' AS addr UNION SELECT i.addr FROM reach JOIN inputs i ON i.dep_addr = reach.addr) SELECT addr FROM reach")
+@register(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'n3' AS addr UNION SELECT i.addr FROM reach JOIN inputs i ON i.dep_addr = reach.addr) SELECT addr FROM reach")
 def q_reverse_closure(b: Bridge) -> DataFrame:
     return graph.closure(b.inputs(), b.spark.createDataFrame([("n3",)], "addr string"), reverse=True).select("addr")
 
 
-@_query(f"WITH {INPUTS}, o AS (SELECT addr, dep_addr FROM inputs WHERE addr = 'o1' AND pos = 0), c AS (SELECT addr, dep_addr FROM inputs) SELECT 0 AS step, 'o1' AS addr UNION ALL SELECT 1, dep_addr FROM o UNION ALL SELECT 2, c.dep_addr FROM o JOIN c ON c.addr = o.dep_addr")
+@register(f"WITH {INPUTS}, o AS (SELECT addr, dep_addr FROM inputs WHERE addr = 'o1' AND pos = 0), c AS (SELECT addr, dep_addr FROM inputs) SELECT 0 AS step, 'o1' AS addr UNION ALL SELECT 1, dep_addr FROM o UNION ALL SELECT 2, c.dep_addr FROM o JOIN c ON c.addr = o.dep_addr")
 def q_dep_path(b: Bridge) -> DataFrame:
     inputs = b.inputs().where("pos = 0")
     goal = inputs.where("addr = 'o1'").join(inputs.select(F.col("addr").alias("dep_addr"), F.col("dep_addr").alias("goal")), "dep_addr").select("goal").first()
@@ -182,13 +183,13 @@ def q_dep_path(b: Bridge) -> DataFrame:
     return b.spark.createDataFrame(list(enumerate(found or [])), "step int, addr string")
 
 
-@_query(f"WITH {INPUTS}, nodes AS (SELECT addr FROM inputs UNION SELECT dep_addr FROM inputs) SELECT addr, CASE left(addr, 1) WHEN 'n' THEN 0 WHEN 'p' THEN 0 WHEN 'c' THEN 1 WHEN 's' THEN 1 ELSE 2 END AS level FROM nodes")
+@register(f"WITH {INPUTS}, nodes AS (SELECT addr FROM inputs UNION SELECT dep_addr FROM inputs) SELECT addr, CASE left(addr, 1) WHEN 'n' THEN 0 WHEN 'p' THEN 0 WHEN 'c' THEN 1 WHEN 's' THEN 1 ELSE 2 END AS level FROM nodes")
 def q_topological_levels(b: Bridge) -> DataFrame:
     inputs = b.inputs()
     return graph.topological_levels(inputs.select("addr").union(inputs.select("dep_addr")).distinct(), inputs)
 
 
-@_query(f"WITH {INPUTS} SELECT i.addr, g.dep_addr, min(g.pos) AS pos FROM inputs i JOIN inputs g ON g.addr = i.dep_addr WHERE i.addr LIKE 'o%' AND (i.dep_addr LIKE 'c%' OR i.dep_addr LIKE 's%') GROUP BY 1, 2 UNION ALL SELECT addr, dep_addr, 1 FROM inputs WHERE dep_addr LIKE 'p%'")
+@register(f"WITH {INPUTS} SELECT i.addr, g.dep_addr, g.pos FROM inputs i JOIN inputs g ON g.addr = i.dep_addr WHERE i.addr LIKE 'o%' AND (i.dep_addr LIKE 'c%' OR i.dep_addr LIKE 's%') UNION ALL SELECT addr, dep_addr, 1 FROM inputs WHERE dep_addr LIKE 'p%'")
 def q_group_expand(b: Bridge) -> DataFrame:
     i = b.inputs()
     inputs = i.select("addr", "pos", "dep_addr", F.lit(None).cast("string").alias("output"), F.lit("standard").alias("mode"), F.lit("").alias("origin_id"), F.lit(True).alias("hashed"), F.lit(True).alias("runtime"), F.create_map().cast("map<string,string>").alias("annotations"))
@@ -197,122 +198,122 @@ def q_group_expand(b: Bridge) -> DataFrame:
     return out.select("addr", "dep_addr", F.when(F.col("dep_addr").startswith("p"), 1).otherwise(0).alias("pos"))
 
 
-@_query(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr IN ('p1', 'p2', 'n3')")
+@register(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr IN ('p1', 'p2', 'n3')")
 def q_failed_dependents(b: Bridge) -> DataFrame:
     return graph.revdeps(b.inputs().select("addr").distinct(), b.inputs(), b.spark.createDataFrame([("p1",), ("p2",), ("n3",)], "dep_addr string"))
 
 
-@_query(f"WITH {INPUTS}, f AS (SELECT DISTINCT addr FROM inputs WHERE addr LIKE '%7'), r AS (SELECT DISTINCT i.addr FROM inputs i JOIN f ON f.addr = i.dep_addr) SELECT f.addr, r.addr IS NULL AS root FROM f LEFT JOIN r USING (addr)")
+@register(f"WITH {INPUTS}, f AS (SELECT DISTINCT addr FROM inputs WHERE addr LIKE '%7'), r AS (SELECT DISTINCT i.addr FROM inputs i JOIN f ON f.addr = i.dep_addr) SELECT f.addr, r.addr IS NULL AS root FROM f LEFT JOIN r USING (addr)")
 def q_failure_roots(b: Bridge) -> DataFrame:
     inputs = b.inputs()
     return graph.failure_roots(inputs, inputs.where("addr like '%7'").select("addr"))
 
 
-@_query(f"WITH {INPUTS}, leaf AS (SELECT DISTINCT dep_addr AS addr, sha256('d|' || dep_addr || '|') AS h FROM inputs WHERE dep_addr LIKE 'n%'), mid AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(leaf.h, ',' ORDER BY leaf.h)) AS h FROM inputs i JOIN leaf ON leaf.addr = i.dep_addr GROUP BY i.addr) SELECT addr, h AS hashin FROM leaf UNION ALL SELECT addr, h FROM mid")
+@register(f"WITH {INPUTS}, leaf AS (SELECT DISTINCT dep_addr AS addr, sha256('d|' || dep_addr || '|') AS h FROM inputs WHERE dep_addr LIKE 'n%'), mid AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(leaf.h, ',' ORDER BY leaf.h)) AS h FROM inputs i JOIN leaf ON leaf.addr = i.dep_addr GROUP BY i.addr) SELECT addr, h AS hashin FROM leaf UNION ALL SELECT addr, h FROM mid")
 def q_merkle(b: Bridge) -> DataFrame:
     inputs = b.inputs().where("dep_addr like 'n%'").withColumn("hashed", F.lit(True))
     targets = inputs.select("addr").union(inputs.select("dep_addr")).distinct().select("addr", F.lit("d").alias("driver"), F.col("addr").alias("def_hash"))
     return merkle.content_hashes(targets, inputs)
 
 
-@_query(f"WITH {REVISIONS} SELECT addr, hashin, created_at_ns FROM revisions QUALIFY row_number() OVER (PARTITION BY addr ORDER BY created_at_ns DESC, hashin) <= 3")
+@register(f"WITH {REVISIONS} SELECT addr, hashin, created_at_ns FROM revisions QUALIFY row_number() OVER (PARTITION BY addr ORDER BY created_at_ns DESC, hashin) <= 3")
 def q_keep_newest(b: Bridge) -> DataFrame:
     return store.keep_newest(b.revisions(), 3).where("keep").select("addr", "hashin", "created_at_ns")
 
 
-@_query(f"WITH {REVISIONS} SELECT DISTINCT addr FROM revisions WHERE addr NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size <= 25)")
+@register(f"WITH {REVISIONS} SELECT DISTINCT addr FROM revisions WHERE addr NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size <= 25)")
 def q_orphans(b: Bridge) -> DataFrame:
     return store.orphans(b.revisions(), b.table("part").where("p_size <= 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("addr")))
 
 
-_SPECS = "specs AS (SELECT 'p' || p_partkey AS addr, CASE WHEN p_size % 10 = 0 THEN 'error' ELSE 'ok' END AS status, 2 + p_size % 2 AS history FROM part WHERE p_size <= 25)"
-_DOOMED = f"{REVISIONS}, {_SPECS}, doomed AS (SELECT r.addr, hashin, CASE WHEN status IS NULL THEN 'orphan' ELSE 'trim' END AS reason, size AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY created_at_ns DESC, hashin) AS k FROM revisions) r LEFT JOIN specs USING (addr) WHERE status IS NULL OR (status = 'ok' AND k > history))"
+SPECS = "specs AS (SELECT 'p' || p_partkey AS addr, CASE WHEN p_size % 10 = 0 THEN 'error' ELSE 'ok' END AS status, 2 + p_size % 2 AS history FROM part WHERE p_size <= 25)"
+DOOMED = f"{REVISIONS}, {SPECS}, doomed AS (SELECT r.addr, hashin, CASE WHEN status IS NULL THEN 'orphan' ELSE 'trim' END AS reason, bytes FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY addr, hashin) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY addr ORDER BY created_at_ns DESC, hashin) AS k FROM revisions) r LEFT JOIN specs USING (addr) WHERE status IS NULL OR (status = 'ok' AND k > history))"
 
 
-def _doomed(b: Bridge) -> tuple[DataFrame, DataFrame]:
+def doomed_of(b: Bridge) -> tuple[DataFrame, DataFrame, DataFrame]:
     revisions = b.revisions()
     specs = b.table("part").where("p_size <= 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("addr"), F.when(F.col("p_size") % 10 == 0, "error").otherwise("ok").alias("status"), (F.col("p_size") % 2 + 2).alias("history"))
-    return revisions, store.collect_garbage(revisions.select("addr", "hashin", "created_at_ns"), revisions.select("addr", "hashin", "size"), specs)
+    return revisions, store.collect_garbage(revisions.select("addr", "hashin", "created_at_ns"), revisions.select("addr", "hashin", "size"), specs), specs
 
 
-@_query(f"WITH {_DOOMED} SELECT * FROM doomed")
+@register(f"WITH {DOOMED} SELECT * FROM doomed")
 def q_collect_garbage(b: Bridge) -> DataFrame:
-    return _doomed(b)[1]
+    return doomed_of(b)[1]
 
 
-@_query(f"WITH {_DOOMED} SELECT count(*) AS removed, (SELECT count(*) FROM revisions) - count(*) AS kept, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN reason = 'orphan' THEN addr END) AS orphans FROM doomed")
+@register(f"WITH {DOOMED} SELECT count(*) AS removed, (SELECT count(*) FROM revisions JOIN specs USING (addr) WHERE status <> 'error') - count(*) FILTER (reason = 'trim') AS kept, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN reason = 'orphan' THEN addr END) AS orphans, (SELECT count(DISTINCT addr) FROM revisions JOIN specs USING (addr) WHERE status = 'error') AS errored FROM doomed")
 def q_garbage_totals(b: Bridge) -> DataFrame:
-    return store.garbage_totals(*_doomed(b))
+    return store.garbage_totals(*doomed_of(b))
 
 
-@_query(f"WITH {REVISIONS} SELECT addr, hashin FROM revisions WHERE created_at_ns >= 852076800000000000")
+@register(f"WITH {REVISIONS} SELECT addr, hashin FROM revisions WHERE created_at_ns >= 852076800000000000")
 def q_ttl_prune(b: Bridge) -> DataFrame:
     return store.prune_older(b.revisions(), "created_at_ns", 852076800000000000).select("addr", "hashin")
 
 
-@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@register("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def q_last_write_wins(b: Bridge) -> DataFrame:
     return store.last_write_wins(b.table("events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-@_query("SELECT event_id AS id, event_type FROM events ORDER BY id DESC LIMIT 200")
+@register("SELECT event_id AS id, event_type FROM events ORDER BY id DESC LIMIT 200")
 def q_spool_cap(b: Bridge) -> DataFrame:
     return store.keep_newest_rows(b.table("events").select(F.col("event_id").alias("id"), "event_type"))
 
 
-@_query("SELECT event_id AS id, event_type FROM events ORDER BY id LIMIT 50")
+@register("SELECT event_id AS id, event_type FROM events ORDER BY id LIMIT 50")
 def q_spool_batch(b: Bridge) -> DataFrame:
     return store.next_batch(b.table("events").select(F.col("event_id").alias("id"), "event_type"))
 
 
-@_query(f"WITH {REVISIONS} SELECT addr, hashin FROM revisions WHERE addr NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_type = 'ECONOMY')")
+@register(f"WITH {REVISIONS} SELECT addr, hashin FROM revisions WHERE addr NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_type = 'ECONOMY')")
 def q_clean(b: Bridge) -> DataFrame:
     gone = b.table("part").where("p_type = 'ECONOMY'").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("addr"))
     return store.clean(b.revisions(), gone).select("addr", "hashin")
 
 
-@_query(f"WITH {EVENTS}, t AS (SELECT CAST(sum(ok) AS BIGINT) AS executed, count(*) FILTER (cached = 'local_hit') AS cached_local, count(*) FILTER (cached = 'remote_hit') AS cached_remote, CAST(sum(ml) AS BIGINT) AS miss_local, CAST(sum(mr) AS BIGINT) AS miss_remote, count(failed) AS failed FROM rec) SELECT *, CAST(cached_local + cached_remote AS DOUBLE) / nullif(cached_local + cached_remote + miss_local, 0) AS hit_rate FROM t")
+@register(f"WITH {EVENTS}, t AS (SELECT CAST(sum(ok) AS BIGINT) AS executed, count(*) FILTER (cached = 'local_hit') AS cached_local, count(*) FILTER (cached = 'remote_hit') AS cached_remote, CAST(sum(ml) AS BIGINT) AS miss_local, CAST(sum(mr) AS BIGINT) AS miss_remote, CAST(sum(blocked) AS BIGINT) AS blocked, count(DISTINCT CASE WHEN own THEN addr END) AS roots FROM rec) SELECT *, CAST(cached_local + cached_remote AS DOUBLE) / nullif(cached_local + cached_remote + miss_local + miss_remote, 0) AS hit_rate FROM t")
 def q_counters(b: Bridge) -> DataFrame:
     return aggregates.counters(b.events())
 
 
-@_query(f"WITH {EVENTS} SELECT regexp_replace(regexp_extract(addr, '^(.*):[^:]*$', 1), '^//', '') AS package, count(*) AS misses FROM ev WHERE type = 'local_miss' GROUP BY 1")
+@register(f"WITH {EVENTS} SELECT regexp_replace(regexp_extract(addr, '^(.*):[^:]*$', 1), '^//', '') AS package, count(*) AS misses FROM ev WHERE type = 'local_miss' GROUP BY 1")
 def q_misses_by_package(b: Bridge) -> DataFrame:
     return aggregates.misses_by_package(b.events())
 
 
-@_query(f"WITH {EVENTS} SELECT upstream_of AS root, regexp_replace(regexp_extract(addr, '^(.*):[^:]*$', 1), '^//', '') AS package, count(*) AS blocked FROM ev WHERE type = 'result_end' AND error IS NOT NULL AND upstream_of IS NOT NULL GROUP BY 1, 2")
+@register(f"WITH {EVENTS} SELECT upstream_of AS root, regexp_replace(regexp_extract(addr, '^(.*):[^:]*$', 1), '^//', '') AS package, count(*) AS blocked FROM ev WHERE type = 'result_end' AND error IS NOT NULL AND upstream_of IS NOT NULL GROUP BY 1, 2")
 def q_blocked_by_root(b: Bridge) -> DataFrame:
     return aggregates.blocked_by_root(b.events())
 
 
-@_query(f"WITH {EVENTS}, f AS (SELECT addr, min(at_ms) AS at_ms, arg_min(error, seq) AS error, min(seq) AS seq FROM ev WHERE type = 'result_end' AND error IS NOT NULL AND upstream_of IS NULL GROUP BY addr) SELECT addr, at_ms, error, (SELECT count(*) FROM f) AS n_roots FROM f ORDER BY at_ms, seq LIMIT 10")
+@register(f"WITH {EVENTS}, f AS (SELECT addr, min(at_ms) AS at_ms, arg_min(error, seq) AS error, min(seq) AS seq FROM ev WHERE type = 'result_end' AND error IS NOT NULL AND upstream_of IS NULL GROUP BY addr) SELECT addr, at_ms, error, (SELECT count(*) FROM f) AS n_roots FROM f ORDER BY at_ms, seq LIMIT 10")
 def q_root_failures(b: Bridge) -> DataFrame:
     return aggregates.root_failures(b.events())
 
 
-@_query(f"WITH {EVENTS} SELECT count(DISTINCT CASE WHEN type = 'result_end' THEN addr END) AS done, count(DISTINCT addr) AS total FROM ev WHERE addr LIKE '%1'")
+@register(f"WITH {EVENTS} SELECT count(DISTINCT CASE WHEN type = 'result_end' THEN addr END) AS done, count(DISTINCT addr) AS total FROM ev WHERE addr LIKE '%1'")
 def q_progress(b: Bridge) -> DataFrame:
     events = b.events()
     return aggregates.progress(events, events.where("addr like '%1'").select("addr"))
 
 
-@_query(f"WITH {EVENTS} SELECT addr, ended - started AS duration_ms FROM rec WHERE ran AND ended IS NOT NULL AND failed IS NULL ORDER BY duration_ms DESC, addr LIMIT 20")
+@register(f"WITH {EVENTS} SELECT addr, ended - started AS duration_ms FROM rec WHERE ran AND ended IS NOT NULL AND failed IS NULL ORDER BY duration_ms DESC, addr LIMIT 20")
 def q_slowest(b: Bridge) -> DataFrame:
     return aggregates.slowest(b.events())
 
 
-@_query("WITH b AS (SELECT CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS k, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS u, sum(n) OVER () AS a FROM b) SELECT CAST(coalesce(2 ** min(k) - 1, 0) AS BIGINT) AS p99 FROM c WHERE u >= ceil(a * 99 / 100)")
+@register("WITH b AS (SELECT CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS k, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS u, sum(n) OVER () AS a FROM b) SELECT CAST(coalesce(2 ** min(k) - 1, 0) AS BIGINT) AS p99 FROM c WHERE u >= ceil(a * 99 / 100)")
 def q_p99_bucket(b: Bridge) -> DataFrame:
     return aggregates.histogram_quantile(b.table("documents"), "n_chars")
 
 
-@_query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
+@register("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def q_event_counts(b: Bridge) -> DataFrame:
     return b.table("events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@_query("""WITH s AS (SELECT user_id % 20 AS scenario, value AS ms, event_id % 2 AS side FROM events),
+@register("""WITH s AS (SELECT user_id % 20 AS scenario, value AS ms, event_id % 2 AS side FROM events),
 x AS (SELECT scenario, count(*) AS baseline_reps, avg(ms) AS bm, coalesce(stddev_samp(ms), 0) AS sd FROM s WHERE side = 0 GROUP BY 1), y AS (SELECT scenario, count(*) AS candidate_reps, avg(ms) AS cm FROM s WHERE side = 1 GROUP BY 1),
 z AS (SELECT *, CASE WHEN bm > 0 THEN (cm - bm) / bm * 100 ELSE 0 END AS d, CASE WHEN bm > 0 THEN 0.1 * (sd / bm * 100) ELSE 0 END AS noise FROM x JOIN y USING (scenario))
 SELECT scenario, baseline_reps, candidate_reps, round(bm, 6) AS baseline_mean_ms, round(cm, 6) AS candidate_mean_ms, round(d, 6) AS delta_pct, round(greatest(8, noise), 6) AS effective_threshold_pct, d > greatest(8, noise) AS regression FROM z""")
@@ -323,94 +324,95 @@ def q_bench_verdict(b: Bridge) -> DataFrame:
     return v.select("scenario", "baseline_reps", "candidate_reps", r("baseline_mean_ms"), r("candidate_mean_ms"), r("delta_pct"), r("effective_threshold_pct"), "regression")
 
 
-_STATES = f"{PATHS}, st AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, min(page_id) AS page FROM pagepaths GROUP BY 1)"
+STATES = f"{PATHS}, st AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, min(page_id) AS page FROM pagepaths GROUP BY 1)"
 
 
-def _states(b: Bridge) -> DataFrame:
+def states_of(b: Bridge) -> DataFrame:
     return b.url_paths().groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("package")).agg(F.min("page_id").alias("page"))
 
 
-@_query(f"WITH {_STATES}, up AS (SELECT DISTINCT path AS package, unnest({_UP.format(x='path')}) AS declared_at FROM pagepaths) SELECT DISTINCT up.package, declared_at, page FROM up JOIN st ON st.package = declared_at")
+@register(f"WITH {STATES}, up AS (SELECT DISTINCT path AS package, unnest({UP.format(x='path')}) AS declared_at FROM pagepaths) SELECT DISTINCT up.package, declared_at, page FROM up JOIN st ON st.package = declared_at")
 def q_ancestor_states(b: Bridge) -> DataFrame:
-    return hierarchy.ancestor_states(b.url_paths().select(F.col("path").alias("package")), _states(b)).select("package", "declared_at", "page")
+    return hierarchy.ancestor_states(b.url_paths().select(F.col("path").alias("package")), states_of(b)).select("package", "declared_at", "page")
 
 
-@_query(f"WITH {_STATES}, up AS (SELECT DISTINCT path AS package, unnest({_UP.format(x='path')}) AS declared_at FROM pagepaths) SELECT DISTINCT up.package, declared_at, page FROM up JOIN st ON st.package = declared_at QUALIFY row_number() OVER (PARTITION BY up.package ORDER BY length(declared_at) DESC) = 1")
+@register(f"WITH {STATES}, up AS (SELECT DISTINCT path AS package, unnest({UP.format(x='path')}) AS declared_at FROM pagepaths) SELECT DISTINCT up.package, declared_at, page FROM up JOIN st ON st.package = declared_at QUALIFY row_number() OVER (PARTITION BY up.package ORDER BY length(declared_at) DESC) = 1")
 def q_nearest_override(b: Bridge) -> DataFrame:
-    return hierarchy.nearest(b.url_paths().select(F.col("path").alias("package")), _states(b)).select("package", "declared_at", "page")
+    return hierarchy.nearest(b.url_paths().select(F.col("path").alias("package")), states_of(b)).select("package", "declared_at", "page")
 
 
-@_query(f"WITH {_STATES}, up AS (SELECT DISTINCT path AS import_path, unnest({_UP.format(x='path')}) AS module FROM pagepaths) SELECT import_path, arg_max(module, length(module)) AS module FROM up JOIN st ON st.package = up.module GROUP BY 1")
+@register(f"WITH {STATES}, up AS (SELECT DISTINCT path AS import_path, unnest({UP.format(x='path')}) AS module FROM pagepaths) SELECT import_path, arg_max(module, length(module)) AS module FROM up JOIN st ON st.package = up.module GROUP BY 1")
 def q_longest_prefix(b: Bridge) -> DataFrame:
-    return hierarchy.longest_prefix(b.url_paths().select(F.col("path").alias("import_path")), _states(b).select(F.col("package").alias("module"), F.col("page").alias("pos")))
+    return hierarchy.longest_prefix(b.url_paths().select(F.col("path").alias("import_path")), states_of(b).select(F.col("package").alias("module"), F.col("page").alias("pos")))
 
 
-@_query(f"WITH {_STATES} SELECT package, page FROM st WHERE starts_with(package, 'a') AND (package = 'a' OR starts_with(package, 'a/'))")
+@register(f"WITH {STATES} SELECT package, page FROM st WHERE starts_with(package || '/', (SELECT min(split_part(path, '/', 1)) FROM pagepaths) || '/')")
 def q_states_under(b: Bridge) -> DataFrame:
-    return hierarchy.states_under(_states(b), "a")
+    host = b.url_paths().agg(F.min(F.split_part("path", F.lit("/"), F.lit(1)))).first()[0] or ""
+    return hierarchy.states_under(states_of(b), host)
 
 
-@_query(f"""WITH {_OUTPUTS}, m AS (SELECT DISTINCT regexp_replace(path, '/+$', '') AS path, addr, driver FROM outs WHERE codegen = 'copy')
+@register(f"""WITH {OUTPUTS}, m AS (SELECT DISTINCT regexp_replace(path, '/+$', '') AS path, addr, driver FROM outs WHERE codegen = 'copy')
 SELECT DISTINCT a.path, a.addr, b.path AS other_path, b.addr AS other_addr FROM m a JOIN m b ON a.addr <> b.addr AND ((a.path = b.path AND a.addr < b.addr) OR starts_with(a.path, b.path || '/')) WHERE NOT (a.driver = 'fs' AND b.driver = 'fs')""")
 def q_overlap(b: Bridge) -> DataFrame:
-    return outputs.overlaps(_outputs(b))
+    return outputs.overlaps(outputs_of(b))
 
 
-@_query(f"WITH {_OUTPUTS} SELECT DISTINCT '/' || regexp_replace(path, '^/+|/+$', '', 'g') AS pattern, addr FROM outs WHERE codegen <> 'none'")
+@register(f"WITH {OUTPUTS} SELECT DISTINCT '/' || CASE kind WHEN 'dir' THEN trim(path, '/') ELSE ltrim(path, '/') END AS pattern, addr FROM outs WHERE codegen = 'copy'")
 def q_ignore_patterns(b: Bridge) -> DataFrame:
-    return outputs.ignore_patterns(_outputs(b))
+    return outputs.ignore_patterns(outputs_of(b))
 
 
-@_query(f"WITH {PATHS} SELECT DISTINCT path, 'site/' || path AS dst FROM pagepaths WHERE regexp_matches(path, '^[^/]*/(en|de)/[^/]*$') AND NOT regexp_matches(path, '^[^/]*/de/1[^/]*$')")
+@register(f"WITH {PATHS} SELECT DISTINCT path, 'site/' || path AS dst FROM pagepaths WHERE regexp_matches(path, '^[^/]*/(en|de)/[^/]*$') AND NOT regexp_matches(path, '^[^/]*/de/1[^/]*$')")
 def q_path_transform(b: Bridge) -> DataFrame:
     move = outputs.PathTransform(include=("*/{en,de}/*",), exclude=("*/de/1*",), prefix="site")
     return move.apply(b.url_paths().select("path").distinct()).select("path", "dst")
 
 
-@_query(f"WITH {PATHS} SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS base, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, len(string_split(path, '/')) AS depth FROM pagepaths WHERE path <> '' AND NOT ends_with(path, '/') AND NOT contains(path, '//') AND NOT contains(path, './')")
+@register(f"WITH {PATHS} SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS base, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, len(string_split(path, '/')) AS depth FROM pagepaths WHERE path <> '' AND NOT ends_with(path, '/') AND NOT contains(path, '//') AND NOT contains(path, './')")
 def q_path_functions(b: Bridge) -> DataFrame:
     p = b.url_paths().select("path").distinct().where("path <> '' and not endswith(path, '/') and not contains(path, '//') and not contains(path, './')")
     return p.select("path", paths.basename("path").alias("base"), paths.dirname("path").alias("dir"), paths.depth("path").cast("long").alias("depth"))
 
 
-@_query(f"SELECT DISTINCT unnest({_UP.format(x='d')}) AS package FROM (WITH {PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS d FROM pagepaths WHERE regexp_matches(path, '/1[^/]*$'))")
+@register(f"SELECT DISTINCT unnest({UP.format(x='d')}) AS package FROM (WITH {PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS d FROM pagepaths WHERE regexp_matches(path, '/1[^/]*$'))")
 def q_build_tree_packages(b: Bridge) -> DataFrame:
     files = b.url_paths().where(F.col("path").rlike("/1[^/]*$")).select(F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/BUILD")).alias("path"))
     return selection.packages_of_files(files)
 
 
-@_query(f"WITH {PATHS} SELECT DISTINCT path FROM pagepaths WHERE regexp_matches(path, '^[^/]*/fr/[^/]*$') AND NOT regexp_matches(path, '^[^/]*/fr/[^/]*9$')")
+@register(f"WITH {PATHS} SELECT DISTINCT path FROM pagepaths WHERE regexp_matches(path, '^[^/]*/fr/[^/]*$') AND NOT regexp_matches(path, '^[^/]*/fr/[^/]*9$')")
 def q_glob(b: Bridge) -> DataFrame:
     return file_sources.glob(b.url_paths().select("path").distinct(), "*/fr/*", ("**/*9",))
 
 
-@_query("SELECT doc_id, n_chars >= 1024 AND doc_id % 2 = 0 AS gzip, sha256(text) AS digest FROM documents")
+@register("SELECT doc_id, n_chars >= 1024 AND doc_id % 2 = 0 AS gzip, sha256(text) AS digest FROM documents")
 def q_compression_and_digest(b: Bridge) -> DataFrame:
     d = b.table("documents")
     how = paths.compression_for(F.col("n_chars"), F.col("doc_id") % 2 == 1)
     return d.select("doc_id", (how == "gzip").alias("gzip"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@_query("WITH a AS (SELECT event_type AS type, CAST(user_id AS VARCHAR) AS g, event_type AS h FROM events WHERE event_id % 2 = 0), b AS (SELECT event_type, CAST(user_id AS VARCHAR), event_type FROM events WHERE event_id % 2 = 1) SELECT type, g AS \"group\", h AS hashout, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@register("WITH a AS (SELECT event_type AS type, CAST(user_id AS VARCHAR) AS g, event_type AS h FROM events WHERE event_id % 2 = 0), b AS (SELECT event_type, CAST(user_id AS VARCHAR), event_type FROM events WHERE event_id % 2 = 1) SELECT type, g AS \"group\", h AS hashout, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def q_reconcile_artifacts(b: Bridge) -> DataFrame:
     e = b.table("events").select(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("group"), F.col("event_type").alias("hashout"), "event_id")
     return merkle.same_artifacts(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"))
 
 
-@_query()
+@register("SELECT CAST(i % 6 AS INTEGER) AS level, count(*) AS n FROM range(1000) t(i) GROUP BY 1")
 def q_layered_graph_levels(b: Bridge) -> DataFrame:
     targets, inputs = graph.layered_graph(b.spark)
     return graph.topological_levels(targets, inputs).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@_query()
+@register("WITH RECURSIVE e(a, b) AS (VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('d', 'a'), ('e', 'e'), ('c', 'f')), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT DISTINCT a AS addr FROM r WHERE a = b")
 def q_cycles(b: Bridge) -> DataFrame:
     edges = [("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("d", 0, "a"), ("e", 0, "e"), ("c", 1, "f")]
     inputs = b.spark.createDataFrame(edges, "addr string, pos int, dep_addr string")
     return graph.cyclic(inputs.select("addr").union(inputs.select("dep_addr")).distinct(), inputs)
 
 
-@_query("SELECT * FROM (VALUES ('base', 'linux', 'amd64', NULL), ('race', 'linux', 'amd64', 'race'), ('arm', 'linux', 'arm64', 'race')) t(name, goos, goarch, tags)")
+@register("SELECT * FROM (VALUES ('base', 'linux', 'amd64', NULL), ('race', 'linux', 'amd64', 'race'), ('arm', 'linux', 'arm64', 'race')) t(name, goos, goarch, tags)")
 def q_variant_inheritance(b: Bridge) -> DataFrame:
     rows = [("base", None, "linux", "amd64", None), ("race", "base", None, None, "race"), ("arm", "race", None, "arm64", None)]
     return hierarchy.inherit(b.spark.createDataFrame(rows, "name string, inherit string, goos string, goarch string, tags string"), ("goos", "goarch"))
@@ -428,4 +430,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+from loomgraph.plans import detail_queries  # noqa: E402, F401  it registers further queries
+
 __all__ = ["flagship", "oracle_sql", "queries"]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.address import parse_address
+
 #: The marks of a managed section.
 BEGIN, END = "# BEGIN managed outputs", "# END managed outputs"
+_SECTION = re.compile(f"({re.escape(BEGIN)}.*?){re.escape(END)}", re.DOTALL)
 
 
 def write_text(lines: DataFrame, path: str) -> None:
@@ -23,19 +27,46 @@ def stream_addresses(found: DataFrame) -> Iterator[str]:
 
 
 def render_section(entries: DataFrame) -> list[str]:
-    """Lines of a managed section, sorted by pattern and address."""
-    return [BEGIN, *(f"{r.pattern}  # {r.addr}" for r in entries.distinct().orderBy("pattern", "addr").toLocalIterator()), END]
+    """Lines of a managed section, sorted by pattern and address. The target stands on a line of its own before the pattern,
+    as a comment has to."""
+    rows = entries.select("pattern", "addr").distinct().orderBy("pattern", F.coalesce("addr", F.lit("")))
+    return [BEGIN, *(line for r in rows.toLocalIterator() for line in ([f"# {r.addr}"] if r.addr else []) + [r.pattern]), END]
+
+
+def parse_section(text: str) -> list[tuple[str, str | None]]:
+    """(pattern, addr or None) of the managed section in a file's text. Comments that name no target are kept as entries, and so
+    is a target's comment without a pattern."""
+    found = _SECTION.search(text)
+    entries: list[tuple[str, str | None]] = []
+    named: str | None = None
+    for line in (found[1].splitlines()[1:] if found else []):
+        line = line.strip()
+        target = _target_of(line)
+        if target:
+            entries += [(f"# {named}", None)] if named else []
+            named = target
+        elif line.startswith("#"):
+            entries.append((line, None))
+        elif line:
+            entries.append((line, named))
+            named = None
+    return entries + ([(f"# {named}", None)] if named else [])
+
+
+def _target_of(line: str) -> str | None:
+    try:
+        return str(parse_address(line[1:].strip())) if line.startswith("#") else None
+    except ValueError:
+        return None
 
 
 def merge_file(text: str, section: list[str]) -> str:
-    """The file's text with its managed section replaced (or added at the end); merging twice changes nothing."""
-    lines = text.splitlines()
-    if BEGIN in lines and END in lines[lines.index(BEGIN) :]:
-        a = lines.index(BEGIN)
-        lines[a : lines.index(END, a) + 1] = section
-    else:
-        lines += ([""] if lines and lines[-1] else []) + section
-    return "\n".join(lines) + "\n"
+    """The file's text with its managed section replaced, or added at the end; all else stays as it is, and merging twice changes nothing."""
+    block, found = "\n".join(section), _SECTION.search(text)
+    if found:
+        return text[: found.start()] + block + text[found.end() :]
+    gap = "" if not text else "\n" if text.endswith("\n") else "\n\n"
+    return text + gap + block + "\n"
 
 
 def json_report(df: DataFrame) -> DataFrame:

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from loomgraph.operators.staging import folder
+
 RECORDS = "addr string, counter string, delta long, duration_ms long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class TargetFold(StatefulProcessor):
-    """Folds a target's events in order of (at_ms, seq); emits changes of counters. State lives from the first event
-    to the end of the result: the kind of hit, whether it ran, and when it started."""
+    """Folds a target's events in order of (at_ms, seq); emits changes of counters. State lives from the first event to the end of
+    the result: the kind of hit, whether it ran, and when it started; of a target that failed, that it did stays."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("target", "cached string, ran boolean, started_ms long")
+        self._state = handle.getValueState("target", "cached string, ran boolean, started_ms long, rooted boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
@@ -34,33 +36,39 @@ class TargetFold(StatefulProcessor):
         pass
 
 
+NEW = (None, False, None, False)
+STARTS, HITS, MISSES = ("result_start", "execute_start", "local_hit", "remote_hit"), ("local_hit", "remote_hit"), ("local_miss", "remote_miss")
+
+
 def fold(addr: str, events, state: tuple | None) -> tuple[list[tuple], tuple | None]:
     """Changes (addr, counter, delta, duration) and the state after the events; unknown kinds of events are ignored."""
     out: list[tuple] = []
+    cached, ran, started, rooted = state or NEW
     for e in events:
-        if e.type in ("result_start", "execute_start", "local_hit", "remote_hit") and state is None:
-            state = (None, False, int(e.at_ms))
+        if e.type in STARTS and started is None:
+            started = int(e.at_ms)
         if e.type == "execute_start":
-            if state[0]:  # a target that runs is not a cached one: take the hit back
-                out.append((addr, f"cached_{state[0]}", -1, None))
-            state = (None, True, state[2])
-        elif e.type in ("local_hit", "remote_hit"):
-            if not state[0] and not state[1]:
-                kind = e.type.split("_")[0]
-                state = (kind, False, state[2])
-                out.append((addr, f"cached_{kind}", 1, None))
-        elif e.type in ("local_miss", "remote_miss"):
-            out.append((addr, f"miss_{e.type.split('_')[0]}", 1, None))
+            if cached:  # a target that runs is not a cached one: take the hit back
+                out.append((addr, f"cached_{cached}", -1, None))
+            cached, ran = None, True
+        elif e.type in HITS and not cached and not ran:
+            cached = e.type.removesuffix("_hit")
+            out.append((addr, f"cached_{cached}", 1, None))
+        elif e.type in MISSES:
+            out.append((addr, f"miss_{e.type.removesuffix('_miss')}", 1, None))
         elif e.type == "execute_end" and not isinstance(e.error, str):
             out.append((addr, "executed", 1, None))
         elif e.type == "result_end":
-            failed = isinstance(e.error, str)
-            if state is not None and state[1] and not failed:
-                out.append((addr, "finished", 1, int(e.at_ms) - state[2]))
-            elif failed:
-                out.append((addr, "failed", 1, None))
-            state = None
-    return out, state
+            if not isinstance(e.error, str):
+                out += [(addr, "finished", 1, int(e.at_ms) - started)] if ran else []
+            elif isinstance(e.upstream_of, str):
+                out.append((addr, "blocked", 1, None))
+            elif not rooted:
+                out.append((addr, "roots", 1, None))
+                rooted = True
+            cached, ran, started = NEW[:3]
+    state = (cached, ran, started, rooted)
+    return out, None if state == NEW else state
 
 
 def fold_stream(events: DataFrame, time_mode: str = "None") -> DataFrame:
@@ -77,3 +85,20 @@ def windowed_counts(events: DataFrame, lateness: str = "10 minutes", width: str
     """Counts by event time; not in the reference, but what a dashboard over a long stream needs."""
     at = (F.col("at_ms") / 1000).cast("timestamp")
     return events.withColumn("at", at).withWatermark("at", lateness).groupBy(F.window("at", width), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "type", "n")
+
+
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there, in update mode, and returns the rows that it put out, with the number of their batch. A
+    batch that is run again after a failure replaces what it wrote before."""
+    spark = stream.sparkSession
+    root = folder(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/rows/batch=-1")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.parquet(f"{root}/rows")
