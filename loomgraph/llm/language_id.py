@@ -130,12 +130,19 @@ def train(windows: list[bytes], labels: list[str], steps: int = 700, batch: int
 
 
 def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Trains on the usable rows that have a label and a text: excerpts of TRAIN_ROWS rows come to the driver."""
+    """Trains on the usable rows that have an id, a label and a text: excerpts of TRAIN_ROWS rows come to the driver."""
     text, key = F.col(text_col), F.col(id_col).cast("string")
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}"))
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), key), F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1) + 1
     cut = lambda k: F.encode(F.substring(text, place(k).cast("int"), F.lit(WINDOW)), "UTF-8").alias(f"w{k}")
-    picked = rows.select(F.xxhash64(F.lit("train"), key).alias("h"), F.col(lang_col).cast("string").alias("lang"), *(cut(k) for k in range(WINDOWS_EACH))).orderBy("h", "lang").limit(TRAIN_ROWS).collect()
+    hashed = rows.select(F.xxhash64(F.lit("train"), key).alias("h"), F.col(lang_col).cast("string").alias("lang"), *(cut(k) for k in range(WINDOWS_EACH)))
+    # every task would send TRAIN_ROWS rows: only hashes that some 2 * TRAIN_ROWS rows fall below are sent, more if too few are found
+    share, picked = 2 * TRAIN_ROWS / max(docs.where(usable & F.col(lang_col).isNotNull()).count(), 1), []
+    while len(picked) < TRAIN_ROWS:
+        picked = hashed.where(F.col("h") <= min(int(share * 2.0**64) - 2**63, 2**63 - 1)).orderBy("h", "lang").limit(TRAIN_ROWS).collect()
+        if share >= 1:
+            break
+        share *= 4
     pairs = [(bytes(r[f"w{k}"]), r.lang) for r in picked for k in range(WINDOWS_EACH)]
     return train([w for w, _ in pairs], [lang for _, lang in pairs])
 
