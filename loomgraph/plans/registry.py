@@ -216,6 +216,18 @@ def q_merkle(b: Bridge) -> DataFrame:
     return merkle.content_hashes(targets, inputs)
 
 
+@register(f"""WITH {INPUTS}, leaf AS (SELECT DISTINCT dep_addr AS addr, sha256('d|' || dep_addr || '|') AS h FROM inputs WHERE dep_addr NOT IN (SELECT addr FROM inputs)),
+mid AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(leaf.h, ',' ORDER BY leaf.h)) AS h FROM inputs i JOIN leaf ON leaf.addr = i.dep_addr WHERE i.addr NOT LIKE 'o%' GROUP BY i.addr),
+low AS (SELECT * FROM leaf UNION ALL SELECT * FROM mid),
+top AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(low.h, ',' ORDER BY low.h)) AS h FROM inputs i JOIN low ON low.addr = i.dep_addr WHERE i.addr LIKE 'o%' GROUP BY i.addr)
+SELECT addr, h AS hashin FROM low UNION ALL SELECT addr, h FROM top""")
+def q_merkle_whole(b: Bridge) -> DataFrame:
+    """All levels; q_merkle has the two that its SQL states."""
+    inputs = b.inputs().withColumn("hashed", F.lit(True))
+    targets = inputs.select("addr").union(inputs.select("dep_addr")).distinct().select("addr", F.lit("d").alias("driver"), F.col("addr").alias("def_hash"))
+    return merkle.content_hashes(targets, inputs)
+
+
 @register(f"WITH {REVISIONS} SELECT addr, hashin, created_at_ns FROM revisions QUALIFY row_number() OVER (PARTITION BY addr ORDER BY created_at_ns DESC, hashin) <= 3")
 def q_keep_newest(b: Bridge) -> DataFrame:
     return store.keep_newest(b.revisions(), 3).where("keep").select("addr", "hashin", "created_at_ns")
