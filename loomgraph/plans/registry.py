@@ -158,6 +158,12 @@ def q_deps(b: Bridge) -> DataFrame:
     return graph.deps(b.inputs().where("addr like 'o%'"))
 
 
+@register(f"WITH {INPUTS} SELECT addr, dep_addr, min(pos) AS pos FROM inputs GROUP BY ALL")
+def q_deps_whole(b: Bridge) -> DataFrame:
+    """Of all targets; q_deps has those of orders, as its SQL."""
+    return graph.deps(b.inputs())
+
+
 @register(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr = 'p7'")
 def q_revdeps(b: Bridge) -> DataFrame:
     inputs = b.inputs()
@@ -177,8 +183,8 @@ def q_reverse_closure(b: Bridge) -> DataFrame:
 
 @register(f"WITH {INPUTS}, o AS (SELECT addr, dep_addr FROM inputs WHERE addr = 'o1' AND pos = 0), c AS (SELECT addr, dep_addr FROM inputs) SELECT 0 AS step, 'o1' AS addr UNION ALL SELECT 1, dep_addr FROM o UNION ALL SELECT 2, c.dep_addr FROM o JOIN c ON c.addr = o.dep_addr")
 def q_dep_path(b: Bridge) -> DataFrame:
-    inputs = b.inputs().where("pos = 0")
-    goal = inputs.where("addr = 'o1'").join(inputs.select(F.col("addr").alias("dep_addr"), F.col("dep_addr").alias("goal")), "dep_addr").select("goal").first()
+    inputs = b.inputs()
+    goal = inputs.where("addr = 'o1' and pos = 0").join(inputs.select(F.col("addr").alias("dep_addr"), F.col("dep_addr").alias("goal")), "dep_addr").select("goal").first()
     found = graph.dep_path_between(inputs, goal.goal, "o1") if goal else None
     return b.spark.createDataFrame(list(enumerate(found or [])), "step int, addr string")
 
