@@ -33,8 +33,8 @@ from loomgraph.llm import common, hashing
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 #: Lengths of n-grams, buckets (as a power of two), embedding dimensions and words of a window.
 GRAMS, BUCKET_BITS, DIM, WORDS = (3, 4, 5, 6), 18, 12, 3
-#: A bucket learns only if this many training texts and this share of them have it: rarer ones would memorise texts.
-LEAST_TEXTS, LEAST_SHARE = 5, 0.004
+#: A bucket learns only if this many training texts have it, whatever their number: rarer ones would memorise texts.
+LEAST_TEXTS = 5
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SPACE = np.uint8(32)
@@ -136,7 +136,7 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int =
     out = rng.normal(0, 0.5, DIM).astype(np.float32)  # of label 1 against label 0
     bias, seen = 0.0, np.full(1 << BUCKET_BITS, 1e-6, np.float32)
     column = pa.array(texts, pa.large_string())
-    frequent = _text_counts(column, batch) >= max(LEAST_TEXTS, LEAST_SHARE * len(texts))
+    frequent = _text_counts(column, batch) >= LEAST_TEXTS
     embed[~frequent] = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
