@@ -5,8 +5,8 @@ maximum over the window is taken, and a linear softmax names the language; a tex
 the mean over all its windows, weighted by their bytes. For prediction the embedding and the filters are
 multiplied out into tables by byte pairs, so that a filter costs one or two lookups a byte.
 
-Training takes windows at hashed places of a bounded sample of labelled rows (TRAIN_ROWS, ordered by a hash, so the
-same for any partitioning). Prediction sees the whole text and nothing else.
+Training takes windows at hashed places of a bounded sample of labelled rows (TRAIN_ROWS, dealt evenly by language and
+ordered by a hash, so the same for any partitioning). Prediction sees the whole text and nothing else.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if no row is labelled;
 the longest texts are worked through in slices; repeated rows and a null doc_id are kept as they are; an empty table
@@ -16,12 +16,13 @@ gives an empty result; columns other than the named ones are never looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
@@ -129,20 +130,38 @@ def train(windows: list[bytes], labels: list[str], steps: int = 700, batch: int
     return net
 
 
+def _quotas(counts: dict[str, int]) -> dict[str, int]:
+    """Of TRAIN_ROWS rows an equal part for each language, and one row at least; what small ones leave goes to the others."""
+    out, left = {}, TRAIN_ROWS
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(left // (len(counts) - k), 1))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Trains on the usable rows that have an id, a label and a text: excerpts of TRAIN_ROWS rows come to the driver."""
+    """Trains on the usable rows that have an id, a label and a text: excerpts of TRAIN_ROWS rows, dealt by label, come to the driver."""
     text, key = F.col(text_col), F.col(id_col).cast("string")
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}"))
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), key), F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1) + 1
     cut = lambda k: F.encode(F.substring(text, place(k).cast("int"), F.lit(WINDOW)), "UTF-8").alias(f"w{k}")
     hashed = rows.select(F.xxhash64(F.lit("train"), key).alias("h"), F.col(lang_col).cast("string").alias("lang"), *(cut(k) for k in range(WINDOWS_EACH)))
-    # every task would send TRAIN_ROWS rows: only hashes that some 2 * TRAIN_ROWS rows fall below are sent, more if too few are found
-    share, picked = 2 * TRAIN_ROWS / max(docs.where(usable & F.col(lang_col).isNotNull()).count(), 1), []
-    while len(picked) < TRAIN_ROWS:
-        picked = hashed.where(F.col("h") <= min(int(share * 2.0**64) - 2**63, 2**63 - 1)).orderBy("h", "lang").limit(TRAIN_ROWS).collect()
-        if share >= 1:
-            break
-        share *= 4
+    # every task would send TRAIN_ROWS rows: only hashes that some 2 * quota rows of a language fall below are sent, more if too few are found
+    counts = {r[0]: r[1] for r in docs.where(usable & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string")).count().collect()}
+    quota, picked = _quotas(counts), []
+    share = {lang: 2 * quota[lang] / counts[lang] for lang in quota}
+    todo = set(quota)
+    while todo:
+        bounds = [(lang, quota[lang], min(int(share[lang] * 2.0**64) - 2**63, 2**63 - 1)) for lang in sorted(todo)]
+        limits = docs.sparkSession.createDataFrame(bounds, "lang string, quota int, bound long")  # a row for each language
+        place_in = F.row_number().over(Window.partitionBy("lang").orderBy("h", *(f"w{k}" for k in range(WINDOWS_EACH))))
+        rows_now = hashed.join(F.broadcast(limits), "lang").where("h <= bound").withColumn("k", place_in).where("k <= quota").drop("quota", "bound").collect()
+        found = Counter(r.lang for r in rows_now)
+        done = {lang for lang in todo if found[lang] >= quota[lang] or share[lang] >= 1}
+        picked += [r for r in rows_now if r.lang in done]
+        todo -= done
+        share = {lang: 4 * x for lang, x in share.items()}
+    picked.sort(key=lambda r: (r.h, r.lang, r.k))
     pairs = [(bytes(r[f"w{k}"]), r.lang) for r in picked for k in range(WINDOWS_EACH)]
     return train([w for w, _ in pairs], [lang for _, lang in pairs])
 

@@ -1,8 +1,9 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from loomgraph.llm import toxicity
+from loomgraph.llm import language_id, toxicity
 
 
 def test_rare_toxic_words_are_learned():
@@ -20,3 +21,18 @@ def test_rare_toxic_words_are_learned():
     some = " ".join(rng.choices(plain, k=6))
     clean, unknown, rare = toxicity.scores(pa.array([some, some + " vwxyz", some + " bocoo"], pa.string()), model)
     assert rare >= 0.5 > clean and rare > unknown + 0.2
+
+
+def test_small_languages_are_trained_on(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(language_id, "train", lambda windows, labels: taken.extend(labels))
+    rows = [(i, f"text {i}", "xx" if i % 800 == 0 else "yy" if i % 3 == 0 else "zz") for i in range(4000)] + [(None, "text", "xx"), (5000, "1", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for parts in (1, 5):
+        taken.clear()
+        language_id.fit(docs.repartition(parts), F.lit(True))
+        assert {x: taken.count(x) for x in ("xx", "yy", "zz")} == {"xx": 10, "yy": 52, "zz": 54}
+    taken.clear()
+    language_id.fit(docs.limit(0), F.lit(True))
+    assert taken == []
