@@ -1,60 +1,37 @@
-"""Shared plumbing: staged tables in the shared folder, and packed text blocks.
+"""Packed text blocks and the mail between them and the tasks that group what they send.
 
-A *block* is a row ``(block, payload)`` whose payload is a compressed Arrow file of some documents
-(``rid``, ``doc_id``, ``text``). Iterative operators read the block table several times, so it is
-written once; block numbers come out of that table and never change when a task is run again.
+A *block* is a row ``(block, n_bytes, payload)`` whose payload is a compressed Arrow file of some documents
+(``doc_id``, ``text``). Iterative operators read the block table several times, so it is written once, in buckets
+by its block number: mail travels to the bucket of its block, and texts are never shuffled. Block numbers come out
+of that table and never change when a task is run again.
 """
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Uncompressed bytes of text in one block; a longer document is a block of its own.
+from loomgraph.operators.staging import release, stage, stage_bucketed
+
+#: Uncompressed bytes of text in one block of a corpus of up to SCALE_BYTES; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Every block sends mail to every group, so beyond SCALE_BYTES both grow with the root of the corpus, up to MOST_SCALE
+#: times, and the number of messages grows with the corpus only.
+SCALE_BYTES, MOST_SCALE = 30 << 30, 16
+#: Buckets of a block table at most (spark.sql.sources.bucketing.maxBuckets), and blocks in one bucket otherwise.
+MOST_BUCKETS, BUCKET_BLOCKS = 100_000, 3
 #: Bytes of text that are hashed at once inside a block.
 SLICE_BYTES = 1 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"/tmp/checkpoints/loomgraph-{spark.sparkContext.applicationId}"
-    return root.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and later
-    readers survive the loss of any executor. The folder goes when the driver ends, or by release()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def release() -> None:
-    """Deletes all staged tables. DataFrames that were built on them can't be read any more."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
-
-
-atexit.register(release)
+def scale(n_bytes: int) -> float:
+    """How many times larger than for SCALE_BYTES blocks and groups are; 1 at least, and MOST_SCALE at most."""
+    return min(max(1.0, math.sqrt(n_bytes / SCALE_BYTES)), MOST_SCALE)
 
 
 def texts(arr) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +57,18 @@ def unpack_bytes(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
-def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs as a staged table of blocks: block long, n_bytes long, payload binary (doc_id, text; null text is kept).
+def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """docs as a staged table of blocks: block long, n_bytes long, payload binary (doc_id, text; null text is kept);
+    and the number of bytes of all texts.
 
-    One pass, no shuffle: each task cuts what it scans into blocks of about block_bytes.
+    One pass after counting bytes, no shuffle: each task cuts what it scans into blocks of about block_bytes.
     """
     from pyspark import TaskContext
 
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size_of_block = block_bytes or int(BLOCK_BYTES * scale(total))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         held, size = [], 0
@@ -102,38 +84,58 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _, offsets = texts(batch.column(1))
             start = 0
             while start < batch.num_rows:
-                end = int(np.searchsorted(offsets, offsets[start] + block_bytes - size, "right"))
+                end = int(np.searchsorted(offsets, offsets[start] + size_of_block - size, "right"))
                 end = min(max(end - 1, start + 1), batch.num_rows)
                 held.append(batch.slice(start, end - start))
                 size += int(offsets[end] - offsets[start])
                 start = end
-                if size >= block_bytes or start < batch.num_rows:
+                if size >= size_of_block or start < batch.num_rows:
                     yield flush()
         if held:
             yield flush()
 
-    return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "block long, n_bytes long, payload binary"), "blocks")
+    buckets = min(max(8, math.ceil(total / (BUCKET_BLOCKS * size_of_block))), MOST_BUCKETS)
+    return stage_bucketed(docs.mapInArrow(pack, "block long, n_bytes long, payload binary"), "blocks", "block", buckets), total
+
+
+Mail = dict[tuple[int, int], list[bytes]]
 
 
-def with_mail(blocks: DataFrame, *mail: DataFrame) -> DataFrame:
-    """Adds to each block what was sent to it: mail has rows (block, kind int, part long, data binary)."""
+def blocks_only(blocks: DataFrame, work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work() makes of the number and the documents of each block."""
+
+    def run(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column("block"), batch.column("payload"), strict=True):
+                yield from work(block.as_py(), unpack_bytes(payload.as_py()))
+
+    return blocks.select("block", "payload").mapInArrow(run, schema)
+
+
+def with_mail(blocks: DataFrame, mail: list[DataFrame], work: Callable[[int, pa.Table, Mail], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work() makes of the number, the documents and the mail of each block. Mail has rows (block, kind int, part
+    long, data binary) and comes as a dictionary by (kind, part); only the mail is shuffled."""
     sent = mail[0]
     for more in mail[1:]:
         sent = sent.unionByName(more)
-    sent = sent.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "data")).alias("mail"))
-    return blocks.join(sent, "block", "left").select("block", "payload", "mail")
+    wanted = spark_schema(schema)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        got: Mail = {}
+        for kind, part, data in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("data"), strict=True):
+            got.setdefault((kind, part), []).append(data.as_py())
+        made = [b for k, payload in zip(left.column("block"), left.column("payload"), strict=True) for b in work(k.as_py(), unpack_bytes(payload.as_py()), got)]
+        return pa.Table.from_batches(made) if made else wanted.empty_table()
 
-def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, dict[tuple[int, int], list[bytes]]]]:
-    """Block number, documents and mail by (kind, part) of each row of with_mail() or of a block table."""
-    for batch in batches:
-        names = batch.schema.names
-        for i in range(batch.num_rows):
-            mail: dict[tuple[int, int], list[bytes]] = {}
-            if "mail" in names:
-                for m in batch.column("mail")[i].as_py() or []:
-                    mail.setdefault((m["kind"], m["part"]), []).append(m["data"])
-            yield batch.column("block")[i].as_py(), unpack_bytes(batch.column("payload")[i].as_py()), mail
+    return blocks.select("block", "payload").groupBy("block").cogroup(sent.select("block", "kind", "part", "data").groupBy("block")).applyInArrow(run, schema)
+
+
+def spark_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def sharded(order: np.ndarray, shards: int) -> list[tuple[int, slice]]:
@@ -141,3 +143,6 @@ def sharded(order: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     bounds = np.searchsorted(order, (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards))) if shards > 1 else np.empty(0, np.int64)
     cuts = np.concatenate([[0], bounds, [len(order)]]).astype(np.int64)
     return [(k, slice(int(cuts[k]), int(cuts[k + 1]))) for k in range(shards) if cuts[k + 1] > cuts[k]]
+
+
+__all__ = ["Mail", "blocks_only", "pack_blocks", "release", "scale", "sharded", "stage", "texts", "with_mail"]

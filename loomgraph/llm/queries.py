@@ -134,6 +134,34 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_OP5 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), p AS (
+  SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400
+), g AS (
+  SELECT r, i, md5_number(array_slice(b, i, i + 399)) AS h FROM p
+), hits AS (
+  SELECT r, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)
+), opened AS (
+  SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM hits
+), numbered AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM opened
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY r, k
+), cuts AS (
+  SELECT r, a, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM spans
+), left_over AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed,
+    CASE WHEN min(a) > 1 THEN hex(array_slice(any_value(b), 1, min(a) - 1)) ELSE '' END
+    || string_agg(CASE WHEN z < coalesce(next, octet_length(b) + 1) THEN hex(array_slice(b, z, coalesce(next, octet_length(b) + 1) - 1)) ELSE '' END, '' ORDER BY a) AS kept
+  FROM cuts JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
+
 _OP9 = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
@@ -181,4 +209,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force or held-out accuracy."""
-    return {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op4_substring_dedup": _OP4, "op9_chat_format": _OP9, "op10_decontamination": _OP10}
+    return {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op4_substring_dedup": _OP4, "op5_suffix_dedup": _OP5, "op9_chat_format": _OP9, "op10_decontamination": _OP10}

@@ -6,7 +6,8 @@
 2. Parts are merged by adding; a block gets back one bit for each cell it sent: two or more in all.
    A window whose cells all have that bit is *estimated* repeated. Counts are never too low, so no
    repeated window is lost.
-3. A second pass groups exactly only the windows estimated repeated, on 128-bit window hashes.
+3. A second pass groups exactly only the windows estimated repeated, on two hashes modulo the prime 2**61 - 1
+   with bases of their own (two windows of 35 words agree in both for one pair in 2**108 at most).
 4. Words covered by a repeated window are removed.
 
 Copies are counted inside a block before anything is sent, so that a window with a third of all rows
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
-from loomgraph.llm.common import opened, pack_blocks, pack_bytes, sharded, stage, unpack_bytes, with_mail
+from loomgraph.llm.common import blocks_only, pack_blocks, scale, sharded, stage, with_mail
 from loomgraph.llm.hashing import NOT_SPACE, OTHER_BASE, U, WORD_BASE, mix
 
 #: Rows of the sketch, and cells a word in each row before rounding up to a power of two.
 DEPTH, CELLS_PER_WORD = 2, 4
-#: Cells of one part of the sketch (a byte each while merging), and bytes of keys one exact group task gets at most.
+#: Cells of one part of the sketch (a byte each while merging), and bytes of keys one exact group task gets at most, both
+#: for a corpus of up to common.SCALE_BYTES.
 PART_CELLS, SHARD_BYTES = 1 << 22, 48 << 20
 MAIL = "block long, kind int, part long, data binary"
 SENT = "part long, block long, data binary"
@@ -70,15 +72,14 @@ def _cells(h: np.ndarray, bits: int):
 
 
 def _pack_gaps(values: np.ndarray) -> bytes:
-    """Increasing whole numbers as compressed gaps."""
-    gaps = np.diff(values, prepend=U(0)).astype(np.uint32)
-    return pack_bytes(pa.table({f"b{k}": pa.array(((gaps >> (8 * k)) & 255).astype(np.uint8)) for k in range(4)}))
+    """Increasing whole numbers as gaps of as many bytes (1, 2 or 4) as the largest takes."""
+    gaps = np.diff(values, prepend=U(0))
+    width = 1 if (top := int(gaps.max(initial=0))) < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
 
 
 def _unpack_gaps(data: bytes) -> np.ndarray:
-    t = unpack_bytes(data)
-    gaps = sum(t.column(f"b{k}").to_numpy().astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.uint64)
 
 
 def _part_slices(cells: np.ndarray, bits: int, part_bits: int):
@@ -127,27 +128,25 @@ def _candidates(first: np.ndarray, second: np.ndarray, which: np.ndarray):
     return a[new], b[new], counts > 1, places
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """Blocks with the mail that tells which of their windows are repeated, and the sketch's measures."""
-    blocks = pack_blocks(docs, id_col, text_col)
+def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame], dict]:
+    """Blocks, the mail that tells which of their windows are repeated, and the sketch's measures."""
+    blocks, total = pack_blocks(docs, id_col, text_col)
     # a word has two bytes at least, with its separator; the sketch's size follows the corpus
-    total = blocks.agg(F.sum("n_bytes"), F.count("*")).first()
-    n_words = max((total[0] or 0) // 4, 1 << 18)
+    n_words = max(total // 4, 1 << 18)
     bits = min(max(20, math.ceil(math.log2(CELLS_PER_WORD * n_words))), 60)
-    part_bits = min(bits, int(math.log2(PART_CELLS)))
-    shards = max(8, math.ceil(16 * n_words / SHARD_BYTES))
-
-    def sketch(batches):
-        for block, table, _ in opened(batches):
-            hashes = _windows(table, window)[:2]
-            for row in range(DEPTH):
-                cells, twice, _ = _cells(hashes[row], bits)
-                rows = []
-                for part, where in _part_slices(cells, bits, part_bits):
-                    local = cells[where] & U((1 << part_bits) - 1)
-                    rows.append(((row << 56) | part, block, _bits(twice[where]) + _pack_gaps(local)))
-                if rows:
-                    yield _rows(["part", "block", "data"], rows)
+    part_bits = min(bits, int(math.log2(PART_CELLS * scale(total))))
+    shards = max(8, math.ceil(16 * n_words / (SHARD_BYTES * scale(total))))
+
+    def sketch(block: int, table: pa.Table):
+        hashes = _windows(table, window)[:2]
+        for row in range(DEPTH):
+            cells, twice, _ = _cells(hashes[row], bits)
+            rows = []
+            for part, where in _part_slices(cells, bits, part_bits):
+                local = cells[where] & U((1 << part_bits) - 1)
+                rows.append(((row << 56) | part, block, _bits(twice[where]) + _pack_gaps(local)))
+            if rows:
+                yield _rows(["part", "block", "data"], rows)
 
     def split(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         n = int.from_bytes(data[:8], "little")
@@ -164,15 +163,14 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         back = [(block.as_py(), part >> 56, part & ((1 << 56) - 1), _bits(counts[split(data.as_py())[1]] > 1)) for block, data in zip(table.column("block"), table.column("data"), strict=True)]
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], back)])
 
-    sketched = stage(blocks.mapInArrow(sketch, SENT).groupBy("part").applyInArrow(merge, MAIL), "sketch")
+    sketched = stage(blocks_only(blocks, sketch, SENT).groupBy("part").applyInArrow(merge, MAIL), "sketch")
 
-    def candidates(batches):
-        for block, table, mail in opened(batches):
-            first, second, _, _ = _windows(table, window)
-            a, b, twice, _ = _candidates(first, second, np.flatnonzero(_estimated(mail, (first, second), bits, part_bits)))
-            rows = [(k, block, _bits(twice[s]) + a[s].tobytes() + b[s].tobytes()) for k, s in sharded(a, shards)]
-            if rows:
-                yield _rows(["part", "block", "data"], rows)
+    def candidates(block: int, table: pa.Table, mail: common.Mail):
+        first, second, _, _ = _windows(table, window)
+        a, b, twice, _ = _candidates(first, second, np.flatnonzero(_estimated(mail, (first, second), bits, part_bits)))
+        rows = [(k, block, _bits(twice[s]) + a[s].tobytes() + b[s].tobytes()) for k, s in sharded(a, shards)]
+        if rows:
+            yield _rows(["part", "block", "data"], rows)
 
     def group(table: pa.Table) -> pa.Table:
         """Exact counts of the windows of one shard."""
@@ -198,8 +196,8 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         back = [(block.as_py(), DEPTH, part, _bits(twice[x:y])) for block, (x, y) in zip(table.column("block"), itertools.pairwise(cuts), strict=True)]
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], back)])
 
-    exact = stage(with_mail(blocks, sketched).mapInArrow(candidates, SENT).groupBy("part").applyInArrow(group, MAIL), "exact")
-    return with_mail(blocks, sketched, exact), {"bits": bits, "part_bits": part_bits, "shards": shards, "window": window}
+    exact = stage(with_mail(blocks, [sketched], candidates, SENT).groupBy("part").applyInArrow(group, MAIL), "exact")
+    return blocks, [sketched, exact], {"bits": bits, "part_bits": part_bits, "shards": shards, "window": window}
 
 
 def _covered(mail: dict, table: pa.Table, how: dict):
@@ -226,23 +224,22 @@ def _covered(mail: dict, table: pa.Table, how: dict):
 def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, n_words long, n_removed long, kept string: the text's words without those that a
     repeated window of `window` words covers, joined by one space."""
-    hot, how = repeated_windows(docs, window, id_col, text_col)
-
-    def clean(batches):
-        for _, table, mail in opened(batches):
-            counts, before, gone = _covered(mail, table, how)
-            removed, kept = [], []
-            for i, text in enumerate(table.column("text")):
-                mine = gone[before[i] : before[i] + counts[i]]
-                words = (text.as_py() or "").encode().split()
-                n = int(mine.sum())
-                if n:
-                    words = itertools.compress(words, ~mine)
-                removed.append(n)
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return hot.mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept string")
+    blocks, mails, how = repeated_windows(docs, window, id_col, text_col)
+
+    def clean(_: int, table: pa.Table, mail: common.Mail):
+        counts, before, gone = _covered(mail, table, how)
+        removed, kept = [], []
+        for i, text in enumerate(table.column("text")):
+            mine = gone[before[i] : before[i] + counts[i]]
+            words = (text.as_py() or "").encode().split()
+            n = int(mine.sum())
+            if n:
+                words = itertools.compress(words, ~mine)
+            removed.append(n)
+            kept.append(b" ".join(words).decode())
+        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return with_mail(blocks, mails, clean, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(docs: DataFrame, window: int = 35) -> DataFrame:

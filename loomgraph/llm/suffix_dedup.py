@@ -1,23 +1,23 @@
 """Removal of repeated byte strings by bucket-pointer refinement of suffixes.
 
-Suffixes (byte positions) are put in buckets by a q-gram, and buckets are refined by sorting on the
-bucket identifiers of later offsets; a bucket with a single suffix is final and drops out. Identifiers
-are fingerprints of the text a bucket stands for, so every task names a bucket alike and only buckets
-that are still undecided travel. The depth wanted is `length` (400); identifiers for depth 200 are made
-once and used again for the offsets 0, 200 and beyond, which gives depth 400 in one more sort.
+Suffixes (byte positions) start in buckets by their q-grams, q = length / 4, and buckets are refined by sorting on
+the bucket identifiers of later offsets: a suffix's bucket of depth 2 h is named by its identifiers of depth h at its
+own offset and h later, so one refinement after another makes depth q, 2 q and 4 q = `length` (400) out of the identifiers
+that the refinement before it made. A suffix that is alone in a bucket is final and drops out. q-grams are told apart by
+fingerprints modulo the prime 2**61 - 1; every identifier after that is the number of a bucket in a sort (`refine`).
 
 1. *Synchronising suffixes.* Each suffix belongs to the suffix with the smallest 16-gram among the
    `SYNC` positions from its own; suffixes of equal text belong to suffixes of equal text at equal
-   distance. Only these few (2 %) get a first bucket, by their q-gram of length - SYNC bytes. If its
-   bucket holds one suffix, no suffix that belongs to it can be repeated.
+   distance. Only these few (2 %) are counted first, by a hash of length - SYNC bytes. If that comes once, no suffix that
+   belongs to it can be repeated. Equal texts have equal hashes, so this loses nothing.
 2. *Runs.* The suffixes belonging to one live synchronising suffix are a run lo..hi. Runs are refined
-   as a whole by the depth-200 identifiers at lo, lo + 200 and hi + 200: if T[lo..hi+400) comes twice,
-   every suffix of the run is repeated.
+   as a whole, on the q-grams of T[lo..hi + length): if that comes twice, every suffix of the run is repeated.
 3. *Single suffixes.* Those of the runs left over, and of one run for each repeated text whose
-   synchronising bucket also holds a run left over, are refined by the depth-200 identifiers at their own
-   offset and 200 later. What is still in a bucket of two is repeated.
+   synchronising bucket also holds a run left over, are refined one by one. What is still in a bucket of two is repeated.
 
-Blocks count their own copies first, and only distinct identifiers travel, once from each block.
+A refinement takes place in tasks: suffixes travel with the q-grams of their later offsets to a task that their whole
+text decides, so equal ones always meet, and one hot bucket of many different texts is spread over all tasks. Blocks
+count their own copies first, and only distinct texts travel, once from each block.
 
 Defined results: null or empty text has no bytes and nothing to remove; matches never cross documents;
 repeated rows are copies of each other like any other rows; a null doc_id is kept as it is; an empty
@@ -36,21 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
-from loomgraph.llm.common import opened, pack_blocks, sharded, stage, with_mail
-from loomgraph.llm.hashing import BYTE_BASE, BYTE_VALUES, U, grams, mix, prefix
+from loomgraph.llm.common import blocks_only, pack_blocks, scale, sharded, stage, with_mail
+from loomgraph.llm.hashing import BYTE_BASE, BYTE_VALUES, U, fingerprints, grams, mix, prefix
 
 #: Positions among which a synchronising suffix is the smallest, and the length of the gram that is compared.
 SYNC, GRAM = 100, 16
-#: Bytes of identifiers that one task gets at most, were no suffix ever final.
-SHARD_BYTES = 48 << 20
+#: Bits for places in a piece; the others order its grams, alike in all pieces.
+PLACE_BITS = 22
+#: Bytes of text for each group of synchronising suffixes or runs, for a corpus of up to common.SCALE_BYTES, and how many times
+#: more groups single suffixes have.
+SHARD_BYTES, SINGLE_SHARDS = 48 << 20, 4
 MAIL = "block long, kind int, part long, data binary"
 SENT = "part long, block long, data binary"
 BUCKETS, RUNS, MIXED, SINGLE = 0, 1, 2, 3
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Cuts the documents of a block into pieces: (place in data, bytes, offsets of documents in it, suffixes
-    of the first document to leave out). A long document is cut into pieces that overlap by length - 1 bytes."""
+    """Cuts the documents of a block into pieces: (place in data, bytes, offsets of documents in it). A long
+    document is cut into pieces that overlap by length - 1 bytes."""
     for a, b in hashing.slices(offsets, common.SLICE_BYTES):
         lo, hi = int(offsets[a]), int(offsets[b])
         if b - a > 1 or hi - lo <= 2 * common.SLICE_BYTES:
@@ -61,20 +64,29 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
             yield at, data[at:end], np.array([0, end - at])
 
 
+def _gram_order(data: np.ndarray) -> np.ndarray:
+    """A number for the GRAM bytes from each place; its upper bits order them."""
+    g = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        g = g[:-k] | g[k:] << U(8 * k)
+    return mix(g[:-8] * U(0x9E3779B97F4A7C15) ^ mix(g[8:]))
+
+
 class _Piece:
     """Synchronising suffixes and runs of a piece of a block."""
 
     def __init__(self, at: int, data: np.ndarray, offsets: np.ndarray, length: int):
-        self.at, self.length, self.half = at, length, length // 2
-        self.sums = prefix(BYTE_VALUES[data], BYTE_BASE)
+        self.at, self.length, self.step = at, length, length // 4
         empty = np.empty(0, np.int64)
         self.lo = self.hi = self.sync = empty
         sizes = np.diff(offsets)
         n = len(data) - length + 1
         if n <= 0 or not (sizes >= length).any():
+            self.sums = np.zeros(1, np.uint64)
             return
-        order = grams(self.sums, BYTE_BASE, GRAM)
-        shift = U(max(1, int(len(order)).bit_length()))
+        self.sums = prefix(BYTE_VALUES[data], BYTE_BASE)
+        order = _gram_order(data)
+        shift = U(PLACE_BITS)
         low = (order >> shift << shift) | np.arange(len(order), dtype=np.uint64)
         width = 1
         while 2 * width <= SYNC:
@@ -94,28 +106,23 @@ class _Piece:
         self.hi = valid[np.concatenate([new, [len(valid)]]) - 1]
 
     def buckets(self) -> np.ndarray:
-        """First bucket identifiers of the synchronising suffixes, for each run."""
+        """Hashes of the synchronising suffixes, for each run."""
         return grams(self.sums, BYTE_BASE, self.length - SYNC, self.sync)
 
-    def names(self, at: np.ndarray) -> np.ndarray:
-        """Bucket identifiers of half the wanted depth."""
-        return grams(self.sums, BYTE_BASE, self.half, at)
+    def _grams(self, at: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+        """q-grams at the offsets (in q) after each place, a row for each place."""
+        return fingerprints(self.sums, BYTE_BASE, self.step, (at[:, None] + self.step * np.array(offsets)).ravel()).reshape(len(at), len(offsets))
 
-    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two identifiers of the text of whole runs: the refinement of the first bucket by two later ones."""
+    def runs(self, which: np.ndarray) -> np.ndarray:
+        """q-grams that cover the text of whole runs, lo .. hi + length, and how wide the run is."""
         lo, hi = self.lo[which], self.hi[which]
-        near, mid, far = self.names(lo), self.names(lo + self.half), self.names(hi + self.half)
-        return _refined(near, mid), _refined(mid ^ (hi - lo).astype(np.uint64), far)
+        return np.column_stack([self._grams(lo, (0, 1, 2, 3)), self._grams(hi, (2, 3)), (hi - lo).astype(np.uint64)])
 
-    def single(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes of the chosen runs, with their identifiers at offset 0 and half the depth later."""
+    def single(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes of the chosen runs, with their q-grams at all offsets."""
         sizes = self.hi[which] - self.lo[which] + 1
         at = np.repeat(self.lo[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return at, self.names(at), self.names(at + self.half)
-
-
-def _refined(near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    return mix(near * U(0xC2B2AE3D27D4EB4F) + mix(far ^ U(0x165667B19E3779F9)))
+        return at, self._grams(at, (0, 1, 2, 3))
 
 
 def _opened_pieces(table: pa.Table, length: int) -> list[_Piece]:
@@ -123,51 +130,61 @@ def _opened_pieces(table: pa.Table, length: int) -> list[_Piece]:
     return [_Piece(at, part, offs, length) for at, part, offs in _pieces(data, offsets, length)]
 
 
-def _distinct(*keys: np.ndarray):
-    """Distinct rows of the keys in order, how often each comes (2: or more), and each row's place in them."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    ordered = [k[order] for k in keys]
+def _distinct(rows: np.ndarray):
+    """Distinct rows of a matrix, in the order of a hash that decides which task gets them; that hash, how often each comes
+    (2: or more), and each row's place in them."""
+    route = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        route = mix(route * U(0xC2B2AE3D27D4EB4F) + column)
+    order = np.argsort(route, kind="stable")
+    ordered = rows[order]
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in ordered])
+    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
     places = np.empty(len(order), np.int64)
     places[order] = np.cumsum(new) - 1
     counts = np.diff(np.append(np.flatnonzero(new), len(order)))
-    return [k[new] for k in ordered], np.minimum(counts, 2).astype(np.uint8), places
-
-
-def refine(pointers: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """How many suffixes each row's last bucket holds: sorts on the first pointer, then only the buckets of
-    two or more on the next one, and so on. A row stands for `counts` suffixes."""
-    total = counts.astype(np.int64)
-    live, bucket = np.arange(len(counts)), np.zeros(len(counts), np.int64)
-    for pointer in pointers:
-        order = np.lexsort((pointer[live], bucket))
-        live, bucket = live[order], bucket[order]
-        p = pointer[live]
-        new = np.ones(len(live), bool)
-        new[1:] = (p[1:] != p[:-1]) | (bucket[1:] != bucket[:-1])
-        bucket = np.cumsum(new) - 1  # the refined identifier, that the next sort starts from
-        sizes = np.bincount(bucket, weights=counts[live], minlength=0).astype(np.int64) if len(live) else np.empty(0, np.int64)
-        total[live] = sizes[bucket] if len(live) else 0
-        more = np.bincount(bucket)[bucket] > 1 if len(live) else np.empty(0, bool)
-        live, bucket = live[more], bucket[more]
-    return total
-
-
-def _join(counts: np.ndarray, *keys: np.ndarray) -> bytes:
-    return len(counts).to_bytes(8, "little") + b"".join(k.tobytes() for k in keys) + counts.tobytes()
-
-
-def _split(data: bytes, keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    return ordered[new], route[order][new], np.minimum(counts, 2).astype(np.uint8), places
+
+
+def refine(pointers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Refines the buckets of suffixes (rows) from the identifiers at their offsets (columns, in order) until one
+    identifier stands for all of a row. Returns how many suffixes each row's last bucket holds (a row stands for
+    `counts` of them) and that bucket's identifier, negative for rows that dropped out.
+
+    Each round sorts the identifiers of all offsets and numbers the buckets; the next identifiers are pairs of these
+    numbers, at an offset and the one after it, so a round reuses what the rounds before have refined."""
+    total, bucket = counts.astype(np.int64), -1 - np.arange(len(counts))
+    live, ids = np.arange(len(counts)), pointers
+    while len(live):
+        names, numbers = np.unique(ids, return_inverse=True)
+        numbers = numbers.reshape(len(live), -1)
+        if numbers.shape[1] == 1:
+            last = numbers[:, 0]
+            total[live] = np.bincount(last, counts[live])[last].astype(np.int64)
+            bucket[live] = last
+            break
+        more = np.ones(len(live), bool)
+        for column in numbers.T:
+            more &= np.bincount(column, minlength=len(names))[column] > 1
+        live, numbers = live[more], numbers[more]
+        if numbers.shape[1] % 2:  # nothing comes after the last offset
+            numbers = np.column_stack([numbers, numbers[:, -1]])
+        ids = numbers[:, ::2] * len(names) + numbers[:, 1::2]
+    return total, bucket
+
+
+def _join(counts: np.ndarray, rows: np.ndarray) -> bytes:
+    return len(counts).to_bytes(8, "little") + np.ascontiguousarray(rows.T).tobytes() + counts.tobytes()
+
+
+def _split(data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    return [np.frombuffer(data, np.uint64, n, 8 + 8 * n * k) for k in range(keys)], np.frombuffer(data, np.uint8, n, 8 + 8 * n * keys)
+    return np.frombuffer(data, np.uint64, n * columns, 8).reshape(columns, n).T, np.frombuffer(data, np.uint8, n, 8 + 8 * n * columns)
 
 
-def _gathered(table: pa.Table, keys: int):
-    parts = [_split(d.as_py(), keys) for d in table.column("data")]
-    sizes = [len(p[1]) for p in parts]
-    return [np.concatenate([p[0][k] for p in parts]) for k in range(keys)], np.concatenate([p[1] for p in parts]), list(itertools.pairwise(np.cumsum([0, *sizes])))
+def _gathered(table: pa.Table, columns: int):
+    parts = [_split(d.as_py(), columns) for d in table.column("data")]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), list(itertools.pairwise(np.cumsum([0, *(len(p[1]) for p in parts)])))
 
 
 def _batch(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
@@ -178,16 +195,16 @@ def _batch(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
 _MAIL, _SENT = ("block", "kind", "part", "data"), ("part", "block", "data")
 
 
-def _sent_keys(block: int, shards: int, counts: np.ndarray, keys: list[np.ndarray]):
-    rows = [(k, block, _join(counts[s], *(x[s] for x in keys))) for k, s in sharded(keys[0], shards)]
-    if rows:
-        yield _batch(_SENT, rows)
+def _sent_rows(block: int, shards: int, route: np.ndarray, counts: np.ndarray, rows: np.ndarray):
+    made = [(k, block, _join(counts[s], rows[s])) for k, s in sharded(route, shards)]
+    if made:
+        yield _batch(_SENT, made)
 
 
-def _answers(mail: dict, kind: int, first: np.ndarray, shards: int) -> np.ndarray:
-    """What the shards sent back for a block's distinct keys, in their order."""
-    out = np.zeros(len(first), np.uint8)
-    for k, s in sharded(first, shards):
+def _answers(mail: common.Mail, kind: int, route: np.ndarray, shards: int) -> np.ndarray:
+    """What the groups sent back for a block's distinct rows, in their order."""
+    out = np.zeros(len(route), np.uint8)
+    for k, s in sharded(route, shards):
         out[s] = np.frombuffer(mail[kind, k][0], np.uint8)
     return out
 
@@ -200,21 +217,18 @@ def _back(table: pa.Table, kind: int, answers: np.ndarray, cuts) -> list[tuple]:
 class _State:
     """What a block knows about its runs after each exchange, worked out again from its text and its mail."""
 
-    def __init__(self, table: pa.Table, mail: dict, length: int, shards: int):
-        self.pieces = _opened_pieces(table, length)
-        none = np.empty(0, np.uint64)
-        bucket = np.concatenate([none, *(p.buckets() for p in self.pieces)])
-        self.piece_of = np.repeat(np.arange(len(self.pieces)), [len(p.lo) for p in self.pieces])
+    def __init__(self, table: pa.Table, mail: common.Mail, length: int, shards: int):
+        self.pieces, self.shards = _opened_pieces(table, length), shards
+        bucket = np.concatenate([np.empty(0, np.uint64), *(p.buckets() for p in self.pieces)])
         self.first_of = np.cumsum([0, *(len(p.lo) for p in self.pieces)])
-        (self.keys,), self.counts, places = _distinct(bucket)
+        self.keys, self.key_route, self.counts, places = _distinct(bucket[:, None])
         self.bucket = bucket
         if not any(k == BUCKETS for k, _ in mail):
             self.live = np.empty(0, np.int64)
             return
-        self.live = np.flatnonzero(_answers(mail, BUCKETS, self.keys, shards)[places] > 0)
-        both = [p.runs(self.of(k)) for k, p in enumerate(self.pieces)]
-        one, two = (np.concatenate([none, *(x[k] for x in both)]) for k in (0, 1))
-        (self.one, self.two), self.run_counts, self.run_places = _distinct(one, two)
+        self.live = np.flatnonzero(_answers(mail, BUCKETS, self.key_route, shards)[places] > 0)
+        runs = np.concatenate([np.empty((0, 7), np.uint64), *(p.runs(self.of(k)) for k, p in enumerate(self.pieces))])
+        self.runs, self.run_route, self.run_counts, self.run_places = _distinct(runs)
 
     def of(self, k: int, runs: np.ndarray | None = None) -> np.ndarray:
         """The live runs (or the chosen ones) of piece k, as numbers in the piece."""
@@ -224,71 +238,63 @@ class _State:
 
     def leaders(self) -> np.ndarray:
         """For each distinct text of live runs, the first such run (an index into live)."""
-        out = np.full(len(self.one), len(self.live), np.int64)
+        out = np.full(len(self.runs), len(self.live), np.int64)
         np.minimum.at(out, self.run_places, np.arange(len(self.live)))
         return out
 
-    def settle(self, mail: dict, shards: int):
+    def settle(self, mail: common.Mail):
         """Which live runs are repeated as a whole, and the runs whose suffixes go on singly."""
-        code = _answers(mail, RUNS, self.one, shards)
+        code = _answers(mail, RUNS, self.run_route, self.shards)
         self.whole = code[self.run_places] > 0
         mixed = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(d, np.uint64) for (k, _), ds in mail.items() if k == MIXED for d in ds)]))
         leads = self.leaders()[code == 2]
         leads = leads[np.isin(self.bucket[self.live[leads]], mixed)]
-        self.single_runs = np.sort(np.concatenate([self.live[~self.whole], self.live[leads]]))
-        found = [p.single(self.of(k, self.single_runs)) for k, p in enumerate(self.pieces)]
-        none = np.empty(0, np.uint64)
+        single_runs = np.sort(np.concatenate([self.live[~self.whole], self.live[leads]]))
+        found = [p.single(self.of(k, single_runs)) for k, p in enumerate(self.pieces)]
         self.at = np.concatenate([np.empty(0, np.int64), *(f[0] + p.at for f, p in zip(found, self.pieces, strict=True))])
-        (self.near, self.far), self.single_counts, self.single_places = _distinct(*(np.concatenate([none, *(f[k] for f in found)]) for k in (1, 2)))
+        self.single, self.single_route, self.single_counts, self.single_places = _distinct(np.concatenate([np.empty((0, 4), np.uint64), *(f[1] for f in found)]))
 
 
-def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Blocks with the mail that tells which of their suffixes are repeated to `length` bytes, and the number of shards."""
-    if length < 2 * SYNC or length % 2:
-        raise ValueError(f"length must be even and at least {2 * SYNC}")
-    blocks = pack_blocks(docs, id_col, text_col)
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(8, math.ceil(total / SHARD_BYTES))
+def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame], int]:
+    """Blocks, the mail that tells which of their suffixes are repeated to `length` bytes, and the number of groups of runs."""
+    if length < 2 * SYNC or length % 4:
+        raise ValueError(f"length must be a multiple of 4 and at least {2 * SYNC}")
+    blocks, total = pack_blocks(docs, id_col, text_col)
+    shards = max(8, math.ceil(total / (SHARD_BYTES * scale(total))))
 
-    def send_buckets(batches):
-        for block, table, _ in opened(batches):
-            s = _State(table, {}, length, shards)
-            yield from _sent_keys(block, shards, s.counts, [s.keys])
+    def send_buckets(block: int, table: pa.Table):
+        s = _State(table, {}, length, shards)
+        yield from _sent_rows(block, shards, s.key_route, s.counts, s.keys)
 
     def group_buckets(table: pa.Table) -> pa.Table:
         keys, counts, cuts = _gathered(table, 1)
-        return pa.Table.from_batches([_batch(_MAIL, _back(table, BUCKETS, (refine(keys, counts) > 1).astype(np.uint8), cuts))])
+        return pa.Table.from_batches([_batch(_MAIL, _back(table, BUCKETS, (refine(keys, counts)[0] > 1).astype(np.uint8), cuts))])
 
-    buckets = stage(blocks.mapInArrow(send_buckets, SENT).groupBy("part").applyInArrow(group_buckets, MAIL), "buckets")
+    buckets = stage(blocks_only(blocks, send_buckets, SENT).groupBy("part").applyInArrow(group_buckets, MAIL), "buckets")
 
-    def send_runs(batches):
-        for block, table, mail in opened(batches):
-            s = _State(table, mail, length, shards)
-            if len(s.live):
-                yield from _sent_keys(block, shards, s.run_counts, [s.one, s.two, s.bucket[s.live[s.leaders()]]])
+    def send_runs(block: int, table: pa.Table, mail: common.Mail):
+        s = _State(table, mail, length, shards)
+        if len(s.live):
+            yield from _sent_rows(block, shards, s.run_route, s.run_counts, np.column_stack([s.runs, s.bucket[s.live[s.leaders()]]]))
 
     def group_runs(table: pa.Table) -> pa.Table:
         """Codes for runs: 0 comes once, 1 is repeated, 2 too and stands for its text; and the buckets of both
-        sorts, as mail (kind MIXED) whose block is the shard that compares them."""
-        (one, two, bucket), counts, cuts = _gathered(table, 3)
-        total = refine([one, two], counts)
-        code = (total > 1).astype(np.uint8)
-        # of the rows of one text, the first stands for it
-        order = np.lexsort((np.arange(len(one)), two, one))
-        first = np.ones(len(order), bool)
-        first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        code[order[first & (code[order] == 1)]] = 2
-        rows = _back(table, RUNS, code, cuts)
+        sorts, as mail (kind MIXED) whose block is the group that compares them."""
+        rows, counts, cuts = _gathered(table, 8)
+        total, name = refine(rows[:, :7], counts)
+        code, bucket = (total > 1).astype(np.uint8), rows[:, 7]
+        first = np.zeros(len(code), bool)
+        first[np.unique(name, return_index=True)[1]] = True
+        code[first & (code == 1)] = 2  # of the rows of one text, the first stands for it
+        out = _back(table, RUNS, code, cuts)
         once = np.unique(bucket[code == 0])
-        for k, s in sharded(once, shards):
-            rows.append((k, MIXED, -1, once[s].tobytes()))
+        out += [(k, MIXED, -1, once[s].tobytes()) for k, s in sharded(once, shards)]
         for block, (a, b) in zip(table.column("block"), cuts, strict=True):
             led = np.unique(bucket[a:b][code[a:b] == 2])
-            for k, s in sharded(led, shards):
-                rows.append((k, MIXED, block.as_py(), led[s].tobytes()))
-        return pa.Table.from_batches([_batch(_MAIL, rows)])
+            out += [(k, MIXED, block.as_py(), led[s].tobytes()) for k, s in sharded(led, shards)]
+        return pa.Table.from_batches([_batch(_MAIL, out)])
 
-    runs = stage(with_mail(blocks, buckets).mapInArrow(send_runs, SENT).groupBy("part").applyInArrow(group_runs, MAIL), "runs")
+    runs = stage(with_mail(blocks, [buckets], send_runs, SENT).groupBy("part").applyInArrow(group_runs, MAIL), "runs")
 
     def meet(table: pa.Table) -> pa.Table:
         """Which buckets of runs that stand for a repeated text also hold a run that comes once."""
@@ -304,34 +310,33 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
     mixed = stage(runs.where(F.col("kind") == MIXED).groupBy("block").applyInArrow(meet, MAIL), "mixed")
     runs = runs.where(F.col("kind") == RUNS)
 
-    def send_single(batches):
-        for block, table, mail in opened(batches):
-            s = _State(table, mail, length, shards)
-            if len(s.live):
-                s.settle(mail, shards)
-                yield from _sent_keys(block, shards, s.single_counts, [s.near, s.far])
+    def send_single(block: int, table: pa.Table, mail: common.Mail):
+        s = _State(table, mail, length, shards)
+        if len(s.live):
+            s.settle(mail)
+            yield from _sent_rows(block, SINGLE_SHARDS * shards, s.single_route, s.single_counts, s.single)
 
     def group_single(table: pa.Table) -> pa.Table:
-        keys, counts, cuts = _gathered(table, 2)
-        return pa.Table.from_batches([_batch(_MAIL, _back(table, SINGLE, (refine(keys, counts) > 1).astype(np.uint8), cuts))])
+        rows, counts, cuts = _gathered(table, 4)
+        return pa.Table.from_batches([_batch(_MAIL, _back(table, SINGLE, (refine(rows, counts)[0] > 1).astype(np.uint8), cuts))])
 
-    single = stage(with_mail(blocks, buckets, runs, mixed).mapInArrow(send_single, SENT).groupBy("part").applyInArrow(group_single, MAIL), "single")
-    return with_mail(blocks, buckets, runs, mixed, single), shards
+    single = stage(with_mail(blocks, [buckets, runs, mixed], send_single, SENT).groupBy("part").applyInArrow(group_single, MAIL), "single")
+    return blocks, [buckets, runs, mixed, single], shards
 
 
-def _repeated(table: pa.Table, mail: dict, length: int, shards: int) -> np.ndarray:
+def _repeated(table: pa.Table, mail: common.Mail, length: int, shards: int) -> np.ndarray:
     """A mask of the bytes of a block that repeated suffixes cover."""
     _, offsets = common.texts(table.column("text"))
     edges = np.zeros(int(offsets[-1]) + 1, np.int32)
     s = _State(table, mail, length, shards)
     if len(s.live):
-        s.settle(mail, shards)
+        s.settle(mail)
         whole = s.live[s.whole]
         for k, p in enumerate(s.pieces):
             mine = s.of(k, whole)
             np.add.at(edges, p.lo[mine] + p.at, 1)
             np.add.at(edges, p.hi[mine] + p.at + length, -1)
-        hits = s.at[_answers(mail, SINGLE, s.near, shards)[s.single_places] > 0]
+        hits = s.at[_answers(mail, SINGLE, s.single_route, SINGLE_SHARDS * shards)[s.single_places] > 0]
         np.add.at(edges, hits, 1)
         np.add.at(edges, hits + length, -1)
     return np.cumsum(edges)[:-1] > 0
@@ -340,24 +345,23 @@ def _repeated(table: pa.Table, mail: dict, length: int, shards: int) -> np.ndarr
 def remove_repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
     """doc_id long, n_bytes long, n_removed long, n_spans long, kept binary (what is left, concatenated; it
     may cut a character), or with digest_only kept_sha256 string in its place."""
-    hot, shards = repeated_suffixes(docs, length, id_col, text_col)
+    blocks, mails, shards = repeated_suffixes(docs, length, id_col, text_col)
     last = "kept_sha256 string" if digest_only else "kept binary"
 
-    def clean(batches):
-        for _, table, mail in opened(batches):
-            data, offsets = common.texts(table.column("text"))
-            gone = _repeated(table, mail, length, shards)
-            removed, spans, kept = [], [], []
-            for a, b in itertools.pairwise(offsets):
-                mine = gone[a:b]
-                n = int(mine.sum())
-                removed.append(n)
-                spans.append(int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()) if n else 0)
-                rest = (data[a:b][~mine] if n else data[a:b]).tobytes()
-                kept.append(hashlib.sha256(rest).hexdigest() if digest_only else rest)
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if digest_only else pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]],
-            )
-
-    return hot.mapInArrow(clean, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    def clean(_: int, table: pa.Table, mail: common.Mail):
+        data, offsets = common.texts(table.column("text"))
+        gone = _repeated(table, mail, length, shards)
+        removed, spans, kept = [], [], []
+        for a, b in itertools.pairwise(offsets):
+            mine = gone[a:b]
+            n = int(mine.sum())
+            removed.append(n)
+            spans.append(int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()) if n else 0)
+            rest = (data[a:b][~mine] if n else data[a:b]).tobytes()
+            kept.append(hashlib.sha256(rest).hexdigest() if digest_only else rest)
+        yield pa.RecordBatch.from_arrays(
+            [table.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if digest_only else pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]],
+        )
+
+    return with_mail(blocks, mails, clean, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")

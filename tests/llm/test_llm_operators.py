@@ -51,28 +51,51 @@ def test_word_windows(spark, monkeypatch):
     assert substring_dedup.digest(docs.limit(0)).count() == 0
 
 
-def test_byte_strings(spark, monkeypatch):
-    docs, rows = corpus(spark, 1)
-    monkeypatch.setattr(suffix_dedup.pack_blocks, "__defaults__", ("doc_id", "text", 4000))
-    data = [(d, (t or "").encode()) for d, t in rows]
-    n = Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
+def without_repeats(data):
+    """Rows of op5's contract for (doc_id, bytes), by brute force."""
+    n = Counter(hash(b[i : i + 400]) for _, b in data for i in range(len(b) - 399))
     want = Counter()
     for d, b in data:
-        gone = np.zeros(len(b), bool)
+        edges = np.zeros(len(b) + 1, int)
         for i in range(len(b) - 399):
-            if n[b[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+            if n[hash(b[i : i + 400])] > 1:
+                edges[i] += 1
+                edges[i + 400] -= 1
+        gone = np.cumsum(edges)[:-1] > 0
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
-    assert counted(suffix_dedup.remove_repeated_strings(docs, 400, digest_only=True)) == want
+    return want
+
+
+def test_byte_strings(spark, monkeypatch):
+    docs, rows = corpus(spark, 1)
+    monkeypatch.setattr(suffix_dedup.pack_blocks, "__defaults__", ("doc_id", "text", 4000))
+    assert counted(suffix_dedup.remove_repeated_strings(docs, 400, digest_only=True)) == without_repeats([(d, (t or "").encode()) for d, t in rows])
     assert suffix_dedup.remove_repeated_strings(docs.limit(0)).count() == 0
 
 
-def test_refinement_core():
+def test_byte_strings_of_long_documents(spark):
+    """A text that is cut into pieces, parts of it in other documents at other places, and one passage after many contexts."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    long, passage = text(400_000), text(90)
+    rows = [(0, long), (1, text(50) + long[900_000:1_200_000] + text(500) + long[100:5000]), (2, "x" * 5000), (3, "x" * 399), (4, "x" * 400 + "y")]
+    rows += [(10 + i, text(rng.randint(0, 80)) + passage[rng.randint(0, 60) :] + text(rng.randint(0, 200))) for i in range(100)]
+    assert len(long) > 2 << 20
+    assert counted(suffix_dedup.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), digest_only=True)) == without_repeats([(d, t.encode()) for d, t in rows])
+
+
+def test_refinement():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 5, 400).astype(np.uint64), rng.integers(0, 5, 400).astype(np.uint64)
-    n = Counter(zip(a.tolist(), b.tolist(), strict=True))
-    assert suffix_dedup.refine([a, b], np.ones(400, np.uint8)).tolist() == [n[x] for x in zip(a.tolist(), b.tolist(), strict=True)]
+    for columns in (1, 2, 4, 7):
+        rows, times = rng.integers(0, 3, (300, columns)).astype(np.uint64), rng.integers(1, 3, 300).astype(np.uint8)
+        n = Counter()
+        for row, k in zip(rows.tolist(), times.tolist(), strict=True):
+            n[tuple(row)] += k
+        total, bucket = suffix_dedup.refine(rows, times)
+        assert total.tolist() == [n[tuple(r)] for r in rows.tolist()]
+        assert len(set(zip(bucket.tolist(), map(tuple, rows.tolist()), strict=True))) == len(n) == len(set(bucket.tolist()))
 
 
 @pytest.mark.parametrize("size", [2, 5])
