@@ -17,7 +17,8 @@ fingerprints modulo the prime 2**61 - 1; every identifier after that is the numb
 
 A refinement takes place in tasks: suffixes travel with the q-grams of their later offsets to a task that their whole
 text decides, so equal ones always meet, and one hot bucket of many different texts is spread over all tasks. Blocks
-count their own copies first, and only distinct texts travel, once from each block.
+count their own copies first, and only distinct texts travel, once from each block. What a block has found out about its
+live suffixes it writes down as a note to itself, which comes back with the answers.
 
 Defined results: null or empty text has no bytes and nothing to remove; matches never cross documents;
 repeated rows are copies of each other like any other rows; a null doc_id is kept as it is; an empty
@@ -48,7 +49,7 @@ PLACE_BITS = 22
 SHARD_BYTES, SINGLE_SHARDS = 48 << 20, 4
 MAIL = "block long, kind int, part long, data binary"
 SENT = "part long, block long, data binary"
-BUCKETS, RUNS, MIXED, SINGLE = 0, 1, 2, 3
+BUCKETS, RUNS, MIXED, SINGLE, RUN_NOTE, SINGLE_NOTE = range(6)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -75,17 +76,18 @@ def _gram_order(data: np.ndarray) -> np.ndarray:
 class _Piece:
     """Synchronising suffixes and runs of a piece of a block."""
 
-    def __init__(self, at: int, data: np.ndarray, offsets: np.ndarray, length: int):
-        self.at, self.length, self.step = at, length, length // 4
-        empty = np.empty(0, np.int64)
-        self.lo = self.hi = self.sync = empty
-        sizes = np.diff(offsets)
-        n = len(data) - length + 1
+    def __init__(self, data: np.ndarray, length: int):
+        self.data, self.length, self.step = data, length, length // 4
+        self.sums = prefix(BYTE_VALUES[data], BYTE_BASE)
+        self.lo = self.hi = self.sync = np.empty(0, np.int64)
+
+    def find_runs(self, offsets: np.ndarray):
+        """Sets lo, hi and sync of the runs of the documents between the offsets."""
+        length, sizes = self.length, np.diff(offsets)
+        n = len(self.data) - length + 1
         if n <= 0 or not (sizes >= length).any():
-            self.sums = np.zeros(1, np.uint64)
             return
-        self.sums = prefix(BYTE_VALUES[data], BYTE_BASE)
-        order = _gram_order(data)
+        order = _gram_order(self.data)
         shift = U(PLACE_BITS)
         low = (order >> shift << shift) | np.arange(len(order), dtype=np.uint64)
         width = 1
@@ -113,23 +115,17 @@ class _Piece:
         """q-grams at the offsets (in q) after each place, a row for each place."""
         return fingerprints(self.sums, BYTE_BASE, self.step, (at[:, None] + self.step * np.array(offsets)).ravel()).reshape(len(at), len(offsets))
 
-    def runs(self, which: np.ndarray) -> np.ndarray:
+    def runs(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """q-grams that cover the text of whole runs, lo .. hi + length, and how wide the run is."""
-        lo, hi = self.lo[which], self.hi[which]
         return np.column_stack([self._grams(lo, (0, 1, 2, 3)), self._grams(hi, (2, 3)), (hi - lo).astype(np.uint64)])
 
-    def single(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes of the chosen runs, with their q-grams at all offsets."""
-        sizes = self.hi[which] - self.lo[which] + 1
-        at = np.repeat(self.lo[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    def single(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes of runs, with their q-grams at all offsets."""
+        sizes = hi - lo + 1
+        at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         return at, self._grams(at, (0, 1, 2, 3))
 
 
-def _opened_pieces(table: pa.Table, length: int) -> list[_Piece]:
-    data, offsets = common.texts(table.column("text"))
-    return [_Piece(at, part, offs, length) for at, part, offs in _pieces(data, offsets, length)]
-
-
 def _distinct(rows: np.ndarray):
     """Distinct rows of a matrix, in the order of a hash that decides which task gets them; that hash, how often each comes
     (2: or more), and each row's place in them."""
@@ -201,12 +197,9 @@ def _sent_rows(block: int, shards: int, route: np.ndarray, counts: np.ndarray, r
         yield _batch(_SENT, made)
 
 
-def _answers(mail: common.Mail, kind: int, route: np.ndarray, shards: int) -> np.ndarray:
-    """What the groups sent back for a block's distinct rows, in their order."""
-    out = np.zeros(len(route), np.uint8)
-    for k, s in sharded(route, shards):
-        out[s] = np.frombuffer(mail[kind, k][0], np.uint8)
-    return out
+def _answers(mail: common.Mail, kind: int) -> np.ndarray:
+    """What the groups sent back for a block's distinct rows, in the order of their hash: groups are ranges of it."""
+    return np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(mail[key][0], np.uint8) for key in sorted(mail) if key[0] == kind)])
 
 
 def _back(table: pa.Table, kind: int, answers: np.ndarray, cuts) -> list[tuple]:
@@ -214,57 +207,66 @@ def _back(table: pa.Table, kind: int, answers: np.ndarray, cuts) -> list[tuple]:
     return [(block.as_py(), kind, part, answers[a:b].tobytes()) for block, (a, b) in zip(table.column("block"), cuts, strict=True)]
 
 
-class _State:
-    """What a block knows about its runs after each exchange, worked out again from its text and its mail."""
+def _all_runs(table: pa.Table, length: int):
+    """The pieces of a block with their runs, and for all runs (piece, lo, hi) and the hash of the synchronising suffix."""
+    data, offsets = common.texts(table.column("text"))
+    pieces = []
+    for _, part, offs in _pieces(data, offsets, length):
+        pieces.append(_Piece(part, length))
+        pieces[-1].find_runs(offs)
+    piece = np.repeat(np.arange(len(pieces)), [len(p.lo) for p in pieces])
+    lo, hi = (np.concatenate([np.empty(0, np.int64), *(getattr(p, side) for p in pieces)]) for side in ("lo", "hi"))
+    return pieces, piece, lo, hi, np.concatenate([np.empty(0, np.uint64), *(p.buckets() for p in pieces)])
+
+
+def _by_piece(piece: np.ndarray):
+    """(piece, slice) of runs in the order of their pieces."""
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+    return [(int(piece[a]), slice(a, b)) for a, b in itertools.pairwise(cuts) if b > a]
 
-    def __init__(self, table: pa.Table, mail: common.Mail, length: int, shards: int):
-        self.pieces, self.shards = _opened_pieces(table, length), shards
-        bucket = np.concatenate([np.empty(0, np.uint64), *(p.buckets() for p in self.pieces)])
-        self.first_of = np.cumsum([0, *(len(p.lo) for p in self.pieces)])
-        self.keys, self.key_route, self.counts, places = _distinct(bucket[:, None])
-        self.bucket = bucket
-        if not any(k == BUCKETS for k, _ in mail):
-            self.live = np.empty(0, np.int64)
-            return
-        self.live = np.flatnonzero(_answers(mail, BUCKETS, self.key_route, shards)[places] > 0)
-        runs = np.concatenate([np.empty((0, 7), np.uint64), *(p.runs(self.of(k)) for k, p in enumerate(self.pieces))])
-        self.runs, self.run_route, self.run_counts, self.run_places = _distinct(runs)
 
-    def of(self, k: int, runs: np.ndarray | None = None) -> np.ndarray:
-        """The live runs (or the chosen ones) of piece k, as numbers in the piece."""
-        runs = self.live if runs is None else runs
-        a, b = np.searchsorted(runs, self.first_of[k : k + 2])
-        return runs[a:b] - self.first_of[k]
+class _Runs:
+    """The live runs of a block: piece, lo, hi, bucket (hash of the synchronising suffix), and place among the distinct texts."""
+
+    def __init__(self, piece, lo, hi, bucket, places):
+        self.piece, self.lo, self.hi, self.bucket, self.places = piece, lo, hi, bucket, places
+
+    def note(self) -> bytes:
+        width = pa.array((self.hi - self.lo).astype(np.uint8))
+        return common.pack_bytes(pa.table({"piece": pa.array(self.piece.astype(np.int32)), "lo": pa.array(self.lo.astype(np.int32)), "width": width, "bucket": pa.array(self.bucket), "place": pa.array(self.places.astype(np.int32))}))
+
+    @classmethod
+    def noted(cls, mail: common.Mail) -> _Runs | None:
+        if (RUN_NOTE, 0) not in mail:
+            return None
+        t = common.unpack_bytes(mail[RUN_NOTE, 0][0])
+        piece, lo, width, bucket, places = (t.column(k).to_numpy() for k in range(5))
+        return cls(piece.astype(np.int64), lo.astype(np.int64), lo.astype(np.int64) + width, bucket, places.astype(np.int64))
 
     def leaders(self) -> np.ndarray:
-        """For each distinct text of live runs, the first such run (an index into live)."""
-        out = np.full(len(self.runs), len(self.live), np.int64)
-        np.minimum.at(out, self.run_places, np.arange(len(self.live)))
-        return out
-
-    def settle(self, mail: common.Mail):
-        """Which live runs are repeated as a whole, and the runs whose suffixes go on singly."""
-        code = _answers(mail, RUNS, self.run_route, self.shards)
-        self.whole = code[self.run_places] > 0
+        """For each distinct text, its first run."""
+        return np.unique(self.places, return_index=True)[1]
+
+    def settled(self, mail: common.Mail) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs are repeated as a whole, and the runs whose suffixes go on singly."""
+        code = _answers(mail, RUNS)
+        whole = code[self.places] > 0
         mixed = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(d, np.uint64) for (k, _), ds in mail.items() if k == MIXED for d in ds)]))
         leads = self.leaders()[code == 2]
-        leads = leads[np.isin(self.bucket[self.live[leads]], mixed)]
-        single_runs = np.sort(np.concatenate([self.live[~self.whole], self.live[leads]]))
-        found = [p.single(self.of(k, single_runs)) for k, p in enumerate(self.pieces)]
-        self.at = np.concatenate([np.empty(0, np.int64), *(f[0] + p.at for f, p in zip(found, self.pieces, strict=True))])
-        self.single, self.single_route, self.single_counts, self.single_places = _distinct(np.concatenate([np.empty((0, 4), np.uint64), *(f[1] for f in found)]))
+        return whole, np.sort(np.concatenate([np.flatnonzero(~whole), leads[np.isin(self.bucket[leads], mixed)]]))
 
 
-def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame], int]:
-    """Blocks, the mail that tells which of their suffixes are repeated to `length` bytes, and the number of groups of runs."""
+def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """Blocks, and the mail that tells which of their suffixes are repeated to `length` bytes."""
     if length < 2 * SYNC or length % 4:
         raise ValueError(f"length must be a multiple of 4 and at least {2 * SYNC}")
     blocks, total = pack_blocks(docs, id_col, text_col)
     shards = max(8, math.ceil(total / (SHARD_BYTES * scale(total))))
+    single_shards = SINGLE_SHARDS * shards
 
     def send_buckets(block: int, table: pa.Table):
-        s = _State(table, {}, length, shards)
-        yield from _sent_rows(block, shards, s.key_route, s.counts, s.keys)
+        keys, route, counts, _ = _distinct(_all_runs(table, length)[4][:, None])
+        yield from _sent_rows(block, shards, route, counts, keys)
 
     def group_buckets(table: pa.Table) -> pa.Table:
         keys, counts, cuts = _gathered(table, 1)
@@ -273,13 +275,24 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
     buckets = stage(blocks_only(blocks, send_buckets, SENT).groupBy("part").applyInArrow(group_buckets, MAIL), "buckets")
 
     def send_runs(block: int, table: pa.Table, mail: common.Mail):
-        s = _State(table, mail, length, shards)
-        if len(s.live):
-            yield from _sent_rows(block, shards, s.run_route, s.run_counts, np.column_stack([s.runs, s.bucket[s.live[s.leaders()]]]))
+        pieces, piece, lo, hi, bucket = _all_runs(table, length)
+        live = np.flatnonzero(_answers(mail, BUCKETS)[_distinct(bucket[:, None])[3]] > 0)
+        if not len(live):
+            return
+        piece, lo, hi, bucket = piece[live], lo[live], hi[live], bucket[live]
+        rows, route, counts, places = _distinct(np.concatenate([pieces[k].runs(lo[s], hi[s]) for k, s in _by_piece(piece)]))
+        runs = _Runs(piece, lo, hi, bucket, places)
+        yield from _sent_rows(block, shards, route, counts, np.column_stack([rows, bucket[runs.leaders()]]))
+        yield _batch(_SENT, [(shards + block, block, runs.note())])
+
+    def returned(table: pa.Table, kind: int) -> pa.Table:
+        return pa.Table.from_batches([_batch(_MAIL, [(block.as_py(), kind, 0, data.as_py()) for block, data in zip(table.column("block"), table.column("data"), strict=True)])])
 
     def group_runs(table: pa.Table) -> pa.Table:
         """Codes for runs: 0 comes once, 1 is repeated, 2 too and stands for its text; and the buckets of both
         sorts, as mail (kind MIXED) whose block is the group that compares them."""
+        if table.column("part")[0].as_py() >= shards:
+            return returned(table, RUN_NOTE)
         rows, counts, cuts = _gathered(table, 8)
         total, name = refine(rows[:, :7], counts)
         code, bucket = (total > 1).astype(np.uint8), rows[:, 7]
@@ -308,35 +321,49 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
         return pa.Table.from_batches([_batch(_MAIL, rows)])
 
     mixed = stage(runs.where(F.col("kind") == MIXED).groupBy("block").applyInArrow(meet, MAIL), "mixed")
-    runs = runs.where(F.col("kind") == RUNS)
+    runs = runs.where(F.col("kind") != MIXED)
 
     def send_single(block: int, table: pa.Table, mail: common.Mail):
-        s = _State(table, mail, length, shards)
-        if len(s.live):
-            s.settle(mail)
-            yield from _sent_rows(block, SINGLE_SHARDS * shards, s.single_route, s.single_counts, s.single)
+        runs = _Runs.noted(mail)
+        if runs is None:
+            return
+        which = runs.settled(mail)[1]
+        piece, lo, hi = runs.piece[which], runs.lo[which], runs.hi[which]
+        data, offsets = common.texts(table.column("text"))
+        parts = list(_pieces(data, offsets, length))
+        at, rows = [np.empty(0, np.int64)], [np.empty((0, 4), np.uint64)]
+        for k, s in _by_piece(piece):
+            start, part, _ = parts[k]
+            places, found = _Piece(part, length).single(lo[s], hi[s])
+            at.append(places + start)
+            rows.append(found)
+        rows, route, counts, places = _distinct(np.concatenate(rows))
+        yield from _sent_rows(block, single_shards, route, counts, rows)
+        note = pa.table({"at": pa.array(np.concatenate(at)), "place": pa.array(places.astype(np.int32))})
+        yield _batch(_SENT, [(single_shards + block, block, common.pack_bytes(note))])
 
     def group_single(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= single_shards:
+            return returned(table, SINGLE_NOTE)
         rows, counts, cuts = _gathered(table, 4)
         return pa.Table.from_batches([_batch(_MAIL, _back(table, SINGLE, (refine(rows, counts)[0] > 1).astype(np.uint8), cuts))])
 
-    single = stage(with_mail(blocks, [buckets, runs, mixed], send_single, SENT).groupBy("part").applyInArrow(group_single, MAIL), "single")
-    return blocks, [buckets, runs, mixed, single], shards
+    single = stage(with_mail(blocks, [runs, mixed], send_single, SENT).groupBy("part").applyInArrow(group_single, MAIL), "single")
+    return blocks, [runs, mixed, single]
 
 
-def _repeated(table: pa.Table, mail: common.Mail, length: int, shards: int) -> np.ndarray:
+def _repeated(table: pa.Table, mail: common.Mail, length: int) -> np.ndarray:
     """A mask of the bytes of a block that repeated suffixes cover."""
-    _, offsets = common.texts(table.column("text"))
+    data, offsets = common.texts(table.column("text"))
     edges = np.zeros(int(offsets[-1]) + 1, np.int32)
-    s = _State(table, mail, length, shards)
-    if len(s.live):
-        s.settle(mail)
-        whole = s.live[s.whole]
-        for k, p in enumerate(s.pieces):
-            mine = s.of(k, whole)
-            np.add.at(edges, p.lo[mine] + p.at, 1)
-            np.add.at(edges, p.hi[mine] + p.at + length, -1)
-        hits = s.at[_answers(mail, SINGLE, s.single_route, SINGLE_SHARDS * shards)[s.single_places] > 0]
+    runs = _Runs.noted(mail)
+    if runs is not None:
+        starts = np.array([at for at, _, _ in _pieces(data, offsets, length)])[runs.piece]
+        whole = runs.settled(mail)[0]
+        np.add.at(edges, (runs.lo + starts)[whole], 1)
+        np.add.at(edges, (runs.hi + starts)[whole] + length, -1)
+        note = common.unpack_bytes(mail[SINGLE_NOTE, 0][0])
+        hits = note.column("at").to_numpy()[_answers(mail, SINGLE)[note.column("place").to_numpy()] > 0]
         np.add.at(edges, hits, 1)
         np.add.at(edges, hits + length, -1)
     return np.cumsum(edges)[:-1] > 0
@@ -345,12 +372,12 @@ def _repeated(table: pa.Table, mail: common.Mail, length: int, shards: int) -> n
 def remove_repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
     """doc_id long, n_bytes long, n_removed long, n_spans long, kept binary (what is left, concatenated; it
     may cut a character), or with digest_only kept_sha256 string in its place."""
-    blocks, mails, shards = repeated_suffixes(docs, length, id_col, text_col)
+    blocks, mails = repeated_suffixes(docs, length, id_col, text_col)
     last = "kept_sha256 string" if digest_only else "kept binary"
 
     def clean(_: int, table: pa.Table, mail: common.Mail):
         data, offsets = common.texts(table.column("text"))
-        gone = _repeated(table, mail, length, shards)
+        gone = _repeated(table, mail, length)
         removed, spans, kept = [], [], []
         for a, b in itertools.pairwise(offsets):
             mine = gone[a:b]
