@@ -25,6 +25,8 @@ BLOCK_BYTES = 8 << 20
 SCALE_BYTES, MOST_SCALE = 30 << 30, 16
 #: Buckets of a block table at most (spark.sql.sources.bucketing.maxBuckets), and blocks in one bucket otherwise.
 MOST_BUCKETS, BUCKET_BLOCKS = 100_000, 3
+#: Keys that are broadcast at most: those with more than one in HOT of all rows.
+HOT = 10_000
 #: Bytes of text that are hashed at once inside a block.
 SLICE_BYTES = 1 << 20
 
@@ -98,6 +100,20 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stage_bucketed(docs.mapInArrow(pack, "block long, n_bytes long, payload binary"), "blocks", "block", buckets), total
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with table (how: inner or left), whose weight says how many rows each key has; the weight comes along.
+
+    Of the keys with more than one in HOT of all rows there are HOT at most: they are broadcast, and their rows stay where
+    they are. The shuffle of the others is even, so a key with a third of all rows is no hot spot, whatever the settings
+    for skewed joins."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * HOT > total))
+    cold = table.where(F.col(weight) * HOT <= total)
+    marked = rows.join(hot, on, "left")  # both branches use the same broadcast
+    rest = marked.where(F.col(weight).isNull()).select(*rows.columns).join(cold, on, how)
+    return marked.where(F.col(weight).isNotNull()).unionByName(rest)
+
+
 Mail = dict[tuple[int, int], list[bytes]]
 
 
@@ -145,4 +161,4 @@ def sharded(order: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     return [(k, slice(int(cuts[k]), int(cuts[k + 1]))) for k in range(shards) if cuts[k + 1] > cuts[k]]
 
 
-__all__ = ["Mail", "blocks_only", "pack_blocks", "release", "scale", "sharded", "stage", "texts", "with_mail"]
+__all__ = ["Mail", "blocks_only", "pack_blocks", "release", "scale", "sharded", "spread_join", "stage", "texts", "with_mail"]

@@ -5,12 +5,14 @@ word of the items is one symbol, so a window is a short string of symbols and th
 turned into symbols in one pass (words that no item has become one filler symbol) and scanned once;
 matches are word ranges, which are mapped back to offsets of the original text.
 
-The automaton is held by every worker, so its size is checked: items over PART_BYTES of text
-are dealt to several automata, applied one after the other with the hits staged in between.
-
-Defined results: null or empty text has no words and no hits; null or empty items have no windows; an item with
-a null item_id counts under the name "null"; repeated items of one name count once; a null doc_id is kept; empty tables
-on either side give no hits; columns other than the named ones are never looked at.
+The automaton is held by every worker, so its size is checked: up to PART_WINDOWS distinct pairs of window and item make one
+automaton. More than that (some 6 MB of item text) are dealt to several by a hash, applied one after the other with the
+hits staged in between; pairs are dealt, so neither one long item nor a repeated one makes a part larger.
+
+Defined results: null or empty text has no words and no hits; null or empty items have no windows; items with
+a null item_id count as one item without a name, which is null in `items` and not part of the joined names; repeated
+items of one name count once; a null doc_id is kept; empty tables on either side give no hits; columns other than the named
+ones are never looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common, hashing
 from loomgraph.llm.common import stage
 
-#: Bytes of item text in one automaton.
-PART_BYTES = 4 << 20
+#: Pairs of a window and an item that has it in one automaton.
+PART_WINDOWS = 1 << 20
 #: Words are runs of [0-9a-z] and of bytes from 0x80, after lower-casing A-Z.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -43,16 +45,13 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Finds windows of items in lists of words."""
+    """Finds windows of items, given as (name, words of the window joined by a space), in lists of words."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, pairs: list[tuple[str | None, bytes]]):
         self.symbols: dict[bytes, str] = {}
-        windows: dict[str, set[str]] = {}
-        for name, text in items:
-            words = words_of(text)
-            coded = "".join(self._symbol(w) for w in words)
-            for i in range(max(len(coded) - window, 0) + 1 if coded else 0):
-                windows.setdefault(coded[i : i + window], set()).add(name)
+        windows: dict[str, set[str | None]] = {}
+        for name, window in pairs:
+            windows.setdefault("".join(self._symbol(w) for w in window.split()), set()).add(name)
         self.tree = ahocorasick.Automaton() if windows else None
         for coded, names in windows.items():
             self.tree.add_word(coded, (len(coded), tuple(names)))
@@ -63,14 +62,14 @@ class Automaton:
         code = len(self.symbols) + 1
         return self.symbols.setdefault(word, chr(code if code < 0xD800 else code + 0x800))
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Ranges of words (end exclusive) inside windows, merged, and the names of the items."""
         if self.tree is None or not words:
             return [], set()
         get = self.symbols.get
         coded = "".join([get(w, "\0") for w in words])
         ranges: list[tuple[int, int]] = []
-        names: set[str] = set()
+        names: set[str | None] = set()
         for end, (length, found) in self.tree.iter(coded):
             names.update(found)
             a = end + 1 - length
@@ -98,25 +97,38 @@ def _code_points(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(point[starts[a]]), int(point[ends[b - 1]])) for a, b in ranges]
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
-    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
+def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[tuple[list[tuple[str | None, bytes]], bool]]:
+    """The distinct pairs (item, window) for each automaton in turn, and whether it is the last one."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                starts = range(max(len(words) - window, 0) + 1 if words else 0)
+                for at in range(0, len(starts), 4096):
+                    made = [b" ".join(words[i : i + window]) for i in starts[at : at + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(made), pa.string()), pa.array(made, pa.binary())], names=["item", "window"])
+
+    pairs = stage(items.mapInArrow(cut, "item string, window binary").distinct(), "windows")
+    parts = max(1, math.ceil(pairs.count() / PART_WINDOWS))
+    for k in range(parts):
+        # bounded by PART_WINDOWS, so it may come to the driver
+        part = pairs.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k).toArrow()
+        yield list(zip(part.column("item").to_pylist(), part.column("window").to_pylist(), strict=True)), k == parts - 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id long, n_words long, n_hit long, items array<string> (sorted), spans array<struct<start long, end long>>
+    """doc_id long, n_words long, n_hit long, items array<string> (sorted, null last), spans array<struct<start long, end long>>
     (runs of hit words, as code points of the original text), one row for each row of docs."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = _parts(benchmark, item_col, item_text_col)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def scanner(items: list[tuple[str, str]], first: bool, last: bool):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    def scanner(pairs: list[tuple[str | None, bytes]], first: bool, last: bool):
+        shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+            automaton = Automaton(shared.value)
             for batch in batches:
                 data, offsets = common.texts(batch.column(1))
                 cuts = offsets.tolist()
@@ -130,7 +142,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
                         ranges = _merged([*ranges, *map(tuple, held)])
                         names |= set(batch.column(4)[row].as_py())
                     n_words.append(len(words))
-                    items.append(sorted(names))
+                    items.append(sorted(names, key=lambda x: (x is None, x or "")))
                     if last:
                         n_hit.append(sum(b - a for a, b in ranges))
                         spans.append([{"start": a, "end": b} for a, b in _code_points(text, ranges)] if ranges else [])
@@ -143,11 +155,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
 
         return run
 
-    for k, part in enumerate(parts):
-        # bounded by PART_BYTES, so it may come to the driver
-        items = [(r.item, r.text) for r in part.collect()]
-        last = k == len(parts) - 1
-        picked = picked.mapInArrow(scanner(items, k == 0, last), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" if last else HITS)
+    for k, (pairs, last) in enumerate(_parts(benchmark, window, item_col, item_text_col)):
+        picked = picked.mapInArrow(scanner(pairs, k == 0, last), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" if last else HITS)
         if not last:
             picked = stage(picked, "hits")
     return picked
@@ -157,11 +166,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     """The rows of docs without any hit word, with all their columns: a pass over docs for each automaton, and no shuffle."""
     place, context = docs.columns.index(text_col), docs.sparkSession.sparkContext
 
-    def cleaner(items: list[tuple[str, str]]):
-        shared = context.broadcast(items)
+    def cleaner(pairs: list[tuple[str | None, bytes]]):
+        shared = context.broadcast(pairs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+            automaton = Automaton(shared.value)
             for batch in batches:
                 data, offsets = common.texts(batch.column(place))
                 cuts = offsets.tolist()
@@ -170,10 +179,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
 
         return run
 
-    parts = _parts(benchmark, item_col, item_text_col)
-    for k, part in enumerate(parts):
-        docs = docs.mapInArrow(cleaner([(r.item, r.text) for r in part.collect()]), docs.schema)
-        docs = docs if k == len(parts) - 1 else stage(docs, "clean")
+    for pairs, last in _parts(benchmark, window, item_col, item_text_col):
+        docs = docs.mapInArrow(cleaner(pairs), docs.schema)
+        docs = docs if last else stage(docs, "clean")
     return docs
 
 

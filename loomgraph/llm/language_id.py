@@ -15,7 +15,6 @@ gives an empty result; columns other than the named ones are never looked at.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,11 @@ from loomgraph.llm import common, hashing
 #: Bytes of a window; labelled rows used for training at most, and windows taken from each.
 WINDOW, TRAIN_ROWS, WINDOWS_EACH = 256, 6000, 2
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter (Unicode category L), as \\p{L} in Spark."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -178,7 +181,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             data, offsets = common.texts(texts)
             for a, b in hashing.slices(offsets, common.SLICE_BYTES):
                 names, scores = ["und"] * (b - a), np.zeros(b - a)
-                letters = [k for k in range(b - a) if (t := texts[a + k].as_py()) and _LETTER.search(t)]
+                letters = [k for k in range(b - a) if has_letter(texts[a + k].as_py())]
                 if net and letters:
                     total = _means(net, tables, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     best = total.argmax(1)

@@ -51,7 +51,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold() != 0))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold() != 0, window_words=toxicity.WORST_WINDOW)
+    found = toxicity.score(docs, model)
     return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -89,6 +90,48 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
+_OP2_RULES = (
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("git_token", "gh[opsru]_[A-Za-z0-9]+", 0, 40),
+    ("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 0),
+)
+
+
+def _op2() -> str:
+    """Matches are marked with two characters of the private use area, and places counted in the pieces between them."""
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, '{pattern}' AS re, {group} AS least_of, {least} AS least, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS p FROM d"
+        for k, (kind, pattern, group, least) in enumerate(_OP2_RULES)
+    )
+    lengths = " ".join(f"WHEN {k} THEN length(regexp_extract(m, '{pattern}', {group})) >= {least}" for k, (_, pattern, group, least) in enumerate(_OP2_RULES))
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), marked AS (
+  {found}
+), pieces AS (
+  SELECT r, k, kind, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM marked WHERE len(p) > 1
+), placed AS (
+  SELECT *, split_part(x, chr(57345), 1) AS m,
+    sum(length(x) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a
+  FROM pieces
+), spans AS (
+  SELECT r, k, kind, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(m) AS BIGINT) AS s FROM placed WHERE i > 1 AND CASE k {lengths} END
+), joined AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(s, ',' ORDER BY a, k) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
 _OP3 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -162,12 +205,44 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM d LEFT JOIN left_over USING (r)
 """
 
+_OP6 = """
+WITH t AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents
+), sizes AS (
+  SELECT source, sum(tokens) AS n, count(*) AS n_docs FROM t GROUP BY source
+), whole AS (
+  SELECT sum(n) AS total, max(n) AS largest, min(n) FILTER (n > 0) AS least, count(*) FILTER (n > 0) AS k FROM sizes
+), heat AS (
+  SELECT *, CASE WHEN total = 0 OR k < 2 THEN 1.0 WHEN largest = least THEN 0.0 ELSE greatest(0.0, 1 - ln(4) / ln(largest / least)) END AS alpha FROM whole
+), budgets AS (
+  SELECT source, n, CAST(ceil(sqrt(n_docs)) AS BIGINT) AS n_blocks,
+    CASE WHEN n > 0 THEN greatest(CAST(round(exp(alpha * ln(n / total)) * total * exp((1 - alpha) * ln(largest / total))) AS BIGINT), n) ELSE 0 END AS budget
+  FROM sizes, heat
+), dealt AS (
+  SELECT t.*, n, budget, CAST('0x' || substr(md5('block|' || coalesce(doc_id, 0) || '|0'), 1, 12) AS BIGINT) % n_blocks AS b
+  FROM t JOIN budgets ON t.source IS NOT DISTINCT FROM budgets.source
+), blocks AS (
+  SELECT source, b, row_number() OVER w AS block, sum(sum(tokens)) OVER (w ROWS UNBOUNDED PRECEDING) - sum(tokens) AS ahead
+  FROM dealt GROUP BY source, b WINDOW w AS (PARTITION BY source ORDER BY md5('order|' || b || '|0'), b)
+), placed AS (
+  SELECT *, row_number() OVER w AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before
+  FROM dealt WINDOW w AS (PARTITION BY source, b ORDER BY md5(concat_ws('|', 'doc', doc_id, '0')), doc_id NULLS FIRST, tokens)
+), timed AS (
+  SELECT p.doc_id, p.source, p.tokens, block, place, CASE WHEN n > 0 THEN budget // n ELSE 1 END
+    + CASE WHEN p.tokens > 0 AND before + ahead < budget - budget // n * n THEN 1 ELSE 0 END AS times
+  FROM placed p JOIN blocks q ON p.source IS NOT DISTINCT FROM q.source AND p.b = q.b
+)
+SELECT doc_id, source, tokens, CAST(unnest(range(CAST(times AS BIGINT))) AS INTEGER) AS epoch, block, place FROM timed
+"""
+
 _OP9 = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), o AS (
+  SELECT *, md5(length(role) || ':' || role || text) AS h FROM t
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM t
+  SELECT *, row_number() OVER w AS k, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn, h)
 ), ends AS (
   SELECT conv_id, max(k) AS n, arg_max(upto, k) AS body FROM r GROUP BY conv_id
 ), uniq AS (
@@ -177,7 +252,7 @@ WITH t AS (
 ), kept AS (
   SELECT conv_id, n AS n_turns, n_copies FROM uniq WHERE body NOT IN (SELECT upto FROM proper)
 )
-SELECT conv_id, n_turns, n_copies, CAST(floor(turn / 256) AS BIGINT) AS part,
+SELECT conv_id, n_turns, n_copies, (k - 1) // 256 AS part,
   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
 FROM r JOIN kept USING (conv_id) GROUP BY ALL
 """
@@ -186,7 +261,7 @@ _OP10 = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), b AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), win AS (
   SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
@@ -199,7 +274,7 @@ WITH d AS (
 ), words AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hit GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT item) + CAST(max(item IS NULL) AS INT) AS n_items, array_to_string(list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)), ',') AS names FROM hit GROUP BY doc_id
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -209,4 +284,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force or held-out accuracy."""
-    return {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op4_substring_dedup": _OP4, "op5_suffix_dedup": _OP5, "op9_chat_format": _OP9, "op10_decontamination": _OP10}
+    return {"op1_topk_search": _OP1, "op2_secret_scan": _op2(), "op3_near_dedup": _OP3, "op4_substring_dedup": _OP4, "op5_suffix_dedup": _OP5, "op6_source_mixing": _OP6, "op9_chat_format": _OP9, "op10_decontamination": _OP10}

@@ -9,11 +9,12 @@ Weights become budgets of tokens: the total is the smallest that lets every sour
 (`total_tokens` None), or the given total. Each source is dealt into blocks, about the square root of its
 documents in number, and blocks and the documents in them are permuted by hash. An epoch goes through all of
 them; the last, partial epoch takes documents in that order until the budget is met (the one that
-meets it is taken). No window holds more than about a square root of a source.
+meets it is taken). No window holds more than about a square root of a source: rows of one doc_id and size, which can't be
+told apart in the mixture, are counted first and dealt out again at the end.
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens and come along once in every
-full epoch of their source, at least once; rows that repeat a doc_id are documents of their own with the same place;
-a source without tokens has weight 0 and comes once; an empty table gives an empty result; columns other than the
+full epoch of their source, at least once; rows that repeat a doc_id are documents of their own, with places of
+their own one after the other; so are rows with a null doc_id; a source without tokens has weight 0 and comes once; an empty table gives an empty result; columns other than the
 named ones are never looked at.
 """
 
@@ -28,6 +29,8 @@ from loomgraph.llm.common import stage
 
 #: Exponents tried in one pass, and passes: the interval shrinks to (GRID + 1) ** -PASSES.
 GRID, PASSES = 15, 8
+#: Rows of one doc_id and size that are dealt out at once.
+COPIES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,15 +86,21 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 4.0, target_entropy:
     plan = budgets.select(F.col("source").alias("_source"), "budget", "n_blocks", F.col("tokens").alias("_all"))
     # the table of sources may be of any size: Spark broadcasts it only where it has measured it to be small
     order = lambda *cols: F.md5(F.concat_ws("|", *(c.cast("string") for c in cols), F.lit(str(seed))))
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    same = rows.groupBy("source", "doc_id", "tokens").agg(F.count("*").alias("copies"))
+    dealt = same.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("block", F.pmod(F.conv(F.substring(order(F.lit("block"), F.coalesce("doc_id", F.lit(0))), 1, 12), 16, 10).cast("long"), F.col("n_blocks")))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
+    blocks = dealt.groupBy("source", "block").agg(F.sum(F.col("copies") * F.col("tokens")).alias("block_tokens"))
     shuffled = Window.partitionBy("source").orderBy(order(F.lit("order"), F.col("block")), "block")
     blocks = blocks.select("source", "block", F.row_number().over(shuffled).alias("block_rank"), (F.sum("block_tokens").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("before_block"))
     blocks = blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "block_rank", "before_block")
-    inside = Window.partitionBy("source", "block").orderBy(order(F.lit("doc"), F.col("doc_id")), "doc_id")
-    dealt = dealt.withColumns({"place": F.row_number().over(inside).cast("long"), "before": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")})
+    inside = Window.partitionBy("source", "block").orderBy(order(F.lit("doc"), F.col("doc_id")), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("copies") * F.col("tokens")
+    dealt = dealt.withColumns({"place": F.sum("copies").over(inside) - F.col("copies") + 1, "before": F.sum(own).over(inside) - own})
     dealt = dealt.join(blocks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    # copies come back one after the other, in two steps, so that no array is long
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    dealt = dealt.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1)))
+    dealt = dealt.withColumns({"place": F.col("place") + F.col("copy"), "before": F.col("before") + F.col("copy") * F.col("tokens")})
     # tokens of the source that come before this document in each epoch
     before = F.col("before") + F.col("before_block")
     full = F.when(F.col("_all") > 0, F.floor(F.col("budget") / F.col("_all"))).otherwise(F.lit(1))

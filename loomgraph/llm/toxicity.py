@@ -1,19 +1,22 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
 A word is a bag of byte n-grams of its lower-cased spelling with boundary marks, hashed into buckets with embeddings.
-The embeddings of a window of WORDS words are averaged, and a linear softmax gives the odds of label 1; a misspelling
-shares most n-grams with the word it distorts. A text is as toxic as its worst window, and the odds of that are
-calibrated on the training rows. The windows of a toxic text bear its label first; then the embeddings are trained on
-its worst windows only, as most of its windows are harmless.
+The embeddings of a text's bag are averaged, and a linear softmax gives the odds of label 1; a misspelling
+shares most n-grams with the word it distorts. The odds are calibrated on the training rows.
+
+With `window_words` a text is not one bag but a bag for each window of that many words, and it is as toxic as its worst
+window: a few toxic words don't vanish in the average of a long text. The windows of a toxic text bear its label first;
+then the embeddings are trained on its worst windows only, as most of its windows are harmless.
 
 The score of a bag is linear in its n-grams, so prediction needs one number for each bucket.
 
 Training takes a bounded sample of labelled rows (TRAIN_ROWS of each label, in the order of a hash, with at most
-TRAIN_CHARS characters); prediction sees the whole text and nothing else.
+TRAIN_CHARS characters, one text for each id); prediction sees the whole text and nothing else.
 
-Defined results: null or empty texts, and texts without words, have the lowest score of all bags, that of the prior
-alone; so has every text if no row is labelled; rows of labels that repeat a doc_id count as toxic if any is; repeated
-rows and null ids are kept as they are; an empty table gives an empty result; columns other than the named ones are never looked at.
+Defined results: null or empty texts, and texts without words, have the score of an empty bag, that of bias and prior
+alone; so has every text if no row is labelled; rows of labels that repeat a doc_id count as toxic if any is; of rows of
+docs that repeat a labelled id the smallest text is learned from; repeated rows and null ids are kept as they are; an empty
+table gives an empty result; columns other than the named ones are never looked at.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from loomgraph.llm import common, hashing
 
 #: Labelled rows of each label used for training at most, and their longest text in characters.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
-#: Lengths of n-grams, buckets (as a power of two), embedding dimensions and words of a window.
-GRAMS, BUCKET_BITS, DIM, WORDS = (3, 4, 5, 6), 18, 12, 3
+#: Lengths of n-grams, buckets (as a power of two) and embedding dimensions.
+GRAMS, BUCKET_BITS, DIM = (3, 4, 5, 6), 18, 12
 #: A bucket learns only if this many training texts have it, whatever their number: rarer ones would memorise texts.
 LEAST_TEXTS = 5
+#: Words of a window where whole texts lose too many toxic ones (README has the figures of both forms).
+WORST_WINDOW = 3
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SPACE = np.uint8(32)
@@ -48,6 +53,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    window_words: int | None = None
 
 
 def _spelled(column) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +67,17 @@ def _spelled(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Bags:
-    """n-gram buckets of a slice of texts. A space ends the slice, so that last words have an end."""
+    """n-gram buckets of a slice of texts, whole or in windows of window_words words. A space ends the slice, so that last
+    words have an end."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window_words: int | None):
         data = np.append(data, _SPACE)
         word = data != _SPACE
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        self.starts = np.flatnonzero(first)
+        before = np.searchsorted(self.starts, offsets)
+        counts = np.diff(before)
         self.valid, self.bucket = [], []
         n = len(data)
         d = data.astype(np.uint32)
@@ -82,15 +94,11 @@ class _Bags:
                     self.valid.append(inner)
                     mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                     self.bucket.append((mixed >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        self.starts = np.flatnonzero(first)
-        before = np.searchsorted(self.starts, offsets)
-        counts = np.diff(before)
-        self.windows = np.maximum(-(-counts // WORDS), 1)
+        size = window_words or len(data)
+        self.windows = np.maximum(-(-counts // size), 1)
         self.row = np.repeat(np.arange(len(counts)), self.windows)
         place = np.arange(len(self.row)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
-        k = before[:-1][self.row] + WORDS * place
+        k = before[:-1][self.row] + size * place
         # a window goes from the space before its first word to that of the next window's
         self.lo = np.where(place > 0, self.starts[np.minimum(k, len(self.starts) - 1)] - 1 if len(self.starts) else 0, offsets[:-1][self.row])
         last = np.append(self.row[1:] != self.row[:-1], True)
@@ -125,24 +133,24 @@ def _worst(bags: _Bags, logits: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(logits, np.cumsum(bags.windows) - bags.windows)
 
 
-def train(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 5, batch: int = 48, rate: float = 1.5, seed: int = 0) -> Model:
+def train(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 5, batch: int = 48, rate: float = 1.5, seed: int = 0, window_words: int | None = None) -> Model:
     """Fits embeddings and softmax to texts; prior is the share of label 1 among all labelled rows."""
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     if not texts:
-        return Model(weights, 0.0, 1.0, -1.0)
+        return Model(weights, 0.0, 1.0, -1.0, window_words)
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
     embed = rng.normal(0, 0.05, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, DIM).astype(np.float32)  # of label 1 against label 0
     bias, seen = 0.0, np.full(1 << BUCKET_BITS, 1e-6, np.float32)
     column = pa.array(texts, pa.large_string())
-    frequent = _text_counts(column, batch) >= LEAST_TEXTS
+    frequent = _text_counts(column, batch, window_words) >= LEAST_TEXTS
     embed[~frequent] = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             pick = np.sort(order[k : k + batch])
-            bags = _Bags(*_spelled(column.take(pa.array(pick))))
+            bags = _Bags(*_spelled(column.take(pa.array(pick))), window_words)
             bucket, window = bags.items()
             n = len(bags.row)
             count = np.maximum(np.bincount(window, minlength=n), 1)
@@ -167,17 +175,17 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int =
     weights = (embed @ out).astype(np.float32)
     worst = np.empty(len(texts))
     for k in range(0, len(texts), batch):
-        bags = _Bags(*_spelled(column.slice(k, batch)))
+        bags = _Bags(*_spelled(column.slice(k, batch)), window_words)
         worst[k : k + batch] = _worst(bags, _logits(bags, weights, bias))
     slope, shift = _calibrated(worst, y, prior)
-    return Model(weights, bias, slope, shift)
+    return Model(weights, bias, slope, shift, window_words)
 
 
-def _text_counts(column: pa.Array, batch: int) -> np.ndarray:
+def _text_counts(column: pa.Array, batch: int, window_words: int | None) -> np.ndarray:
     """For each bucket the number of texts that have it."""
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for k in range(0, len(column), batch):
-        bags = _Bags(*_spelled(column.slice(k, batch)))
+        bags = _Bags(*_spelled(column.slice(k, batch)), window_words)
         bucket, window = bags.items()
         pairs = np.unique(bags.row[window].astype(np.int64) << BUCKET_BITS | bucket)
         out += np.bincount(pairs & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
@@ -203,18 +211,19 @@ def _calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, floa
     return float(a / spread), float(b - a * mid / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", window_words: int | None = None) -> Model:
     """Trains on labelled rows; usable (on labels) says which may be learned from."""
     rows = labels if usable is None else labels.where(usable)
     rows = rows.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
     n, n_toxic = rows.agg(F.count("*"), F.sum("_y")).first()
     if not n:
-        return train([], [])
+        return train([], [], window_words=window_words)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, TRAIN_CHARS))
     # a fixed number of ids is broadcast, and as many texts of bounded length come back
     picked = rows.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS).unionByName(rows.where("_y = 0").orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
-    found = sorted((r._id, r._text, r._y) for r in texts.join(F.broadcast(picked), "_id").limit(4 * TRAIN_ROWS).collect())
-    return train([t for _, t, _ in found], [y for _, _, y in found], (n_toxic + 1) / (n + 2))
+    once = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    found = sorted((r._id, r._text, r._y) for r in once.collect())
+    return train([t for _, t, _ in found], [y for _, _, y in found], (n_toxic + 1) / (n + 2), window_words=window_words)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,6 +253,6 @@ def scores(column, model: Model) -> np.ndarray:
     out = np.empty(len(column))
     _, offsets = common.texts(column)
     for a, b in hashing.slices(offsets, common.SLICE_BYTES):
-        bags = _Bags(*_spelled(column.slice(a, b - a)))
+        bags = _Bags(*_spelled(column.slice(a, b - a)), model.window_words)
         out[a:b] = _worst(bags, _logits(bags, model.weights, model.bias))
     return 1 / (1 + np.exp(-np.clip(model.slope * out + model.shift, -40, 40)))

@@ -149,8 +149,8 @@ def test_decontamination(spark, monkeypatch):
     item = "One two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"É, {item.upper()}! end"), (2, "two three four"), (3, None), (4, "short-ITEM here short item"), (5, "")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, "Short item"), (9, None), (10, " ")], "item_id long, text string")
-    for part in (4 << 20, 20):
-        monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    for part in (1 << 20, 2):
+        monkeypatch.setattr(decontaminate, "PART_WINDOWS", part)
         got = {r.doc_id: r for r in decontaminate.find_leaks(docs, bench).collect()}
         assert [(got[d].n_words, got[d].n_hit, got[d].items) for d in (1, 2, 3, 4, 5)] == [(13, 11, ["7"]), (3, 0, []), (0, 0, []), (5, 4, ["8"]), (0, 0, [])]
         assert [tuple(s) for s in got[4].spans] == [(0, 10), (16, 26)] and [tuple(s) for s in got[1].spans] == [(3, 3 + len(item))]
