@@ -1,7 +1,12 @@
 """The corpus pipeline: documents through five stages, each calling one operator of loomgraph.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of documents; the last returns the mixture (see loomgraph.llm.source_mixing).
+columns of documents; the last returns the mixture with its texts (see loomgraph.llm.source_mixing).
+
+Defined results: null and empty texts are no toxic ones if an empty bag isn't, no near copies, no leaks and hold no
+secrets, and come along once in every full epoch of their source; rows without an id are never taken for copies of each other
+by id, and all go on; of rows that repeat an id one stays; an empty table gives an empty mixture; columns besides those of
+documents, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from loomgraph.llm.common import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that the classifier rejects (score 0.5 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels, window_words=toxicity.WORST_WINDOW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents to train on, in epochs: every kept document at least once, no source over four times."""
-    return source_mixing.mix_sources(docs, max_epochs=4.0)
+    """The documents to train on, in epochs: every kept document at least once, no source over four times. doc_id, source, text,
+    tokens, epoch, block and place, a row for each time that a document is taken.
+
+    The mixture has an id for each document: its doc_id, or a hash of source and text for documents without one, so that
+    texts find their rows. Equal documents without an id have one hash, a row each in the mixture, and one text."""
+    own = -F.abs(F.xxhash64("source", "text") / 2).cast("long") - 1
+    named = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).withColumn("row", F.coalesce(F.col("doc_id").cast("long"), own))
+    mixture = source_mixing.mix_sources(named, max_epochs=4.0, id_col="row").withColumnRenamed("doc_id", "row")
+    with_id = named.where("doc_id is not null").select("row", "doc_id", "text")
+    without = named.where("doc_id is null").select("row", "doc_id", "text").dropDuplicates(["row"])
+    mixed = mixture.join(with_id.unionByName(without), "row")
+    return mixed.select("doc_id", "source", "text", "tokens", "epoch", "block", "place")
 
 
 STAGES = [
@@ -59,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Classifiers and hashes can't be expressed in SQL; tests compare with a brute-force version.
+#: The classifier can't be expressed in SQL; tests/llm compares all stages with a brute-force version.
 ORACLE_SQL = None
