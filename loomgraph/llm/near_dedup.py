@@ -9,7 +9,10 @@
    rule out pairs that are far below the threshold, and the rest are verified on full sets. Verified pairs are grouped.
 5. Buckets that still hold several groups compare their classes across groups, in a grid of bounded
    chunks, so no link between groups is lost; a pair comes from the first bucket that both share, and pairs
-   inside a group can't change the result and are not made.
+   inside a group can't change the result and are not made. The group of the centre, which holds most of a large bucket,
+   is dealt apart from the rest and only meets the rest.
+
+Buckets and classes of any size are joined by common.spread_join(), which no hot key makes uneven.
 
 With 32 bands of 4 components a pair at similarity 0.8 misses every band with probability 5e-8.
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
-from loomgraph.llm.common import stage
+from loomgraph.llm.common import spread_join, stage
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.hashing import LOWER, NOT_SPACE, U, WORD_BASE, mix
 
@@ -37,8 +40,8 @@ BANDS, ROWS = 32, 4
 ELEMENTS = 1 << 17
 #: Estimated similarity under which a pair is not verified: over five standard deviations below 0.8.
 FAR = 0.2
-#: Members of a bucket that meet in one grid cell.
-CHUNK = 512
+#: Members of a bucket that meet in one grid cell, from either side.
+CHUNK = 256
 #: Bits of the filter that keeps documents without candidates out of the shuffle; a full one lets all pass.
 FILTER_BITS = 1 << 26
 
@@ -199,9 +202,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     Documents are linked if 100 * shared shingles >= percent * shingles of either; component_id is the
     smallest doc_id that links reach."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_signed(shingle_words, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stage(classes, "classes")
+    signed = stage(docs.mapInArrow(_signed(shingle_words, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "signed")
+    with_set = signed.where("n_shingles > 0 and doc_id is not null")
+    same = ["fp1", "fp2", "n_shingles"]
+    # any row of a class has its signature: the class is counted on whole numbers, and takes the rest from one row
+    found = with_set.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("n_rows"))
+    classes = stage(found.join(signed.select("row", "sig", "bands"), "row").drop("row"), "classes")
     signatures = classes.select("id", "sig")
     near = _near(percent / 100, bands * rows)
 
@@ -212,10 +218,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
 
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     # the centre of a bucket is its member with the smallest hash, the same for all bands that a group shares
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("centre")).where("n > 1")
-    members = stage(members.join(buckets.select("band", "key", "n", F.col("centre.id").alias("centre")), ["band", "key"]), "members")
-
-    star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.xxhash64("id")).alias("h")).where("n > 1")
+    buckets = stage(buckets, "buckets")
+    members = spread_join(members.withColumn("own", F.xxhash64("id")), buckets, ["band", "key"], "n")
+    members = stage(members, "members")
+
+    # equal hashes of two ids would only make two centres
+    centres = members.where("own = h").select("id", "h").distinct()
+    star = members.where("own <> h").select("id", "h").distinct().join(centres.withColumnRenamed("id", "centre"), "h")
+    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     verify = _Verifier(docs, classes, shingle_words, percent)
     links = verify(stage(promising(star), "pairs"))
     groups = stage(connected_components(links), "groups")
@@ -223,19 +234,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     def grouped(frame: DataFrame) -> DataFrame:
         return frame.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    left = grouped(members.select("id", "band", "key", "n"))
-    several = left.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    left = stage(left.join(several, ["band", "key"]), "left")
-    members_left = _promising_members(left, signatures, percent / 100, bands * rows)
+    left = stage(grouped(members.select("id", "band", "key", "own", "h")), "left")
+    parts = left.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("h")).alias("major"))
+    several = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.when(F.col("major"), F.col("component"))).alias("major"), F.max(F.when(F.col("major"), F.col("n"))).alias("n_major"))
+    several = stage(several.where("parts > 1").drop("parts"), "several")
+    members_left = _promising_members(spread_join(left.drop("own", "h"), several, ["band", "key"], "n"), signatures, percent / 100, bands * rows)
     members_left = stage(members_left, "promising")
     if not members_left.isEmpty():
         more = _verified_across(members_left, verify.sets(members_left.select("id")), percent, percent / 100, bands * rows)
         groups = stage(connected_components(links.unionByName(stage(more, "links"))), "groups")
 
-    reps = classes.select("fp1", "fp2", "n_shingles", "id")
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(grouped(reps).select("fp1", "fp2", "n_shingles", "component"), ["fp1", "fp2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    reps = grouped(classes.select(*same, "id", "n_rows")).select(*same, "component", "n_rows")
+    out = spread_join(with_set.select("doc_id", *same), reps, same, "n_rows").select("doc_id", "n_shingles", "component")
+    # texts without shingles and rows without an id are linked with nothing
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = out.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def _candidates(table: pa.Table, threshold: float, m: int):
@@ -259,10 +273,17 @@ _CELL = "band int, key long, x int, y int, id long, component long, sig binary,
 
 def _promising_members(left: DataFrame, signatures: DataFrame, threshold: float, m: int) -> DataFrame:
     """Members of buckets that hold several groups, dealt into a grid of chunks of CHUNK members; of each cell, those
-    that are near a member of another group. A row for each member and cell, however many pairs there are."""
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = left.join(signatures, "id").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), chunks).cast("int"))
-    rows = rows.select("band", "key", "id", "component", "sig", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    that are near a member of another group. A row for each member and cell, however many pairs there are.
+
+    The centre's group has chunks -1, -2, ... that only meet those of the other groups, 0, 1, ..."""
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    rest, own = chunks(F.col("n") - F.col("n_major")), chunks(F.col("n_major"))
+    major = F.col("component") == F.col("major")
+    dealt = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+    others = F.sequence(F.lit(0), rest - 1)
+    rows = left.withColumn("chunk", F.when(major, -1 - dealt(own)).otherwise(dealt(rest)))
+    rows = rows.withColumn("other", F.explode(F.when(major, others).otherwise(F.concat(others, F.sequence(-own, F.lit(-1))))))
+    rows = rows.select("band", "key", "id", "component", "chunk", "other").join(signatures, "id")
     rows = rows.select("band", "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "component", "sig", "chunk")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -312,10 +333,13 @@ def distinct_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -
     """The rows of docs that near_duplicates() keeps, one for each kept document; rows without an id all stay.
 
     Join and deduplication have the same key, so the texts are shuffled once."""
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.withColumn("_kept_id", F.col(id_col).cast("long"))
-    once = rows.where("_kept_id is not null").join(kept, "_kept_id", "left_semi").dropDuplicates(["_kept_id"])
-    return once.select(*docs.columns).unionByName(rows.where("_kept_id is null").select(*docs.columns))
+    own = "kept_id"
+    while own in docs.columns:
+        own += "_"
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.withColumn(own, F.col(id_col).cast("long"))
+    once = rows.where(F.col(own).isNotNull()).join(kept, own, "left_semi").dropDuplicates([own])
+    return once.select(*docs.columns).unionByName(rows.where(F.col(own).isNull()).select(*docs.columns))
 
 
 __all__ = ["distinct_groups", "near_duplicates", "shingle_hashes", "superminhash"]
