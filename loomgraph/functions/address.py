@@ -99,12 +99,20 @@ def format_address(package: Column, name: Column, args: Column | None = None) ->
     return F.when(F.size(args) > 0, F.concat(text, F.lit("@"), F.array_join(pairs, ","))).otherwise(text)
 
 
-def relative_package(package: str, base: str) -> str:
-    """The shortest form of package as seen from base: ., ./x, ../x or //package."""
-    mine, theirs = [p for p in package.split("/") if p], [p for p in base.split("/") if p]
-    same = 0
-    while same < min(len(mine), len(theirs)) and mine[same] == theirs[same]:
-        same += 1
-    up, down = len(theirs) - same, mine[same:]
-    near = "/".join([*[".."] * up, *down]) if up else "/".join([".", *down])
-    return min(near, f"//{package}", key=len)
+def build_address(package: Column, variant: Column | None = None) -> Column:
+    """The address of a package's build target, for one variant or, without, for the machine's own."""
+    text = F.concat(F.lit("//"), package, F.lit(":build"))
+    return text if variant is None else F.when(F.coalesce(variant, F.lit("")) == "", text).otherwise(F.concat(text, F.lit("@v="), variant))
+
+
+def parsed_address(text: Column) -> Column:
+    """struct<package, name, args map<string,string>> of absolute addresses; null for what is none. The Column form of
+    parse_address(): arguments are pairs, and a quoted value may hold commas."""
+    package, name = F.regexp_extract(text, _COLUMN, 1), F.regexp_extract(text, _COLUMN, 2)
+    pairs = F.regexp_extract_all(F.regexp_extract(text, _COLUMN, 3), F.lit(r'([^,="]+(?:="[^"]*"|=[^,"]*)?)'), F.lit(1))
+    entry = lambda p: F.struct(F.regexp_extract(p, r"^([^=]+)", 1), F.regexp_replace(F.regexp_extract(p, r"^[^=]+=(.*)$", 1), '^"|"$', ""))
+    return F.when(text.rlike(_COLUMN), F.struct(package.alias("package"), name.alias("name"), F.map_from_entries(F.transform(pairs, entry)).alias("args")))
+
+
+#: Package, name and arguments of an absolute address.
+_COLUMN = r"^//([^:]*):([^@:]+)(?:@(.+))?$"

@@ -143,7 +143,7 @@ def bit_bucket(value: Column | str) -> Column:
 
 def bucket_upper(bucket: Column) -> Column:
     """The largest number of that bit length."""
-    return F.when(bucket <= 0, F.lit(0).cast("long")).otherwise((F.pow(F.lit(2.0), bucket) - 1).cast("long"))
+    return F.when(bucket <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", F.lit(2**63 - 1), (63 - bucket).cast("int")))
 
 
 def human_elapsed(ms: Column | str, millis: bool = False) -> Column:

@@ -74,9 +74,19 @@ def root_failures(events: DataFrame, most: int = 10) -> DataFrame:
 
 
 def progress(events: DataFrame, matched: DataFrame) -> DataFrame:
-    """(done, total) of the matched targets; a result may end before its target is announced."""
+    """(done, total, final) of the matched targets (addr, and complete where the announcements say so): done never exceeds total, as a
+    result may end before its target is announced; final once an announcement was the last."""
+    final = F.max("complete") if "complete" in matched.columns else F.lit(False)
     ended = events.where("type = 'result_end'").select("addr").distinct().withColumn("_ended", F.lit(True))
-    return matched.select("addr").distinct().join(ended, "addr", "left").agg(F.count("_ended").alias("done"), F.count("*").alias("total"))
+    mine = matched.groupBy("addr").agg(final.alias("complete"))
+    return mine.join(ended, "addr", "left").agg(F.count("_ended").alias("done"), F.count("*").alias("total"), F.coalesce(F.max("complete"), F.lit(False)).alias("final"))
+
+
+def open_spans(events: DataFrame, start: str = "phase_start", end: str = "phase_end", by: tuple[str, ...] = ("addr", "phase")) -> DataFrame:
+    """(...by, open, since_ms): the last start or end of each span, whatever the order in which events come in; the same over a
+    stream in update mode, where a row replaces the one before. Where open is false the span has ended."""
+    last = events.where(F.col("type").isin(start, end)).groupBy(*by).agg(F.max_by(F.struct((F.col("type") == start).alias("open"), F.col("at_ms").alias("since_ms")), F.struct("at_ms", "seq")).alias("s"))
+    return last.select(*by, "s.open", "s.since_ms")
 
 
 def slowest(events: DataFrame, most: int = 20) -> DataFrame:

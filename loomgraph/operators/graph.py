@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.selection import first_by
@@ -10,35 +13,60 @@ from loomgraph.operators.staging import stage
 
 #: The input that stands for the outputs of its own target.
 OWN_OUTPUTS = "//@introspect:outputs"
-#: Levels after which an iteration is taken for endless.
-MOST_LEVELS = 10_000
+#: Levels of a closure after which its tables are written as one.
+COMPACT = 16
 
 
-def deps(inputs: DataFrame, addr: str | None = None) -> DataFrame:
+def deps(inputs: DataFrame, addr: str | None = None, runtime_only: bool = False) -> DataFrame:
     """(addr, dep_addr, pos): distinct dependencies, at the place of their first declaration."""
     mine = inputs if addr is None else inputs.where(F.col("addr") == addr)
+    mine = mine.where("runtime") if runtime_only else mine
     return mine.groupBy("addr", "dep_addr").agg(F.min("pos").alias("pos"))
 
 
-def revdeps(targets: DataFrame, inputs: DataFrame, on: DataFrame) -> DataFrame:
-    """Targets that have an input among `on` (dep_addr)."""
-    return targets.join(inputs.join(on, "dep_addr", "left_semi"), "addr", "left_semi")
+def resolved_deps(inputs: DataFrame, targets: DataFrame, contributions: DataFrame | None = None) -> DataFrame:
+    """(addr, dep_addr, pos) as resolved: groups stand for their members, and with contributions come the dependencies that runtime
+    inputs hand on, after a target's own ones. Each once, at the place where it first comes."""
+    order = expand_groups(inputs, targets).select("addr", "dep_addr", "order", F.lit(0).alias("handed"))
+    if contributions is not None:
+        given = transitive(inputs, contributions.where("kind = 'dep'"))
+        order = order.unionByName(given.select("addr", F.col("key").alias("dep_addr"), F.array().cast("array<int>").alias("order"), F.lit(1).alias("handed")))
+    first = order.groupBy("addr", "dep_addr").agg(F.min(F.struct("handed", "order")).alias("at"))
+    place = Window.partitionBy("addr").orderBy("at", "dep_addr")
+    return first.select("addr", "dep_addr", (F.row_number().over(place) - 1).alias("pos"))
+
+
+def among(frame: DataFrame, column: str, wanted: DataFrame | Sequence[str]) -> DataFrame:
+    """Rows whose column is one of a list, which reaches the scan, or of a table's column of that name."""
+    if isinstance(wanted, DataFrame):
+        return frame.join(wanted.select(column), column, "left_semi")
+    return frame.where(F.col(column).isin(list(wanted)))
+
 
+def revdeps(inputs: DataFrame, on: DataFrame | Sequence[str], scope: DataFrame | None = None) -> DataFrame:
+    """(addr) of targets that have an input among `on` (addresses, or a table (dep_addr)); with scope, of its targets only, all
+    their columns. Inputs are filtered before anything is shuffled."""
+    found = among(inputs, "dep_addr", on).select("addr").distinct()
+    return found if scope is None else scope.join(found, "addr", "left_semi")
 
-def closure(inputs: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
-    """(addr, level) of all that `start` (addr) depends on, itself included at level 0; with reverse, what depends on it.
 
-    One join for each level, on the new nodes only; levels are staged, so a lost executor costs one level."""
+def closure(inputs: DataFrame, start: DataFrame | Sequence[str], reverse: bool = False) -> DataFrame:
+    """(addr, level) of all that `start` (addresses, or a table (addr)) depends on, itself included at level 0; with reverse, what
+    depends on it.
+
+    One join for each level, of the new nodes with the staged edges; levels are staged, so a lost executor costs one level."""
     a, b = ("dep_addr", "addr") if reverse else ("addr", "dep_addr")
-    edges = inputs.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
+    edges = stage(inputs.select(F.col(a).alias("from"), F.col(b).alias("to")), "edges")
+    if not isinstance(start, DataFrame):
+        start = inputs.sparkSession.createDataFrame([(x,) for x in start], "addr string")
     seen = front = stage(start.select("addr").distinct().withColumn("level", F.lit(0)), "closure")
-    for level in range(1, MOST_LEVELS):
-        new = front.join(edges, F.col("addr") == F.col("from")).select(F.col("to").alias("addr")).distinct()
+    for level in itertools.count(1):
+        new = edges.join(front.select(F.col("addr").alias("from")), "from", "left_semi").select(F.col("to").alias("addr")).distinct()
         front = stage(new.join(seen, "addr", "left_anti").withColumn("level", F.lit(level)), "closure")
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    raise RuntimeError("the closure does not end")
+        seen = seen if level % COMPACT else stage(seen, "closure")
 
 
 def dep_path(inputs: DataFrame, source: str, goal: str) -> list[str] | None:
@@ -50,7 +78,7 @@ def dep_path(inputs: DataFrame, source: str, goal: str) -> list[str] | None:
     edges = stage(deps(inputs), "deps")
     front = spark.createDataFrame([(source, [0], [source])], "node string, rank array<int>, path array<string>")
     seen = front.select("node")
-    for _ in range(MOST_LEVELS):
+    for level in itertools.count(1):
         step = front.join(edges, F.col("node") == F.col("addr"))
         step = step.select(F.col("dep_addr").alias("node"), F.concat("rank", F.array(F.col("pos").cast("int"))).alias("rank"), F.concat("path", F.array("dep_addr")).alias("path"))
         front = stage(first_by(step.join(seen, "node", "left_anti"), ["node"], ["rank", "path"]), "path")
@@ -60,30 +88,36 @@ def dep_path(inputs: DataFrame, source: str, goal: str) -> list[str] | None:
         if front.isEmpty():
             return None
         seen = seen.unionByName(front.select("node"))
-    raise RuntimeError("the search does not end")
+        seen = seen if level % COMPACT else stage(seen, "seen")
 
 
-def dep_path_between(inputs: DataFrame, a: str, b: str) -> list[str] | None:
-    """A path from the one that depends to the other, whichever way round."""
+def dep_path_between(inputs: DataFrame, a: str, b: str, targets: DataFrame | None = None) -> list[str] | None:
+    """A path from the one that depends to the other, whichever way round. With targets, ValueError names the first of both
+    that isn't among them, before anything is searched."""
+    if targets is not None:
+        known = {r.addr for r in among(targets, "addr", [a, b]).select("addr").distinct().collect()}
+        for x in (a, b):
+            if x not in known:
+                raise ValueError(f"unknown target {x}")
     return dep_path(inputs, a, b) or dep_path(inputs, b, a)
 
 
 def topological_levels(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
     """(addr, level): 0 without dependencies, else one more than the highest of them; null for nodes on or above a cycle.
-    Kahn peeling from the leaves, one join and aggregation for each level."""
-    edges = inputs.select("addr", "dep_addr").distinct()
-    edges = stage(edges.join(nodes.select(F.col("addr").alias("dep_addr")), "dep_addr", "left_semi"), "edges")
-    todo, done = stage(nodes.select("addr").distinct(), "todo"), None
-    for level in range(MOST_LEVELS):
-        blocked = edges.select("addr").distinct()
-        ready = stage(todo.join(blocked, "addr", "left_anti").withColumn("level", F.lit(level)), "ready")
-        if ready.isEmpty():
-            rest = todo.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        todo = stage(todo.join(ready, "addr", "left_anti"), "todo")
-        edges = stage(edges.join(ready.select(F.col("addr").alias("dep_addr")), "dep_addr", "left_anti"), "edges")
-    raise RuntimeError("peeling does not end")
+    Kahn peeling from the leaves over one staged table of nodes with the number of dependencies that are still open: a
+    join and an aggregation for each level."""
+    nodes = nodes.select("addr").distinct()
+    edges = inputs.select("addr", "dep_addr").distinct().join(nodes.select(F.col("addr").alias("dep_addr")), "dep_addr", "left_semi")
+    edges = stage(edges, "edges")
+    now = nodes.join(edges.groupBy("addr").agg(F.count("*").alias("n")), "addr", "left")
+    now = stage(now.select("addr", F.coalesce("n", F.lit(0)).alias("open"), F.when(F.col("n").isNull(), F.lit(0)).alias("level")), "levels")
+    for level in itertools.count(1):
+        front = now.where(F.col("level") == level - 1).select(F.col("addr").alias("dep_addr"))
+        if front.isEmpty():
+            return now.select("addr", "level")
+        less = edges.join(front, "dep_addr", "left_semi").groupBy("addr").agg(F.count("*").alias("less"))
+        left = F.col("open") - F.coalesce("less", F.lit(0))
+        now = stage(now.join(less, "addr", "left").select("addr", left.alias("open"), F.coalesce("level", F.when(left == 0, F.lit(level))).alias("level")), "levels")
 
 
 def cyclic(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -100,24 +134,24 @@ def expand_groups(inputs: DataFrame, targets: DataFrame) -> DataFrame:
     each. A member that is reached twice is there twice. Mode, origin and flags are those of the input that names the
     group; annotations are merged, those of members first. ValueError for a group that holds itself."""
     groups = targets.where("transparent").select(F.col("addr").alias("group_addr")).distinct()
-    members = inputs.join(groups, F.col("addr") == F.col("group_addr"), "left_semi").select(F.col("addr").alias("group_addr"), F.col("dep_addr").alias("member"), F.col("pos").alias("member_pos"), F.col("annotations").alias("member_notes"))
-    members = stage(members, "members")
-    now = inputs.join(groups, F.col("addr") == F.col("group_addr"), "left_anti").withColumns({"order": F.array("pos"), "via": F.array().cast("array<string>")})
+    named = lambda c, flag: groups.select(F.col("group_addr").alias(c), F.lit(True).alias(flag))
+    marked = inputs.join(named("addr", "_of_group"), "addr", "left").join(named("dep_addr", "_to_group"), "dep_addr", "left")
+    marked = stage(marked.select(*inputs.columns, F.col("_of_group").isNotNull().alias("of_group"), F.col("_to_group").isNotNull().alias("to_group")), "inputs")
+    members = marked.where("of_group").select(F.col("addr").alias("group_addr"), F.col("dep_addr").alias("member"), F.col("pos").alias("member_pos"), F.col("annotations").alias("member_notes"), F.col("to_group").alias("member_to_group"))
+    now = marked.where("not of_group").drop("of_group").withColumns({"order": F.array("pos"), "via": F.array().cast("array<string>")})
     out = None
-    for _ in range(MOST_LEVELS):
-        is_group = F.col("dep_addr") == F.col("group_addr")
-        plain = now.join(groups, is_group, "left_anti")
+    while True:
+        plain = now.where("not to_group")
         out = plain if out is None else out.unionByName(plain)
-        open_ = stage(now.join(groups, is_group, "left_semi"), "open")
+        open_ = now.where("to_group")
         if open_.isEmpty():
-            return out.drop("via")
+            return out.drop("via", "to_group")
         if not open_.where(F.array_contains("via", F.col("dep_addr"))).isEmpty():
             raise ValueError("a group is a member of itself")
-        inner = open_.join(members, F.col("dep_addr") == F.col("group_addr"))
+        inner = open_.drop("to_group").join(members, F.col("dep_addr") == F.col("group_addr"))
         notes = F.map_concat(F.map_filter("annotations", lambda k, _: ~F.map_contains_key("member_notes", k)), "member_notes")
-        now = inner.withColumns({"via": F.concat("via", F.array("dep_addr")), "order": F.concat("order", F.array("member_pos")), "annotations": notes}).withColumn("dep_addr", F.col("member")).drop("group_addr", "member", "member_pos", "member_notes")
+        now = inner.withColumns({"via": F.concat("via", F.array("dep_addr")), "order": F.concat("order", F.array("member_pos")), "annotations": notes}).withColumn("dep_addr", F.col("member")).withColumnRenamed("member_to_group", "to_group").drop("group_addr", "member", "member_pos", "member_notes")
         now = stage(now, "expanded")
-    raise RuntimeError("expansion does not end")
 
 
 def introspect(inputs: DataFrame, outputs: DataFrame, magic: str = OWN_OUTPUTS) -> DataFrame:
@@ -132,21 +166,20 @@ def introspect(inputs: DataFrame, outputs: DataFrame, magic: str = OWN_OUTPUTS)
     return rest.unionByName(made)
 
 
-def link(inputs: DataFrame, outputs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def link(inputs: DataFrame, outputs: DataFrame, targets: DataFrame) -> DataFrame:
     """Runtime inputs with the output groups that they select: (addr, pos, dep_addr, group, paths, error), a row for each group.
 
-    An input that names no group selects all of its target; without any it keeps one row with a null group. Errors: a named
-    group that isn't there, a tool whose group isn't exactly one file, and, if targets are given, an unknown target."""
+    An input that names no group selects all of its target; without any it keeps one row with a null group. Errors: an unknown
+    target, a named group that isn't there, and a tool whose group isn't exactly one file."""
     named = inputs.where("runtime").select("addr", "pos", "dep_addr", "mode", F.col("output").alias("wanted"))
     groups = outputs.groupBy(F.col("addr").alias("made_by"), "group").agg(F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("found"), F.count_if(F.col("kind") == "file").alias("n_files"))
     picked = (F.col("dep_addr") == F.col("made_by")) & (F.col("wanted").isNull() | (F.col("wanted") == F.col("group")))
     linked = named.join(groups, picked, "left")
     lost = F.col("wanted").isNotNull() & F.col("made_by").isNull()
     error = F.when(lost, F.lit("missing group")).when((F.col("mode") == "tool") & (F.col("n_files") != 1), F.lit("tool needs exactly one file"))
-    if targets is not None:
-        known = targets.select(F.col("addr").alias("dep_addr")).distinct().withColumn("_known", F.lit(True))
-        linked = linked.join(known, "dep_addr", "left")
-        error = F.when(F.col("_known").isNull(), F.lit("unknown target")).otherwise(error)
+    known = targets.select(F.col("addr").alias("dep_addr")).distinct().withColumn("_known", F.lit(True))
+    linked = linked.join(known, "dep_addr", "left")
+    error = F.when(F.col("_known").isNull(), F.lit("unknown target")).otherwise(error)
     return linked.select("addr", "pos", "dep_addr", "group", F.transform("found", lambda f: f["path"]).alias("paths"), error.alias("error"))
 
 
@@ -160,10 +193,17 @@ def transitive(inputs: DataFrame, contributions: DataFrame) -> DataFrame:
     return first.unionByName(last).drop("pos", "dep_addr", "_mode")
 
 
-def failure_roots(inputs: DataFrame, failed: DataFrame) -> DataFrame:
-    """(addr, root boolean) of failed targets: a root has no failed dependency."""
+def failure_roots(inputs: DataFrame, failed: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """(addr, root boolean) of failed targets: a root has no failed dependency. With cancelled (addr), `class` too: own,
+    collateral, or cancelled for a target that ended because the run was stopped, which is no root and makes none."""
+    stopped = failed.sparkSession.createDataFrame([], "addr string") if cancelled is None else cancelled.select("addr").distinct()
+    failed = failed.select("addr").distinct().join(stopped, "addr", "left_anti")
     below = inputs.join(failed.select(F.col("addr").alias("dep_addr")), "dep_addr", "left_semi").select("addr").distinct().withColumn("_below", F.lit(True))
-    return failed.select("addr").distinct().join(below, "addr", "left").select("addr", F.col("_below").isNull().alias("root"))
+    out = failed.join(below, "addr", "left").select("addr", F.col("_below").isNull().alias("root"))
+    if cancelled is None:
+        return out
+    out = out.withColumn("class", F.when(F.col("root"), "own").otherwise("collateral"))
+    return out.unionByName(stopped.select("addr", F.lit(False).alias("root"), F.lit("cancelled").alias("class")))
 
 
 def blame(inputs: DataFrame, failed: DataFrame) -> DataFrame:
@@ -207,4 +247,4 @@ def touched(targets: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return targets.where(F.pmod(F.xxhash64("package", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
-__all__ = ["blame", "closure", "cyclic", "dep_path", "dep_path_between", "deps", "distinct_members", "expand_groups", "failure_roots", "introspect", "layered_graph", "link", "revdeps", "topological_levels", "touched", "transitive"]
+__all__ = ["among", "blame", "closure", "cyclic", "dep_path", "dep_path_between", "deps", "distinct_members", "expand_groups", "failure_roots", "introspect", "layered_graph", "link", "resolved_deps", "revdeps", "topological_levels", "touched", "transitive"]

@@ -22,6 +22,13 @@ def overlaps(outputs: DataFrame, filesystem_driver: str = "fs") -> DataFrame:
     return met.where(~both_fs).select("path", "addr", "other_path", "other_addr").distinct()
 
 
+def shared_paths(outputs: DataFrame) -> DataFrame:
+    """(path, owners, n_owners): copied output paths of more than one target, with the sorted targets. A row for each path, however
+    many share it; overlaps() makes pairs of them."""
+    mine = outputs.where("codegen = 'copy'").select(F.regexp_replace("path", "/+$", "").alias("path"), "addr").distinct()
+    return mine.groupBy("path").agg(F.sort_array(F.collect_list("addr")).alias("owners"), F.count("*").alias("n_owners")).where("n_owners > 1")
+
+
 def by_components(path: Column | str) -> Column:
     """A sort key: component by component, so that a/x comes before a-b."""
     return F.split(path, "/")

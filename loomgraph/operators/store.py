@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import paths
+
 
 def keep_newest(revisions: DataFrame, history: DataFrame | int = 1, protected: DataFrame | None = None) -> DataFrame:
     """revisions with `keep`: the newest N of an address (N a number, or a table (addr, history)), and protected ones
@@ -119,3 +121,48 @@ def needed_artifacts(artifacts: DataFrame, names: list[str]) -> DataFrame:
 def missing_blobs(needed: DataFrame, present: DataFrame) -> DataFrame:
     """Needed artifacts whose blob isn't in a store (addr, hashin, name) yet."""
     return needed.join(present.select("addr", "hashin", "name"), ["addr", "hashin", "name"], "left_anti")
+
+
+def clean_totals(revisions: DataFrame, artifacts: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row of what clean() takes away: (removed revisions, addrs, artifacts, bytes)."""
+    gone = selected.select("addr").distinct()
+    mine = revisions.join(gone, "addr", "left_semi")
+    sizes = artifacts.join(mine.select("addr", "hashin").distinct(), ["addr", "hashin"], "left_semi").agg(F.count("*").alias("artifacts"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    return mine.agg(F.count("*").alias("removed"), F.count_distinct("addr").alias("addrs")).join(F.broadcast(sizes))  # a row each
+
+
+def collect_all(revisions: DataFrame, artifacts: DataFrame, specs: DataFrame, files: DataFrame, cutoff_ns: int, staged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole collection: the revisions to delete, the cached files that stay after those not read since the cutoff are gone, and
+    the staged files (path) to clear, which are all of them."""
+    return collect_garbage(revisions, artifacts, specs), prune_older(files, "accessed_ns", cutoff_ns), staged.select("path")
+
+
+def lookup(artifacts: DataFrame, addr: str, hashin: str, name: str) -> DataFrame:
+    """One row (found) if there is such an artifact, else none; the key reaches the scan and reading ends at the first row."""
+    return artifacts.where((F.col("addr") == addr) & (F.col("hashin") == hashin) & (F.col("name") == name)).select(F.lit(1).alias("found")).limit(1)
+
+
+def sizes_of(artifacts: DataFrame) -> DataFrame:
+    """(addr, hashin, name, size): how many bytes each artifact has."""
+    return artifacts.select("addr", "hashin", "name", F.octet_length("data").cast("long").alias("size"))
+
+
+def ranges(artifacts: DataFrame, offset: int, length: int) -> DataFrame:
+    """(addr, hashin, name, part): the bytes from an offset on, fewer where the artifact ends before; for seeking readers."""
+    return artifacts.select("addr", "hashin", "name", F.substring("data", offset + 1, length).alias("part"))
+
+
+def hashes_of(artifacts: DataFrame, addr: str) -> DataFrame:
+    """The distinct hashes of an address."""
+    return artifacts.where(F.col("addr") == addr).select("hashin").distinct()
+
+
+def write_artifacts(artifacts: DataFrame, path: str) -> None:
+    """A store table by package, so that a lookup or a clean of one package reads its folder only."""
+    package = paths.package_of("addr")
+    artifacts.withColumn("package", package).repartition("package", "addr").write.partitionBy("package").mode("append").parquet(path)
+
+
+def delete_batch(spool: DataFrame, sent: DataFrame) -> DataFrame:
+    """A queue without a batch that was sent."""
+    return spool.join(sent.select("id"), "id", "left_anti")

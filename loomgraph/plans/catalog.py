@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.staging import folder
+
 #: Schemas of a catalog at rest.
 SCHEMAS = {
     "packages": "package string, provider string, provider_ord int",
@@ -85,6 +87,16 @@ class Bridge:
         micros = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
         return self.table("lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("addr"), ident.alias("hashin"), (micros * 1000).alias("created_at_ns"), F.col("l_quantity").cast("long").alias("size"))
 
+    def scattered(self, name: str, key: str, files: int = 4) -> DataFrame:
+        """A table as a stream of several files, one for each batch, in which its rows are dealt by a hash: what comes first in a
+        table may come in any batch."""
+        table = self.table(name)
+        path = folder(self.spark, f"{name}-stream")
+        part = F.pmod(F.xxhash64(key), F.lit(files))
+        for k in range(files):
+            table.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
     def stream(self, name: str) -> DataFrame:
         """A table as a stream of its files."""
         return self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)

@@ -9,7 +9,7 @@ from loomgraph.functions import paths
 from loomgraph.operators import aggregates, graph, hierarchy, merkle, outputs, selection, store
 from loomgraph.plans import query_language
 from loomgraph.plans.catalog import Bridge
-from loomgraph.plans.registry import EVENTS, INPUTS, OUTPUTS, PATHS, REVISIONS, TARGETS, UP, outputs_of, register
+from loomgraph.plans.registry import EVENTS, INPUTS, OUTPUTS, PATHS, REVISIONS, TARGETS, TIDY, UP, outputs_of, register
 from loomgraph.sources import files as file_sources
 from loomgraph.sources import sinks
 from loomgraph.streaming import fold
@@ -75,14 +75,15 @@ def q_introspect(b: Bridge) -> DataFrame:
 
 _LINKED = f"""{OUTPUTS}, made AS (SELECT addr, 'out' AS g, kind FROM outs),
 i AS (SELECT '//:p' || page_id AS addr, '//:p' || (page_id - 1) AS dep_addr, CASE page_id % 4 WHEN 0 THEN 'out' WHEN 2 THEN 'nope' END AS wanted, page_id % 3 = 0 AS tool FROM pages WHERE page_id % 7 <> 0),
-linked AS (SELECT i.addr, i.dep_addr, g, CASE WHEN wanted IS NOT NULL AND g IS NULL THEN 'missing group' WHEN tool AND kind <> 'file' THEN 'tool needs exactly one file' END AS error FROM i LEFT JOIN made ON made.addr = i.dep_addr AND (wanted IS NULL OR wanted = g))"""
+linked AS (SELECT i.addr, i.dep_addr, g, CASE WHEN i.dep_addr NOT IN (SELECT addr FROM outs) THEN 'unknown target' WHEN wanted IS NOT NULL AND g IS NULL THEN 'missing group' WHEN tool AND kind <> 'file' THEN 'tool needs exactly one file' END AS error FROM i LEFT JOIN made ON made.addr = i.dep_addr AND (wanted IS NULL OR wanted = g))"""
 
 
 def _linked(b: Bridge) -> DataFrame:
     page = F.col("page_id")
     wanted = F.when(page % 4 == 0, "out").when(page % 4 == 2, "nope")
     inputs = b.table("pages").select(_key("//:p", "page_id").alias("addr"), F.lit(0).alias("pos"), F.concat(F.lit("//:p"), (page - 1).cast("string")).alias("dep_addr"), F.when(page % 3 == 0, "tool").otherwise("standard").alias("mode"), wanted.alias("output"), (page % 7 != 0).alias("runtime"))
-    return graph.link(inputs, outputs_of(b))
+    outs = outputs_of(b)
+    return graph.link(inputs, outs, outs)
 
 
 @register(f"WITH {_LINKED} SELECT addr, dep_addr, g AS \"group\", error FROM linked")
@@ -270,18 +271,22 @@ def q_read_order(b: Bridge) -> DataFrame:
 # Configuration
 
 
-@register("SELECT * FROM (VALUES ('a', 'u1', false, true), ('b', 'u2', true, true), ('c', 'u3', true, false)) t(name, uri, read, write)")
+@register("""WITH base AS (SELECT 'c' || c_custkey AS name, c_name AS uri, CASE WHEN c_custkey % 2 = 0 THEN false END AS r FROM customer WHERE c_custkey % 4 <> 3),
+profile AS (SELECT 'c' || c_custkey AS name, CASE WHEN c_custkey % 2 = 1 THEN 'u' || c_custkey END AS uri, c_custkey % 6 = 0 AS w FROM customer WHERE c_custkey % 3 = 0)
+SELECT name, coalesce(p.uri, b.uri) AS uri, coalesce(r, true) AS "read", coalesce(w, true) AS "write" FROM base b FULL JOIN profile p USING (name)""")
 def q_overlay(b: Bridge) -> DataFrame:
-    schema = "name string, uri string, read boolean, write boolean"
-    base = b.spark.createDataFrame([("a", "u1", None, None), ("b", "u0", True, None)], schema)
-    profile = b.spark.createDataFrame([("a", None, False, None), ("b", "u2", None, None), ("c", "u3", None, False)], schema)
+    k, none = F.col("c_custkey"), F.lit(None).cast("boolean")
+    customers, name = b.table("customer"), _key("c", "c_custkey").alias("name")
+    base = customers.where(k % 4 != 3).select(name, F.col("c_name").alias("uri"), F.when(k % 2 == 0, False).alias("read"), none.alias("write"))
+    profile = customers.where(k % 3 == 0).select(name, F.when(k % 2 == 1, _key("u", "c_custkey")).alias("uri"), none.alias("read"), (k % 6 == 0).alias("write"))
     return hierarchy.with_defaults(hierarchy.overlay([base, profile]), {"read": True, "write": True}, ("uri",))
 
 
-@register("SELECT * FROM (VALUES ('x', 0, 'old'), ('y', 1, 'new'), ('w', 2, 'new'), ('z', 3, 'new')) t(name, pos, options)")
+@register("""WITH e AS (SELECT 'c' || c_custkey AS name, c_custkey AS pos FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT 'c' || c_custkey AS name, c_custkey AS pos FROM customer WHERE c_custkey % 3 = 0)
+SELECT name, coalesce(e.pos, (SELECT max(pos) + 1 FROM e) + n.pos) AS pos, CASE WHEN n.name IS NULL THEN 'old' ELSE 'new' END AS options FROM e FULL JOIN n USING (name)""")
 def q_merge_lists(b: Bridge) -> DataFrame:
-    schema = "name string, pos int, options string"
-    return hierarchy.merge_lists(b.spark.createDataFrame([("x", 0, "old"), ("y", 1, "old")], schema), b.spark.createDataFrame([("w", 0, "new"), ("z", 1, "new"), ("y", 2, "new")], schema))
+    rows = lambda n, options: b.table("customer").where(F.col("c_custkey") % n == 0).select(_key("c", "c_custkey").alias("name"), F.col("c_custkey").alias("pos"), F.lit(options).alias("options"))
+    return hierarchy.merge_lists(rows(2, "old"), rows(3, "new"))
 
 
 @register("SELECT 'n' || n_nationkey AS package, CAST(json_object('a', n_name, 'z', CAST(n_regionkey AS VARCHAR)) AS VARCHAR) AS json FROM nation")
@@ -330,10 +335,12 @@ def q_path_transform_in_package(b: Bridge) -> DataFrame:
     return outputs.PathTransform(include=("fr/*", "en/*"), strip_prefix="fr", prefix="x").apply(files).select("path", "dst")
 
 
-@register("SELECT * FROM (VALUES ('collision', 'o/a.txt'), ('unknown rename', 'zz'), ('unused strip_prefix', 'q')) t(problem, detail)")
+@register(f"""WITH {PATHS}, f AS (SELECT DISTINCT path FROM pagepaths), d AS (SELECT path, CASE WHEN path IN (SELECT min(path) FROM f UNION ALL SELECT max(path) FROM f) THEN 'o/a.txt' ELSE path END AS dst FROM f)
+SELECT 'collision' AS problem, dst AS detail FROM d GROUP BY dst HAVING count(*) > 1 UNION ALL SELECT 'unknown rename', 'zz' WHERE 'zz' NOT IN (FROM f) UNION ALL SELECT 'unused strip_prefix', 'q' WHERE NOT EXISTS (FROM f WHERE starts_with(path, 'q/'))""")
 def q_path_transform_problems(b: Bridge) -> DataFrame:
-    files = b.spark.createDataFrame([("s/a.txt", "s"), ("t/a.txt", "t"), ("t/b.md", "t")], "path string, package string")
-    move = outputs.PathTransform(include=("*.txt",), rename=(("s/a.txt", "o/a.txt"), ("t/a.txt", "o/a.txt"), ("zz", "y")), strip_prefix="q")
+    files = b.url_paths().select("path").distinct()
+    first, last = files.agg(F.min("path"), F.max("path")).first()
+    move = outputs.PathTransform(rename=((first, "o/a.txt"), (last, "o/a.txt"), ("zz", "y")), strip_prefix="q")
     return move.problems(files)
 
 
@@ -357,10 +364,11 @@ def q_ignored(b: Bridge) -> DataFrame:
     return b.url_paths().select("path", file_sources.ignored("path", ("a/b",), ("*/fr/*",)).alias("skipped")).distinct()
 
 
-@register(f"WITH {PATHS} SELECT DISTINCT path, regexp_replace(path, '[^/]*$', '') || 'x' AS cleaned, 'top/' || path AS joined FROM pagepaths WHERE regexp_matches(path, '^[a-z0-9.]+/[^./]+/[^./]+$')")
+@register(f"""WITH {PATHS}, p AS (SELECT DISTINCT path, {TIDY.format(x="path")} AS c FROM pagepaths)
+SELECT path, CASE WHEN path = '' OR starts_with(path, '/') THEN '/' ELSE '' END || array_to_string(list_append(c[:-2], 'x'), '/') AS cleaned, array_to_string(list_prepend('top', c), '/') AS joined FROM p""")
 def q_clean_and_join(b: Bridge) -> DataFrame:
-    p = b.url_paths().select("path").distinct().where(F.col("path").rlike("^[a-z0-9.]+/[^./]+/[^./]+$"))
-    return p.select("path", paths.clean(F.concat("path", F.lit("/.././/x"))).alias("cleaned"), paths.join(F.lit("top/"), F.lit(""), "path").alias("joined"))
+    p = b.url_paths().select("path").distinct()
+    return p.select("path", paths.clean(F.concat("path", F.lit("/.././x"))).alias("cleaned"), paths.join(F.lit("top/"), F.lit(""), "path").alias("joined"))
 
 
 @register("""WITH t AS (SELECT o_orderkey AS k, o_orderkey * 7919 AS ms FROM orders), s AS (SELECT k, ms, ms // 1000 AS s FROM t),
@@ -387,7 +395,7 @@ def q_sniff(b: Bridge) -> DataFrame:
     return b.table("part").select(F.col("p_partkey").alias("k"), file_sources.sniff(content).alias("format"))
 
 
-@register("SELECT doc_id, CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS bucket, CAST(CASE WHEN n_chars <= 0 THEN 0 ELSE 2 ** length(bin(n_chars)) - 1 END AS BIGINT) AS upper FROM documents WHERE n_chars IS NOT NULL")
+@register("SELECT doc_id, CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS bucket, CASE WHEN n_chars <= 0 THEN 0 ELSE 9223372036854775807 >> CAST(63 - length(bin(n_chars)) AS INTEGER) END AS upper FROM documents WHERE n_chars IS NOT NULL")
 def q_size_buckets(b: Bridge) -> DataFrame:
     d = b.table("documents").where("n_chars is not null").withColumn("bucket", paths.bit_bucket("n_chars"))
     return d.select("doc_id", F.col("bucket").cast("long").alias("bucket"), paths.bucket_upper(F.col("bucket")).alias("upper"))

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -202,6 +204,23 @@ def package_verdict(node: Node, package: str) -> bool | None:
     return decisive if decisive in seen else None if None in seen else not decisive
 
 
+def package_filter(node: Node, sure: bool = False) -> Column:
+    """Which packages can have a match (sure: can have nothing but matches), over the column package alone: a scan can skip the
+    others before it reads any target."""
+    if node.kind == "package":
+        return F.col("package") == node.value
+    if node.kind == "prefix":
+        return paths.has_prefix("package", node.value)
+    if node.kind == "addr":
+        return F.lit(False) if sure else F.col("package") == parse_address(node.value).package
+    if node.kind in ("label", "tree_output"):
+        return F.lit(not sure)
+    if node.kind == "not":
+        return ~package_filter(node.nodes[0], not sure)
+    parts = [package_filter(n, sure) for n in node.nodes]
+    return functools.reduce(operator.or_ if node.kind == "or" else operator.and_, parts)
+
+
 def compile_query(node: Node) -> Column:
     """The predicate over targets (addr, package, labels, tree_packages); null labels count as none."""
     if node.kind == "package":
@@ -230,11 +249,18 @@ def uses(node: Node, kind: str) -> bool:
     return node.kind == kind or any(uses(n, kind) for n in node.nodes)
 
 
-def query(targets: DataFrame, expr: str, base: str = "", outputs: DataFrame | None = None, skip_providers: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct targets that match; of an address listed twice the row of the first provider stays."""
-    from loomgraph.operators.selection import first_by, tree_outputs
+#: The order of a query's result: by package, then by provider.
+ORDER = ("package", "provider_ord", "addr")
+
+
+def query(targets: DataFrame, expr: str | Node, base: str = "", outputs: DataFrame | None = None, skip_providers: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct targets that match; of an address listed twice the row of the first provider stays. Rows that a provider turned out
+    not to have, or that ran in a circle (see selection.available), are passed over. selection.positions(found, ORDER) numbers
+    the result in the order in which packages are walked."""
+    from loomgraph.operators.selection import available, first_by, tree_outputs
 
-    node = parse(expr, base)
+    node = parse(expr, base) if isinstance(expr, str) else expr
+    targets = available(targets.where(package_filter(node)))
     if uses(node, "tree_output"):
         if outputs is None:
             raise QueryError("tree_output() needs the outputs of the targets")
@@ -251,11 +277,16 @@ def select(targets: DataFrame, addr: str | None = None, label: str | None = None
     if sum(x is not None for x in (addr, label if label is not None else under, expr)) != 1:
         raise QueryError("give an address, a label or package pattern, or an expression")
     if addr is not None:
-        return query(targets, f'addr("{addr}")', base, outputs)
+        return query(targets, Node("addr", str(_Parser.checked(parse_address, addr, base))), base, outputs)
     if expr is not None:
         return query(targets, expr, base, outputs)
-    arms = ([f'label("{label}")'] if label not in (None, "all") else []) + ([under] if under else [])
-    return query(targets, " && ".join(arms) or "//...", base, outputs)
+    arms = [Node("label", label)] if label not in (None, "all") else []
+    if under:
+        pattern = parse(under, base)
+        if pattern.kind not in ("package", "prefix"):
+            raise QueryError(f"{under!r} is no package pattern")
+        arms.append(pattern)
+    return query(targets, Node("and", nodes=tuple(arms)) if len(arms) > 1 else arms[0] if arms else Node("prefix"), base, outputs)
 
 
 #: The package of targets that stand for the result of a query.
@@ -289,4 +320,4 @@ def stamp_query_inputs(inputs: DataFrame) -> DataFrame:
     return inputs.withColumn("dep_args", F.when(F.col("dep_package") == QUERY_PACKAGE, args).otherwise(F.col("dep_args")))
 
 
-__all__ = ["Address", "Node", "QueryError", "compile_query", "format_query", "narrowing_prefix", "package_verdict", "parse", "query", "query_address", "query_members", "select", "shape", "stamp_query_inputs", "tokenize"]
+__all__ = ["Address", "Node", "QueryError", "compile_query", "format_query", "narrowing_prefix", "package_filter", "package_verdict", "parse", "query", "query_address", "query_members", "select", "shape", "stamp_query_inputs", "tokenize"]

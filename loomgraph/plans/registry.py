@@ -153,32 +153,24 @@ def q_tree_output(b: Bridge) -> DataFrame:
     return query_language.query(targets, f'tree_output("{host}")', outputs=outs).select("addr")
 
 
-@register(f"WITH {INPUTS} SELECT addr, dep_addr, min(pos) AS pos FROM inputs WHERE addr LIKE 'o%' GROUP BY ALL")
-def q_deps(b: Bridge) -> DataFrame:
-    return graph.deps(b.inputs().where("addr like 'o%'"))
-
-
 @register(f"WITH {INPUTS} SELECT addr, dep_addr, min(pos) AS pos FROM inputs GROUP BY ALL")
-def q_deps_whole(b: Bridge) -> DataFrame:
-    """Of all targets; q_deps has those of orders, as its SQL."""
+def q_deps(b: Bridge) -> DataFrame:
     return graph.deps(b.inputs())
 
 
 @register(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr = 'p7'")
 def q_revdeps(b: Bridge) -> DataFrame:
-    inputs = b.inputs()
-    on = b.spark.createDataFrame([("p7",)], "dep_addr string")
-    return graph.revdeps(inputs.select("addr").distinct(), inputs, on)
+    return graph.revdeps(b.inputs(), ["p7"])
 
 
 @register(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'o1' AS addr UNION SELECT dep_addr FROM reach JOIN inputs USING (addr)) SELECT addr FROM reach")
 def q_closure(b: Bridge) -> DataFrame:
-    return graph.closure(b.inputs(), b.spark.createDataFrame([("o1",)], "addr string")).select("addr")
+    return graph.closure(b.inputs(), ["o1"]).select("addr")
 
 
 @register(f"WITH RECURSIVE {INPUTS}, reach AS (SELECT 'n3' AS addr UNION SELECT i.addr FROM reach JOIN inputs i ON i.dep_addr = reach.addr) SELECT addr FROM reach")
 def q_reverse_closure(b: Bridge) -> DataFrame:
-    return graph.closure(b.inputs(), b.spark.createDataFrame([("n3",)], "addr string"), reverse=True).select("addr")
+    return graph.closure(b.inputs(), ["n3"], reverse=True).select("addr")
 
 
 @register(f"WITH {INPUTS}, o AS (SELECT addr, dep_addr FROM inputs WHERE addr = 'o1' AND pos = 0), c AS (SELECT addr, dep_addr FROM inputs) SELECT 0 AS step, 'o1' AS addr UNION ALL SELECT 1, dep_addr FROM o UNION ALL SELECT 2, c.dep_addr FROM o JOIN c ON c.addr = o.dep_addr")
@@ -206,7 +198,7 @@ def q_group_expand(b: Bridge) -> DataFrame:
 
 @register(f"WITH {INPUTS} SELECT DISTINCT addr FROM inputs WHERE dep_addr IN ('p1', 'p2', 'n3')")
 def q_failed_dependents(b: Bridge) -> DataFrame:
-    return graph.revdeps(b.inputs().select("addr").distinct(), b.inputs(), b.spark.createDataFrame([("p1",), ("p2",), ("n3",)], "dep_addr string"))
+    return graph.revdeps(b.inputs(), ["p1", "p2", "n3"])
 
 
 @register(f"WITH {INPUTS}, f AS (SELECT DISTINCT addr FROM inputs WHERE addr LIKE '%7'), r AS (SELECT DISTINCT i.addr FROM inputs i JOIN f ON f.addr = i.dep_addr) SELECT f.addr, r.addr IS NULL AS root FROM f LEFT JOIN r USING (addr)")
@@ -215,20 +207,12 @@ def q_failure_roots(b: Bridge) -> DataFrame:
     return graph.failure_roots(inputs, inputs.where("addr like '%7'").select("addr"))
 
 
-@register(f"WITH {INPUTS}, leaf AS (SELECT DISTINCT dep_addr AS addr, sha256('d|' || dep_addr || '|') AS h FROM inputs WHERE dep_addr LIKE 'n%'), mid AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(leaf.h, ',' ORDER BY leaf.h)) AS h FROM inputs i JOIN leaf ON leaf.addr = i.dep_addr GROUP BY i.addr) SELECT addr, h AS hashin FROM leaf UNION ALL SELECT addr, h FROM mid")
-def q_merkle(b: Bridge) -> DataFrame:
-    inputs = b.inputs().where("dep_addr like 'n%'").withColumn("hashed", F.lit(True))
-    targets = inputs.select("addr").union(inputs.select("dep_addr")).distinct().select("addr", F.lit("d").alias("driver"), F.col("addr").alias("def_hash"))
-    return merkle.content_hashes(targets, inputs)
-
-
 @register(f"""WITH {INPUTS}, leaf AS (SELECT DISTINCT dep_addr AS addr, sha256('d|' || dep_addr || '|') AS h FROM inputs WHERE dep_addr NOT IN (SELECT addr FROM inputs)),
 mid AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(leaf.h, ',' ORDER BY leaf.h)) AS h FROM inputs i JOIN leaf ON leaf.addr = i.dep_addr WHERE i.addr NOT LIKE 'o%' GROUP BY i.addr),
 low AS (SELECT * FROM leaf UNION ALL SELECT * FROM mid),
 top AS (SELECT i.addr, sha256('d|' || i.addr || '|' || string_agg(low.h, ',' ORDER BY low.h)) AS h FROM inputs i JOIN low ON low.addr = i.dep_addr WHERE i.addr LIKE 'o%' GROUP BY i.addr)
 SELECT addr, h AS hashin FROM low UNION ALL SELECT addr, h FROM top""")
-def q_merkle_whole(b: Bridge) -> DataFrame:
-    """All levels; q_merkle has the two that its SQL states."""
+def q_merkle(b: Bridge) -> DataFrame:
     inputs = b.inputs().withColumn("hashed", F.lit(True))
     targets = inputs.select("addr").union(inputs.select("dep_addr")).distinct().select("addr", F.lit("d").alias("driver"), F.col("addr").alias("def_hash"))
     return merkle.content_hashes(targets, inputs)
@@ -310,10 +294,10 @@ def q_root_failures(b: Bridge) -> DataFrame:
     return aggregates.root_failures(b.events())
 
 
-@register(f"WITH {EVENTS} SELECT count(DISTINCT CASE WHEN type = 'result_end' THEN addr END) AS done, count(DISTINCT addr) AS total FROM ev WHERE addr LIKE '%1'")
+@register(f"WITH {EVENTS} SELECT count(DISTINCT CASE WHEN type = 'result_end' THEN addr END) AS done, count(DISTINCT addr) AS total, bool_or(addr LIKE '%11') AS final FROM ev WHERE addr LIKE '%1'")
 def q_progress(b: Bridge) -> DataFrame:
     events = b.events()
-    return aggregates.progress(events, events.where("addr like '%1'").select("addr"))
+    return aggregates.progress(events, events.where("addr like '%1'").select("addr", F.col("addr").like("%11").alias("complete")))
 
 
 @register(f"WITH {EVENTS} SELECT addr, ended - started AS duration_ms FROM rec WHERE ran AND ended IS NOT NULL AND failed IS NULL ORDER BY duration_ms DESC, addr LIMIT 20")
@@ -321,7 +305,7 @@ def q_slowest(b: Bridge) -> DataFrame:
     return aggregates.slowest(b.events())
 
 
-@register("WITH b AS (SELECT CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS k, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS u, sum(n) OVER () AS a FROM b) SELECT CAST(coalesce(2 ** min(k) - 1, 0) AS BIGINT) AS p99 FROM c WHERE u >= ceil(a * 99 / 100)")
+@register("WITH b AS (SELECT CASE WHEN n_chars <= 0 THEN 0 ELSE length(bin(n_chars)) END AS k, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS u, sum(n) OVER () AS a FROM b) SELECT coalesce(9223372036854775807 >> CAST(63 - min(k) AS INTEGER), 0) AS p99 FROM c WHERE u >= ceil(a * 99 / 100)")
 def q_p99_bucket(b: Bridge) -> DataFrame:
     return aggregates.histogram_quantile(b.table("documents"), "n_chars")
 
@@ -387,9 +371,16 @@ def q_path_transform(b: Bridge) -> DataFrame:
     return move.apply(b.url_paths().select("path").distinct()).select("path", "dst")
 
 
-@register(f"WITH {PATHS} SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS base, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, len(string_split(path, '/')) AS depth FROM pagepaths WHERE path <> '' AND NOT ends_with(path, '/') AND NOT contains(path, '//') AND NOT contains(path, './')")
+#: The components of a path that cleaning leaves, where no '..' is in it.
+TIDY = "list_filter(string_split({x}, '/'), lambda c: c NOT IN ('', '.'))"
+_DIR = "array_to_string(" + TIDY.format(x="regexp_replace(path, '[^/]*$', '')") + ", '/')"
+
+
+@register(f"""WITH {PATHS}, p AS (SELECT DISTINCT path, {_DIR} AS d, regexp_replace(path, '/+$', '') AS bare FROM pagepaths)
+SELECT path, CASE WHEN path = '' THEN '.' WHEN bare = '' THEN '/' ELSE regexp_extract(bare, '([^/]*)$', 1) END AS base,
+  CASE WHEN starts_with(path, '/') THEN '/' || d WHEN d = '' THEN '.' ELSE d END AS dir, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS depth FROM p""")
 def q_path_functions(b: Bridge) -> DataFrame:
-    p = b.url_paths().select("path").distinct().where("path <> '' and not endswith(path, '/') and not contains(path, '//') and not contains(path, './')")
+    p = b.url_paths().select("path").distinct()
     return p.select("path", paths.basename("path").alias("base"), paths.dirname("path").alias("dir"), paths.depth("path").cast("long").alias("depth"))
 
 
@@ -423,17 +414,29 @@ def q_layered_graph_levels(b: Bridge) -> DataFrame:
     return graph.topological_levels(targets, inputs).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@register("WITH RECURSIVE e(a, b) AS (VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('d', 'a'), ('e', 'e'), ('c', 'f')), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT DISTINCT a AS addr FROM r WHERE a = b")
+@register(f"""WITH RECURSIVE {INPUTS}, back AS (SELECT 'n' || c_nationkey AS addr, 'c' || min(c_custkey) AS dep_addr FROM customer WHERE c_nationkey % 5 = 0 GROUP BY c_nationkey UNION ALL SELECT 'p' || p_partkey, 'p' || p_partkey FROM part WHERE p_size = 7),
+e AS (SELECT addr, dep_addr FROM inputs UNION ALL FROM back),
+r AS (SELECT addr AS a, dep_addr AS b FROM back UNION SELECT r.a, e.dep_addr FROM r JOIN e ON e.addr = r.b),
+again AS (SELECT DISTINCT b AS a, e.dep_addr AS b FROM r JOIN e ON e.addr = r.b UNION SELECT again.a, e.dep_addr FROM again JOIN e ON e.addr = again.b) SELECT DISTINCT a AS addr FROM again WHERE a = b""")
 def q_cycles(b: Bridge) -> DataFrame:
-    edges = [("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("d", 0, "a"), ("e", 0, "e"), ("c", 1, "f")]
-    inputs = b.spark.createDataFrame(edges, "addr string, pos int, dep_addr string")
+    """All inputs, with edges back from every fifth nation to one of its customers, and parts that need themselves."""
+    key = lambda letter, column: F.concat(F.lit(letter), column.cast("string"))
+    nations = b.table("customer").where("c_nationkey % 5 = 0").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c"))
+    back = nations.select(key("n", F.col("c_nationkey")).alias("addr"), F.lit(0).alias("pos"), key("c", F.col("c")).alias("dep_addr"))
+    loops = b.table("part").where("p_size = 7").select(key("p", F.col("p_partkey")).alias("addr"), F.lit(0).alias("pos"), key("p", F.col("p_partkey")).alias("dep_addr"))
+    inputs = b.inputs().unionByName(back).unionByName(loops)
     return graph.cyclic(inputs.select("addr").union(inputs.select("dep_addr")).distinct(), inputs)
 
 
-@register("SELECT * FROM (VALUES ('base', 'linux', 'amd64', NULL), ('race', 'linux', 'amd64', 'race'), ('arm', 'linux', 'arm64', 'race')) t(name, goos, goarch, tags)")
+@register("""WITH RECURSIVE v AS (SELECT p_partkey AS k, CASE WHEN p_partkey = 1 OR p_partkey % 3 = 0 THEN p_brand END AS goos, CASE WHEN p_partkey = 1 OR p_partkey % 5 = 0 THEN p_type END AS goarch FROM part),
+walk AS (SELECT k, k // 2 AS next, goos, goarch FROM v UNION ALL SELECT w.k, w.next // 2, coalesce(w.goos, v.goos), coalesce(w.goarch, v.goarch) FROM walk w JOIN v ON v.k = w.next)
+SELECT 'p' || k AS name, goos, goarch FROM walk WHERE next = 0""")
 def q_variant_inheritance(b: Bridge) -> DataFrame:
-    rows = [("base", None, "linux", "amd64", None), ("race", "base", None, None, "race"), ("arm", "race", None, "arm64", None)]
-    return hierarchy.inherit(b.spark.createDataFrame(rows, "name string, inherit string, goos string, goarch string, tags string"), ("goos", "goarch"))
+    """Parts as variants: each inherits the one of half its number."""
+    k, name = F.col("p_partkey"), lambda c: F.concat(F.lit("p"), c.cast("string"))
+    own = lambda column, n: F.when((k == 1) | (k % n == 0), F.col(column))
+    variants = b.table("part").select(name(k).alias("name"), F.when(k > 1, name(F.floor(k / 2))).alias("inherit"), own("p_brand", 3).alias("goos"), own("p_type", 5).alias("goarch"))
+    return hierarchy.inherit(variants, ("goos", "goarch"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,6 +451,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from loomgraph.plans import detail_queries  # noqa: E402, F401  it registers further queries
+from loomgraph.plans import detail_queries, further_queries  # noqa: E402, F401  they register further queries
 
 __all__ = ["flagship", "oracle_sql", "queries"]

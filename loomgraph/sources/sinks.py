@@ -81,3 +81,16 @@ def escape_annotation(column: str):
 
 def truncated(column: str, most: int):
     return F.when(F.length(column) > most, F.concat(F.substring(column, 1, most), F.lit("…"))).otherwise(F.col(column))
+
+
+def markdown_table(report: DataFrame) -> DataFrame:
+    """(line, place): a small report as the lines of a Markdown table for a comment on a change; null is shown as nothing."""
+    bar = lambda cells: "| " + " | ".join(cells) + " |"
+    head = report.sparkSession.createDataFrame([(bar(report.columns), 0), (bar(["---"] * len(report.columns)), 1)], "line string, place int")
+    cells = F.concat_ws(" | ", *(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in report.columns))
+    return head.unionByName(report.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"), F.lit(2).alias("place")))
+
+
+def step_outputs(report: DataFrame) -> DataFrame:
+    """(line): the columns of a report of one row as name=value, for the outputs of a CI step."""
+    return report.select(F.explode(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in report.columns))).alias("line"))

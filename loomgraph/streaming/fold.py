@@ -23,7 +23,7 @@ class TargetFold(StatefulProcessor):
         self._state = handle.getValueState("target", "cached string, ran boolean, started_ms long, rooted boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
+        events = pd.concat(list(rows))[["at_ms", "seq", "type", "error", "upstream_of"]].sort_values(["at_ms", "seq"])  # one target in one batch
         held = self._state.get() if self._state.exists() else None
         out, state = fold(key[0], events.itertuples(), held)
         if state is None:
@@ -87,6 +87,26 @@ def windowed_counts(events: DataFrame, lateness: str = "10 minutes", width: str
     return events.withColumn("at", at).withWatermark("at", lateness).groupBy(F.window("at", width), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "type", "n")
 
 
+def matched_set(announced: DataFrame) -> DataFrame:
+    """(addr, complete) of announced targets (addr, complete), each once, as a stream in update mode: complete becomes true with the
+    announcement that says it is the last. State is a flag for each target."""
+    return announced.groupBy("addr").agg(F.max("complete").alias("complete"))
+
+
+def refresh(stream: DataFrame, render, folder_name: str, seconds: int = 10):
+    """Runs a stream in update mode and calls render(changed rows, batch number) again and again, at most every so many seconds;
+    the running query is returned."""
+    state = folder(stream.sparkSession, folder_name)
+    return stream.writeStream.outputMode("update").foreachBatch(render).option("checkpointLocation", state).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that run_available() returned, the last of each key."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*keys, "r.*")
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there, in update mode, and returns the rows that it put out, with the number of their batch. A
     batch that is run again after a failure replaces what it wrote before."""

@@ -21,15 +21,15 @@ def wanted(name):
 def test_every_node_has_a_hash(spark):
     inputs = Bridge(spark, DATA).inputs()
     nodes = {r[0] for r in inputs.select("addr").union(inputs.select("dep_addr")).distinct().collect()}
-    got = {r.addr: r.hashin for r in registry.queries()["q_merkle_whole"](spark, DATA).select("addr", "hashin").collect()}
+    got = {r.addr: r.hashin for r in registry.queries()["q_merkle"](spark, DATA).select("addr", "hashin").collect()}
     assert set(got) == nodes and None not in got.values()
-    assert got == dict(wanted("q_merkle_whole").fetchall())
+    assert got == dict(wanted("q_merkle").fetchall())
 
 
 def test_dependencies_of_all_targets(spark):
-    got = {tuple(r) for r in registry.queries()["q_deps_whole"](spark, DATA).select("addr", "dep_addr", "pos").collect()}
+    got = {tuple(r) for r in registry.queries()["q_deps"](spark, DATA).select("addr", "dep_addr", "pos").collect()}
     assert {a[0] for a, _, _ in got} == {"o", "c", "s"}
-    assert got == set(wanted("q_deps_whole").fetchall())
+    assert got == set(wanted("q_deps").fetchall())
 
 
 def test_path_is_searched_in_all_inputs(spark, monkeypatch):
