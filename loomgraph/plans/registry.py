@@ -429,7 +429,7 @@ def q_cycles(b: Bridge) -> DataFrame:
 
 
 @register("""WITH RECURSIVE v AS (SELECT p_partkey AS k, CASE WHEN p_partkey = 1 OR p_partkey % 3 = 0 THEN p_brand END AS goos, CASE WHEN p_partkey = 1 OR p_partkey % 5 = 0 THEN p_type END AS goarch FROM part),
-walk AS (SELECT k, k // 2 AS next, goos, goarch FROM v UNION ALL SELECT w.k, w.next // 2, coalesce(w.goos, v.goos), coalesce(w.goarch, v.goarch) FROM walk w JOIN v ON v.k = w.next)
+walk AS (SELECT k, k // 2 AS next, goos, goarch FROM v UNION ALL SELECT w.k, w.next // 2, coalesce(w.goos, v.goos), coalesce(w.goarch, v.goarch) FROM walk w JOIN v ON v.k = w.next AND w.next > 0)
 SELECT 'p' || k AS name, goos, goarch FROM walk WHERE next = 0""")
 def q_variant_inheritance(b: Bridge) -> DataFrame:
     """Parts as variants: each inherits the one of half its number."""
