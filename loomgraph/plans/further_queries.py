@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import address, paths, tables
-from loomgraph.operators import aggregates, graph, outputs, resolution, selection, store
+from loomgraph.operators import aggregates, graph, hierarchy, outputs, resolution, selection, store
 from loomgraph.operators.staging import folder
-from loomgraph.plans import query_language
+from loomgraph.plans import catalog, query_language
 from loomgraph.plans.catalog import Bridge
-from loomgraph.plans.registry import EVENTS, INPUTS, OUTPUTS, REVISIONS, TARGETS, doomed_of, outputs_of, register
+from loomgraph.plans.registry import EVENTS, INPUTS, OUTPUTS, PATHS, REVISIONS, TARGETS, UP, doomed_of, outputs_of, register
+from loomgraph.sources import files as file_sources
 from loomgraph.sources import sinks
 from loomgraph.streaming import fold
 
@@ -74,9 +75,10 @@ def q_specs_of_wanted(b: Bridge) -> DataFrame:
 
 @register(f"WITH {TARGETS} SELECT DISTINCT addr FROM targets WHERE package LIKE 'world/A%' AND NOT (package = 'world/AFRICA' OR package LIKE 'world/AFRICA/%') AND list_contains(labels, 'BUILDING')")
 def q_pruned_packages(b: Bridge) -> DataFrame:
-    """Packages are chosen first, by what the query says of a package alone."""
+    """Packages are listed under the prefix that the query narrows to, and chosen by what it says of a package alone."""
     node = query_language.parse("//world/... && !//world/AFRICA/... && label(BUILDING)")
-    packages = b.targets().select("package").distinct().where(query_language.package_filter(node) & F.col("package").startswith("world/A"))
+    listed = selection.package_scan(b.targets(), query_language.narrowing_prefix(node))
+    packages = listed.where(query_language.package_filter(node) & F.col("package").startswith("world/A")).select("package")
     return query_language.query(b.targets().join(packages, "package", "left_semi"), "label(BUILDING)").select("addr")
 
 
@@ -294,3 +296,63 @@ def q_selected_under(b: Bridge) -> DataFrame:
 def q_prefix_columns(b: Bridge) -> DataFrame:
     p = b.url_paths().select("path", F.split_part(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(1)).alias("base")).distinct()
     return p.select("path", paths.has_prefix("path", F.col("base")).alias("inside"))
+
+
+@register(f"WITH {TARGETS} SELECT DISTINCT addr FROM targets WHERE CAST('0x' || substr(md5(package || '|3'), 1, 8) AS BIGINT) % 1000000 < 250000")
+def q_incremental_change(b: Bridge) -> DataFrame:
+    return graph.touched(b.targets(), 0.25, seed=3).select("addr").distinct()
+
+
+@register("SELECT doc_id, doc_id % 2 = 0 AS intact FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def q_verified_content(b: Bridge) -> DataFrame:
+    """Half of the documents come with the digest of their text, in capitals, the others with that of another one."""
+    d = b.table("documents").where("text is not null and lang is not null")
+    content = F.col("text").cast("binary")
+    digest = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2(content, 256))).otherwise(F.sha2(F.concat("text", F.lit("x")).cast("binary"), 256))
+    return d.select("doc_id", file_sources.verified(content, digest).alias("intact"))
+
+
+@register(f"WITH {TARGETS} SELECT DISTINCT addr, package, labels[1] AS first_label FROM targets WHERE package LIKE 'parts/%'")
+def q_catalog_at_rest(b: Bridge) -> DataFrame:
+    """Targets written as JSON, loaded with their schema and queried."""
+    root = folder(b.spark, "catalog")
+    query_language.query(b.targets(), "//parts/...").write.json(f"{root}/targets")
+    found = query_language.query(catalog.load(b.spark, root, "targets", "json"), "//parts/...")
+    return found.select("addr", "package", F.col("labels")[0].alias("first_label"))
+
+
+@register("SELECT '//static/' || n_regionkey || ':n' || n_nationkey AS addr, 'static/' || n_regionkey AS package FROM nation WHERE n_nationkey % 2 = 0")
+def q_static_targets(b: Bridge) -> DataFrame:
+    """A fixed list as a provider's targets; a label picks every second one."""
+    rows = [(f"//static/{r.n_regionkey}:n{r.n_nationkey}", f"static/{r.n_regionkey}", f"n{r.n_nationkey}", "exec", "static", 0, ["even"] if r.n_nationkey % 2 == 0 else [], False, True, 1, "x") for r in b.table("nation").collect()]  # a nation each
+    return query_language.query(catalog.relation(b.spark, "targets", rows), "//static/... && label(even)").select("addr", "package")
+
+
+@register(f"""WITH {PATHS}, vs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, 'v' || (page_id % 3) AS name, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS provider, min(page_id) AS page FROM pagepaths GROUP BY 1, 2, 3)
+SELECT package, name, CAST(page AS BIGINT) AS page FROM vs WHERE provider = 'even'""")
+def q_own_states(b: Bridge) -> DataFrame:
+    """States declared at a package itself, by one provider."""
+    package, provider = F.regexp_replace("path", "/[^/]*$", "").alias("package"), F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("provider")
+    states = b.url_paths().groupBy(package, F.concat(F.lit("v"), (F.col("page_id") % 3).cast("string")).alias("name"), provider).agg(F.min("page_id").cast("long").alias("page"))
+    return hierarchy.listed_states(states.select("package"), states, inherited=False, provider="even").select("package", "name", "page")
+
+
+@register(f"""WITH {PATHS}, st AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, min(page_id) AS page FROM pagepaths GROUP BY 1), host AS (SELECT min(split_part(path, '/', 1)) AS h FROM pagepaths),
+up AS (SELECT DISTINCT path AS package, unnest({UP.format(x='path')}) AS declared_at FROM pagepaths) SELECT up.package, declared_at, page FROM up JOIN st ON st.package = declared_at, host WHERE declared_at = h OR starts_with(declared_at, h || '/') QUALIFY row_number() OVER (PARTITION BY up.package ORDER BY length(declared_at) DESC) = 1""")
+def q_nearest_below_root(b: Bridge) -> DataFrame:
+    p = b.url_paths()
+    host = p.agg(F.min(F.split_part("path", F.lit("/"), F.lit(1)))).first()[0] or ""
+    states = p.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("package")).agg(F.min("page_id").alias("page"))
+    return hierarchy.nearest(p.select(F.col("path").alias("package")), states, root=host).select("package", "declared_at", "page")
+
+
+@register("""WITH s AS (SELECT user_id % 20 AS scenario, value AS ms, event_id % 2 AS side FROM events),
+x AS (SELECT scenario, avg(ms) AS bm, coalesce(stddev_samp(ms), 0) AS sd FROM s WHERE side = 0 GROUP BY 1), y AS (SELECT scenario, avg(ms) AS cm FROM s WHERE side = 1 GROUP BY 1),
+z AS (SELECT scenario, CASE WHEN bm > 0 THEN (cm - bm) / bm * 100 ELSE 0 END AS d, greatest(CASE WHEN scenario % 2 = 0 THEN scenario ELSE 8 END, CASE WHEN bm > 0 THEN 0.1 * (sd / bm * 100) ELSE 0 END) AS t FROM x JOIN y USING (scenario))
+SELECT scenario, round(t, 6) AS effective_threshold_pct, d > t AS regression FROM z""")
+def q_bench_thresholds(b: Bridge) -> DataFrame:
+    """Every second scenario has a threshold of its own."""
+    s = b.table("events").select((F.col("user_id") % 20).alias("scenario"), F.col("value").alias("ms"), (F.col("event_id") % 2).alias("side"))
+    own = s.where("scenario % 2 = 0").select("scenario", F.col("scenario").cast("double").alias("threshold_percent")).distinct()
+    found = aggregates.verdicts(s.where("side = 0"), s.where("side = 1"), own, noise_k=0.1)
+    return found.select("scenario", F.round("effective_threshold_pct", 6).alias("effective_threshold_pct"), "regression")

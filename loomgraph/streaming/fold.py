@@ -81,12 +81,6 @@ def type_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def windowed_counts(events: DataFrame, lateness: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Counts by event time; not in the reference, but what a dashboard over a long stream needs."""
-    at = (F.col("at_ms") / 1000).cast("timestamp")
-    return events.withColumn("at", at).withWatermark("at", lateness).groupBy(F.window("at", width), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "type", "n")
-
-
 def matched_set(announced: DataFrame) -> DataFrame:
     """(addr, complete) of announced targets (addr, complete), each once, as a stream in update mode: complete becomes true with the
     announcement that says it is the last. State is a flag for each target."""

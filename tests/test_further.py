@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import address, paths, tables
 from loomgraph.operators import aggregates, graph, hierarchy, merkle, selection, staging, store
 from loomgraph.plans import query_language as q
+from loomgraph.sources import sinks
 
 TARGETS = "addr string, package string, provider string, provider_ord int, labels array<string>"
 
@@ -145,3 +146,19 @@ def test_spans_in_any_order(spark):
     for order in itertools.islice(itertools.permutations(events), 0, 24, 5):
         frame = spark.createDataFrame(list(order), "addr string, phase string, at_ms long, seq long, type string")
         assert {(r.addr, r.open, r.since_ms) for r in aggregates.open_spans(frame).collect()} == {("a", False, 5), ("b", True, 3)}
+
+
+def test_shapes_and_streams_of_addresses(spark):
+    assert q.shape(q.parse("//a && !(label(x) || //b/...)")) == Counter({"package": 1, "and": 1, "not": 1, "or": 1, "label": 1, "prefix": 1})
+    frame = spark.createDataFrame([("//a:x",), ("//a:y",)], "addr string").orderBy("addr")
+    assert list(sinks.stream_addresses(frame)) == ["//a:x", "//a:y"]
+    t = address.parse_target_address("./b:c|out[*.{h,c}, x]", "a")
+    assert (str(t.ref), t.output, t.filters) == ("//a/b:c", "out", ("*.{h,c}", "x"))
+    with pytest.raises(ValueError):
+        address.parse_target_address("//a:b|")
+
+
+def test_strict_thresholds(spark):
+    spans = spark.createDataFrame([("a", "run", 0), ("b", "run", 5), ("c", "remote_cache_write", 0)], "addr string, phase string, since_ms long")
+    assert [r.addr for r in aggregates.running_over(spans, 10, 5).collect()] == ["a", "b"]
+    assert [r.addr for r in aggregates.running_over(spans, 10, 5, strict=True).collect()] == ["a"]
