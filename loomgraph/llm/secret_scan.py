@@ -18,8 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser as sre_parse
 
 import numpy as np
 import pyarrow as pa
@@ -73,62 +71,132 @@ def _needs(exact: set[str]) -> object:
     return _any([_all([("tri", s[i : i + 3].encode("latin-1")) for i in range(len(s) - 2)]) for s in sorted(exact)])
 
 
-def _node(op, arg) -> tuple[set[str] | None, object]:
-    """(the few strings that a part of the pattern stands for, or None; a query for the part)."""
-    if op is sre.LITERAL:
-        return {chr(arg).lower()}, True
-    if op is sre.IN:
-        chars = set()
-        for kind, value in arg:
-            if kind is sre.LITERAL:
-                chars.add(chr(value).lower())
-            elif kind is sre.RANGE and value[1] - value[0] < 8:
-                chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-            else:
-                return None, True
-        return (chars, True) if len(chars) <= 8 else (None, True)
-    if op is sre.SUBPATTERN:
-        return _sequence(arg[-1])
-    if op is sre.BRANCH:
-        parts = [_sequence(p) for p in arg[1]]
+Part = tuple[set[str] | None, object]
+#: A part that stands for anything, and one that stands for the empty string.
+ANY: Part = (None, True)
+EMPTY: Part = ({""}, True)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v"}
+
+
+class _Regex:
+    """Reads a regex; each part is (the few strings that it stands for, or None; a query for the part)."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def next_is(self, *starts: str) -> bool:
+        return self.text.startswith(starts, self.at)
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        if self.at > len(self.text):
+            raise ValueError(f"{self.text!r} ends too early")
+        return self.text[self.at - n : self.at]
+
+    def either(self) -> Part:
+        parts = [self.sequence()]
+        while self.next_is("|"):
+            self.take()
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
         if all(exact is not None for exact, _ in parts) and sum(len(e) for e, _ in parts) <= MOST_EXACT:
             return set().union(*(e for e, _ in parts)), True
         return None, _any([query if exact is None else _needs(exact) for exact, query in parts])
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-        least, most, item = arg
-        exact, query = _sequence(item)
+
+    def sequence(self) -> Part:
+        exact, queries, whole = {""}, [], True
+        while self.at < len(self.text) and not self.next_is("|", ")"):
+            mine, query = self.repeated()
+            if mine is not None and len(mine) * len(exact) <= MOST_EXACT:
+                exact = {a + b for a in exact for b in mine}
+                continue
+            queries += [_needs(exact), query if mine is None else True]
+            whole, exact = False, mine if mine is not None else {""}
+        return (exact, True) if whole else (None, _all([*queries, _needs(exact)]))
+
+    def repeated(self) -> Part:
+        part = self.atom()
+        while found := re.compile(r"[*+?]|\{(\d*)(,?)(\d*)\}").match(self.text, self.at):
+            self.take(len(found[0]))
+            if self.next_is("?", "+"):  # lazy or possessive
+                self.take()
+            least = {"*": 0, "+": 1, "?": 0}.get(found[0], int(found[1] or 0) if found[1] is not None else 0)
+            most = {"*": None, "+": None, "?": 1}.get(found[0], least if not found[2] else int(found[3]) if found[3] else None)
+            part = self.times(part, least, most)
+        return part
+
+    @staticmethod
+    def times(part: Part, least: int, most: int | None) -> Part:
+        exact, query = part
         if exact is not None and most == 1:
             return exact | ({""} if least == 0 else set()), True
         if least == 0:
-            return None, True
+            return ANY
         if exact is not None and least == most and len(exact) ** least <= MOST_EXACT:
             out = {""}
             for _ in range(least):
                 out = {a + b for a in out for b in exact}
             return out, True
         return None, query if exact is None else _needs(exact)
-    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
-        return {""}, True
-    return None, True
 
-
-def _sequence(items) -> tuple[set[str] | None, object]:
-    exact, queries, whole = {""}, [], True
-    for op, arg in items:
-        mine, query = _node(op, arg)
-        if mine is not None and len(mine) * len(exact) <= MOST_EXACT:
-            exact = {a + b for a in exact for b in mine}
-            continue
-        queries += [_needs(exact), query if mine is None else True]
-        whole, exact = False, mine if mine is not None else {""}
-    if whole:
-        return exact, True
-    return None, _all([*queries, _needs(exact)])
+    def atom(self) -> Part:
+        c = self.take()
+        if c == "(":
+            opening = re.compile(r"\?(?:[=!]|<[=!])|\?P<\w+>|\?[a-zA-Z-]*:|").match(self.text, self.at)[0]
+            self.take(len(opening))
+            inner = self.either()
+            if self.take() != ")":
+                raise ValueError(f"{self.text!r} has a group that isn't closed")
+            return EMPTY if opening in ("?=", "?!", "?<=", "?<!") else inner
+        if c == "[":
+            return self.chars()
+        if c in "^$":
+            return EMPTY
+        if c == ".":
+            return ANY
+        if c == "\\":
+            one = self.escaped()
+            return EMPTY if one == "" else ANY if one is None else ({one.lower()}, True)
+        return {c.lower()}, True
+
+    def escaped(self) -> str | None:
+        """The character behind a backslash; '' for a place, None for a class or a group that came before."""
+        c = self.take()
+        if c == "x":
+            return chr(int(self.take(2), 16))
+        if c in "bBAZ":
+            return ""
+        return _ESCAPED.get(c) if c.isalnum() else c
+
+    def chars(self) -> Part:
+        """A set of characters: those that it stands for, if they are few."""
+        found, start, known = set(), self.at, not self.next_is("^")
+        while self.at == start or not self.next_is("]"):
+            c = self.take()
+            c = self.escaped() if c == "\\" else c
+            if self.next_is("-") and self.text[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                last = self.take()
+                last = self.escaped() if last == "\\" else last
+                if not c or not last or ord(last) - ord(c) >= 8:
+                    known = False
+                else:
+                    found |= {chr(k).lower() for k in range(ord(c), ord(last) + 1)}
+            elif c:
+                found.add(c.lower())
+            else:
+                known = False
+        self.take()
+        return (found, True) if known and len(found) <= 8 else ANY
 
 
 def trigram_query(pattern: str) -> object:
     """The Boolean trigram query that every match of the pattern satisfies; True if there is none."""
-    exact, query = _sequence(sre_parse.parse(pattern))
+    regex = _Regex(pattern)
+    exact, query = regex.either()
+    if regex.at < len(pattern):
+        raise ValueError(f"{pattern!r} has a ')' too many")
     return query if exact is None else _needs(exact)
 
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,6 +60,30 @@ def test_secrets(spark):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.redact(docs.limit(0)).count() == 0
 
 
+def test_queries_of_regexes():
+    """Whatever a regex matches satisfies its query."""
+    tri = lambda *texts: ("and", tuple(("tri", t) for t in texts)) if len(texts) > 1 else ("tri", texts[0])
+    assert secret_scan.trigram_query("abcd") == tri(b"abc", b"bcd") and secret_scan.trigram_query("ab.") is True
+    assert secret_scan.trigram_query("(?i:ABC|xyz)[0-9]+") == ("or", (tri(b"abc"), tri(b"xyz")))
+    assert secret_scan.trigram_query(r"x(?:abc)?\x2e") is True and secret_scan.trigram_query("[^a]bcd{2}e*") == tri(b"bcd", b"cdd")
+    assert secret_scan.trigram_query("abc(?=def)") == tri(b"abc") and secret_scan.trigram_query("a{3}|[a-c]+") is True
+
+    def holds(query, text):
+        if query is True:
+            return True
+        kind, arg = query
+        return arg in text if kind == "tri" else (all if kind == "and" else any)(holds(q, text) for q in arg)
+
+    for kind, (pattern, _, _) in KINDS.items():
+        query = secret_scan.trigram_query(pattern.decode())
+        assert (query is True) == (kind == "hex")
+        for s in SECRETS:
+            assert not re.search(pattern, s.encode()) or holds(query, s.lower().encode())
+    for bad in ("(a", "a)", "[a"):
+        with pytest.raises(ValueError):
+            secret_scan.trigram_query(bad)
+
+
 def mixture_of(rows, max_epochs=4.0):
     """(doc_id, source, tokens, epoch, block, place) for rows (doc_id, text, source)."""
     md5 = lambda *x: hashlib.md5("|".join([*(str(y) for y in x if y is not None), "0"]).encode()).hexdigest()
