@@ -17,7 +17,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 class TargetFold(StatefulProcessor):
     """Folds a target's events in order of (at_ms, seq); emits changes of counters. State lives from the first event to the end of
-    the result: the kind of hit, whether it ran, and when it started; of a target that failed, that it did stays."""
+    the result: the kind of hit, whether it ran, and when it started; of a target that failed, that it did stays.
+
+    A failure that another one caused counts as blocked when it comes, also before that other one: which root it belongs to is
+    only told by the batch operators, which see all events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("target", "cached string, ran boolean, started_ms long, rooted boolean")
