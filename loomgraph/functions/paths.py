@@ -86,6 +86,21 @@ def join_rel_checked(base: str, rel: str, keep_slash: bool = True) -> str:
     return "/".join(out) + ("/" if keep_slash and rel.endswith("/") and out else "")
 
 
+def join_rel(base: Column | str, rel: Column | str) -> Column:
+    """join_rel_checked() as a Column; null where rel leaves the root."""
+    base, rel = _col(base), _col(rel)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("left"))
+
+    def step(state: Column, x: Column) -> Column:
+        done, up = state["done"], x == ".."
+        kept = F.when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when((x == "") | (x == "."), done).otherwise(F.concat(done, F.array(x)))
+        return F.struct(kept.alias("done"), (state["left"] | (up & (F.size(done) == 0))).alias("left"))
+
+    end = F.aggregate(F.concat(F.split(base, "/"), F.split(rel, "/")), start, step)
+    slash = F.when(F.endswith(rel, F.lit("/")) & (F.size(end["done"]) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(~end["left"], F.concat(F.array_join(end["done"], "/"), slash))
+
+
 def glob_to_regex(pattern: str) -> str:
     """The anchored regex of a glob: '*' and '?' stay in a component, '**' spans any number, {a,b} and [abc] choose."""
     out, i, depth_ = [], 0, 0

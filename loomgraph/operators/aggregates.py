@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths
 
 
+#: Milliseconds of events of one target that a task orders at once.
+SLOT_MS = 3_600_000
+
+
 def lives(events: DataFrame) -> DataFrame:
-    """events with `life`: how many results of the target ended before; a target starts anew after each."""
-    order = Window.partitionBy("addr").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("life", F.coalesce(F.count_if(F.col("type") == "result_end").over(order), F.lit(0)))
+    """events with `life`: how many results of the target ended before; a target starts anew after each.
+
+    Events are ordered by target and hour, and a row for each hour says how many results ended before it, so that a target with
+    a third of all events is spread over its hours."""
+    slot = ["addr", "_slot"]
+    rows = events.withColumn("_slot", F.coalesce(F.floor(F.col("at_ms") / SLOT_MS), F.lit(-1)))
+    ended = F.count_if(F.col("type") == "result_end")
+    earlier = Window.partitionBy("addr").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*slot).agg(ended.alias("_n")).select(*slot, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    order = Window.partitionBy(*slot).orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_here", F.coalesce(ended.over(order), F.lit(0))).join(before, slot)
+    return rows.withColumn("life", F.col("_here") + F.col("_before")).select(*events.columns, "life")
 
 
 def life_records(events: DataFrame) -> DataFrame:

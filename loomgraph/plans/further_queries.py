@@ -356,3 +356,11 @@ def q_bench_thresholds(b: Bridge) -> DataFrame:
     own = s.where("scenario % 2 = 0").select("scenario", F.col("scenario").cast("double").alias("threshold_percent")).distinct()
     found = aggregates.verdicts(s.where("side = 0"), s.where("side = 1"), own, noise_k=0.1)
     return found.select("scenario", F.round("effective_threshold_pct", 6).alias("effective_threshold_pct"), "regression")
+
+
+@register("""SELECT 'p' || p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'a/b/x' || p_partkey WHEN 1 THEN 'a/' || p_partkey || '/' WHEN 2 THEN p_type END AS joined FROM part""")
+def q_joined_paths(b: Bridge) -> DataFrame:
+    """Paths below a package, beside it, from the root, and one that leaves the root."""
+    k, text = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    rel = F.when(k == 0, F.concat(F.lit("./x"), text)).when(k == 1, F.concat(F.lit("../"), text, F.lit("/"))).when(k == 2, F.concat(F.lit("../..//"), "p_type")).otherwise(F.lit("../../../x"))
+    return b.table("part").select(_key("p", "p_partkey").alias("k"), paths.join_rel(F.lit("a/b"), rel).alias("joined"))

@@ -162,3 +162,22 @@ def test_strict_thresholds(spark):
     spans = spark.createDataFrame([("a", "run", 0), ("b", "run", 5), ("c", "remote_cache_write", 0)], "addr string, phase string, since_ms long")
     assert [r.addr for r in aggregates.running_over(spans, 10, 5).collect()] == ["a", "b"]
     assert [r.addr for r in aggregates.running_over(spans, 10, 5, strict=True).collect()] == ["a"]
+
+
+def test_joins_of_relative_paths(spark):
+    pairs = [("a/b", x) for x in ("", ".", "..", "../..", "../../..", "c/", "/", "../c//d/", "./../x/..", "..//..//..", "x/../../../y")] + [("", ".."), ("", "a/..")]
+
+    def checked(base, rel):
+        try:
+            return paths.join_rel_checked(base, rel)
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame(pairs, "b string, r string").select(paths.join_rel("b", "r").alias("j")).collect()
+    assert [r.j for r in got] == [checked(*p) for p in pairs]
+
+
+def test_lives_over_hours(spark):
+    events = [("a", k * 1_200_000, k, "result_end" if k % 4 == 3 else "local_hit") for k in range(40)] + [("b", None, 0, "result_end"), ("b", 5, 1, "local_hit")]
+    got = {(r.addr, r.seq): r.life for r in aggregates.lives(spark.createDataFrame(events, "addr string, at_ms long, seq long, type string")).collect()}
+    assert got == {("a", k): k // 4 for k in range(40)} | {("b", 0): 0, ("b", 1): 1}
