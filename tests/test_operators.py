@@ -83,7 +83,7 @@ def test_store(spark):
 def test_hierarchy_and_outputs(spark):
     loop = spark.createDataFrame([("a", "b", "l"), ("b", "a", None)], "name string, inherit string, goos string")
     with pytest.raises(ValueError):
-        hierarchy.inherit(loop, most_depth=5)
+        hierarchy.inherit(loop)
     out = spark.createDataFrame([("//a:a", "d/x", "copy", "exec"), ("//b:b", "d", "copy", "exec"), ("//c:c", "d-e", "copy", "exec"), ("//a:a", "d", "copy", "exec"), ("//e:e", "d", "none", "exec")], "addr string, path string, codegen string, driver string")
     got = {(r.addr, r.path, r.other_addr) for r in outputs.overlaps(out).collect()}
     assert got == {("//a:a", "d/x", "//b:b"), ("//a:a", "d", "//b:b")}
