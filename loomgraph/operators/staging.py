@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Staged tables are read by the session that wrote them, which knows whether a job ended well: no marker files.
+_OPTIONS = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 _written: list[tuple[SparkSession, str, str | None]] = []
 
 
@@ -34,7 +36,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back."""
     path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**_OPTIONS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +46,7 @@ def stage_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataF
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     table = f"loomgraph_{name}_{uuid.uuid4().hex}"
     _written.append((spark, path, table))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+    df.write.format("parquet").options(**_OPTIONS).option("path", path).bucketBy(buckets, column).saveAsTable(table)
     return spark.table(table)
 
 
