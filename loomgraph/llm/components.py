@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import stage
 
 
+#: Edges in one part of a round's table; rounds make fewer and fewer.
+EDGES = 500_000
+
+
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces a batch's edges by a star for each group that they connect; the centre is its smallest node."""
     for batch in batches:
@@ -42,13 +46,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     can split, never by gathering neighbours. Null and self edges are left out.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now, before = stage(edges.mapInArrow(_union_find, "a long, b long").distinct(), "edges"), None
+    now, before, parts = stage(edges.mapInArrow(_union_find, "a long, b long").distinct(), "edges"), None, None
     for _ in range(max_rounds):
         # two checksums of 64 bits: equal for different tables once in 2**128
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if not state[0] or state == before:
             break
-        before = state
+        before, parts = state, max(8, -(-state[0] // EDGES))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -56,7 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = stage(small.where("a <> b").distinct(), "edges")
+        now = stage(small.where("a <> b").distinct().coalesce(parts), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
