@@ -27,6 +27,8 @@ SCALE_BYTES, MOST_SCALE = 30 << 30, 16
 MOST_BUCKETS, BUCKET_BLOCKS = 100_000, 3
 #: Keys that are broadcast at most: those with more than one in HOT of all rows.
 HOT = 10_000
+#: Tasks that group what blocks send at most; with more parts a task gets several, one after the other.
+MOST_TASKS = 10_000
 #: Bytes of text that are hashed at once inside a block.
 SLICE_BYTES = 1 << 20
 
@@ -146,6 +148,14 @@ def with_mail(blocks: DataFrame, mail: list[DataFrame], work: Callable[[int, pa.
     return blocks.select("block", "payload").groupBy("block").cogroup(sent.select("block", "kind", "part", "data").groupBy("block")).applyInArrow(run, schema)
 
 
+def by_part(sent: DataFrame, parts: int, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What work() makes of all rows of each part (column part, numbers from 0 to about parts). Parts are dealt out evenly, one to
+    a task as long as there are not too many, and not by a hash that piles up several in one."""
+    tasks = min(parts, MOST_TASKS)
+    dealt = sent.withColumn("slot", F.pmod(F.col("part"), F.lit(tasks)).cast("int")).repartitionById(tasks, "slot")
+    return dealt.groupBy("slot", "part").applyInArrow(work, schema)
+
+
 def spark_schema(schema: str) -> pa.Schema:
     """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -161,4 +171,4 @@ def sharded(order: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     return [(k, slice(int(cuts[k]), int(cuts[k + 1]))) for k in range(shards) if cuts[k + 1] > cuts[k]]
 
 
-__all__ = ["Mail", "blocks_only", "pack_blocks", "release", "scale", "sharded", "spread_join", "stage", "texts", "with_mail"]
+__all__ = ["Mail", "blocks_only", "by_part", "pack_blocks", "release", "scale", "sharded", "spread_join", "stage", "texts", "with_mail"]

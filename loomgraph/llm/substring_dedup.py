@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
-from loomgraph.llm.common import blocks_only, pack_blocks, scale, sharded, stage, with_mail
+from loomgraph.llm.common import blocks_only, by_part, pack_blocks, scale, sharded, stage, with_mail
 from loomgraph.llm.hashing import NOT_SPACE, OTHER_BASE, U, WORD_BASE, mix
 
 #: Rows of the sketch, and cells a word in each row before rounding up to a power of two.
@@ -144,7 +144,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
             rows = []
             for part, where in _part_slices(cells, bits, part_bits):
                 local = cells[where] & U((1 << part_bits) - 1)
-                rows.append(((row << 56) | part, block, _bits(twice[where]) + _pack_gaps(local)))
+                rows.append((part * DEPTH + row, block, _bits(twice[where]) + _pack_gaps(local)))
             if rows:
                 yield _rows(["part", "block", "data"], rows)
 
@@ -160,10 +160,10 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
             counts[cells] += np.where(twice, np.uint8(2), np.uint8(1))
             counts[cells] = np.minimum(counts[cells], 2)
         part = table.column("part")[0].as_py()
-        back = [(block.as_py(), part >> 56, part & ((1 << 56) - 1), _bits(counts[split(data.as_py())[1]] > 1)) for block, data in zip(table.column("block"), table.column("data"), strict=True)]
+        back = [(block.as_py(), part % DEPTH, part // DEPTH, _bits(counts[split(data.as_py())[1]] > 1)) for block, data in zip(table.column("block"), table.column("data"), strict=True)]
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], back)])
 
-    sketched = stage(blocks_only(blocks, sketch, SENT).groupBy("part").applyInArrow(merge, MAIL), "sketch")
+    sketched = stage(by_part(blocks_only(blocks, sketch, SENT), DEPTH << (bits - part_bits), merge, MAIL), "sketch")
 
     def candidates(block: int, table: pa.Table, mail: common.Mail):
         first, second, _, _ = _windows(table, window)
@@ -196,7 +196,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         back = [(block.as_py(), DEPTH, part, _bits(twice[x:y])) for block, (x, y) in zip(table.column("block"), itertools.pairwise(cuts), strict=True)]
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], back)])
 
-    exact = stage(with_mail(blocks, [sketched], candidates, SENT).groupBy("part").applyInArrow(group, MAIL), "exact")
+    exact = stage(by_part(with_mail(blocks, [sketched], candidates, SENT), shards, group, MAIL), "exact")
     return blocks, [sketched, exact], {"bits": bits, "part_bits": part_bits, "shards": shards, "window": window}
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, hashing
-from loomgraph.llm.common import blocks_only, pack_blocks, scale, sharded, stage, with_mail
+from loomgraph.llm.common import blocks_only, by_part, pack_blocks, scale, sharded, stage, with_mail
 from loomgraph.llm.hashing import BYTE_BASE, BYTE_VALUES, U, fingerprints, grams, mix, prefix
 
 #: Positions among which a synchronising suffix is the smallest, and the length of the gram that is compared.
@@ -272,7 +272,7 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
         keys, counts, cuts = _gathered(table, 1)
         return pa.Table.from_batches([_batch(_MAIL, _back(table, BUCKETS, (refine(keys, counts)[0] > 1).astype(np.uint8), cuts))])
 
-    buckets = stage(blocks_only(blocks, send_buckets, SENT).groupBy("part").applyInArrow(group_buckets, MAIL), "buckets")
+    buckets = stage(by_part(blocks_only(blocks, send_buckets, SENT), shards, group_buckets, MAIL), "buckets")
 
     def send_runs(block: int, table: pa.Table, mail: common.Mail):
         pieces, piece, lo, hi, bucket = _all_runs(table, length)
@@ -307,7 +307,7 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
             out += [(k, MIXED, block.as_py(), led[s].tobytes()) for k, s in sharded(led, shards)]
         return pa.Table.from_batches([_batch(_MAIL, out)])
 
-    runs = stage(with_mail(blocks, [buckets], send_runs, SENT).groupBy("part").applyInArrow(group_runs, MAIL), "runs")
+    runs = stage(by_part(with_mail(blocks, [buckets], send_runs, SENT), shards, group_runs, MAIL), "runs")
 
     def meet(table: pa.Table) -> pa.Table:
         """Which buckets of runs that stand for a repeated text also hold a run that comes once."""
@@ -348,7 +348,7 @@ def repeated_suffixes(docs: DataFrame, length: int = 400, id_col: str = "doc_id"
         rows, counts, cuts = _gathered(table, 4)
         return pa.Table.from_batches([_batch(_MAIL, _back(table, SINGLE, (refine(rows, counts)[0] > 1).astype(np.uint8), cuts))])
 
-    single = stage(with_mail(blocks, [runs, mixed], send_single, SENT).groupBy("part").applyInArrow(group_single, MAIL), "single")
+    single = stage(by_part(with_mail(blocks, [runs, mixed], send_single, SENT), single_shards, group_single, MAIL), "single")
     return blocks, [runs, mixed, single]
 
 
