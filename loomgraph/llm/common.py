@@ -9,6 +9,7 @@ of that table and never change when a task is run again.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +30,21 @@ MOST_BUCKETS, BUCKET_BLOCKS = 100_000, 3
 HOT = 10_000
 #: Tasks that group what blocks send at most; with more parts a task gets several, one after the other.
 MOST_TASKS = 10_000
-#: Bytes of text that are hashed at once inside a block.
-SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+#: Bytes of text that are worked on at once; some ten arrays of eight bytes for each of them are in memory then.
+SLICE_BYTES = 1 << 19
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """The same frame, in a session whose Arrow batches hold BATCH_BYTES at most: by default they end after 10,000 rows, however
+    long these are, and every task holds some copies of a batch in the JVM and in Python. A smaller setting stays."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", frame.sparkSession
+    number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return frame
 
 
 def scale(n_bytes: int) -> float:
@@ -69,7 +83,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     from pyspark import TaskContext
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size_of_block = block_bytes or int(BLOCK_BYTES * scale(total))
 
@@ -171,4 +185,4 @@ def sharded(order: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     return [(k, slice(int(cuts[k]), int(cuts[k + 1]))) for k in range(shards) if cuts[k + 1] > cuts[k]]
 
 
-__all__ = ["Mail", "blocks_only", "by_part", "pack_blocks", "release", "scale", "sharded", "spread_join", "stage", "texts", "with_mail"]
+__all__ = ["Mail", "blocks_only", "bounded", "by_part", "pack_blocks", "release", "scale", "sharded", "spread_join", "stage", "texts", "with_mail"]

@@ -121,7 +121,7 @@ def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Ite
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id long, n_words long, n_hit long, items array<string> (sorted, null last), spans array<struct<start long, end long>>
     (runs of hit words, as code points of the original text), one row for each row of docs."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = common.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scanner(pairs: list[tuple[str | None, bytes]], first: bool, last: bool):
@@ -164,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs without any hit word, with all their columns: a pass over docs for each automaton, and no shuffle."""
-    place, context = docs.columns.index(text_col), docs.sparkSession.sparkContext
+    place, context = docs.columns.index(text_col), common.bounded(docs).sparkSession.sparkContext
 
     def cleaner(pairs: list[tuple[str | None, bytes]]):
         shared = context.broadcast(pairs)

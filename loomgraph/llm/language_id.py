@@ -189,7 +189,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                         names[k], scores[k] = net.labels[best[k]], min(max(float(total[k, best[k]]), 0.0), 1.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def _means(net: Network, tables, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -160,22 +160,18 @@ class _Verifier:
         words, size = self.docs.sparkSession.sparkContext.broadcast(_bit_filter(ids)), self.size
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
-        def maybe(batches):
+        def make(batches):
             for batch in batches:
                 at = batch.column("slot").to_numpy()
                 keep = words.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)
-                yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
-
-        def make(batches):
-            for batch in batches:
+                batch = batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
                 data, offsets = common.texts(batch.column(1))
                 for a, b in hashing.slices(offsets, common.SLICE_BYTES):
                     sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-        found = self.docs.where("doc_id is not null").withColumn("slot", slot).mapInArrow(maybe, "doc_id long, text string")
-        found = found.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return stage(found.mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+        found = self.docs.where("doc_id is not null").withColumn("slot", slot).mapInArrow(make, "id long, shingles binary")
+        return stage(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -201,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
 
     Documents are linked if 100 * shared shingles >= percent * shingles of either; component_id is the
     smallest doc_id that links reach."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = common.bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     signed = stage(docs.mapInArrow(_signed(shingle_words, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "signed")
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["fp1", "fp2", "n_shingles"]

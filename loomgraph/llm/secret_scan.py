@@ -288,7 +288,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
                 spans = pa.array([[{"kind": rules[k].kind, "start": x, "end": y} for x, k, y in s] for s in found], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), spans], names=["doc_id", "spans"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = common.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
@@ -309,9 +309,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scanner(rules)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, _, found in scan(batch.column(place)):
-                for row, spans in enumerate(found, a):
+            for a, b, found in scan(batch.column(place)):
+                part = batch.slice(a, b - a)
+                if not any(found):
+                    yield part
+                    continue
+                texts = part.column(place).to_pylist()
+                for row, spans in enumerate(found):
                     if spans:
                         out, at = [], 0
                         for x, _, y in spans:
@@ -319,9 +323,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
                                 out += [texts[row][at:x], mark]
                             at = max(at, y)
                         texts[row] = "".join([*out, texts[row][at:]])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(place).type) if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(place).type) if k == place else c for k, c in enumerate(part.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
 __all__ = ["BASE", "RULES", "Index", "Rule", "digest", "find_secrets", "redact", "spans_of", "trigram_query"]

@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), shared.value))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return common.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -245,7 +245,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(place), shared.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
 def scores(column, model: Model) -> np.ndarray:

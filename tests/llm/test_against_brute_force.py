@@ -376,3 +376,16 @@ def test_pipeline_stages(spark, tmp_path):
     for step in steps.values():
         assert step(spark, empty, sf).count() == 0
 
+
+
+def test_bytes_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64m", 8 << 20), ("4m", 4 << 20), ("5000b", 5000), ("1g", 8 << 20)):
+            spark.conf.set(key, given)
+            common.bounded(spark.range(1))
+            got = spark.conf.get(key)
+            assert got == (given if want != 8 << 20 else str(want))
+    finally:
+        spark.conf.set(key, before)
