@@ -86,6 +86,22 @@ def test_byte_strings_of_long_documents(spark):
     assert counted(suffix_dedup.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), digest_only=True)) == without_repeats([(d, t.encode()) for d, t in rows])
 
 
+def test_buckets_meet_without_a_message_for_each_block(spark, monkeypatch):
+    """Groups of runs send the groups that compare their buckets two messages at most, however many blocks there are."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [text(700) for _ in range(100)]
+    rows = [(k, text(900) + passages[k // 2] + text(900)) for k in range(200)]
+    monkeypatch.setattr(suffix_dedup.pack_blocks, "__defaults__", ("doc_id", "text", 3000))
+    staged, stage = {}, suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda frame, name: staged.setdefault(name, stage(frame, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(suffix_dedup.remove_repeated_strings(docs, digest_only=True)) == without_repeats([(d, t.encode()) for d, t in rows])
+    shards = 8
+    assert 0 < staged["runs"].where(f"kind = {suffix_dedup.MIXED}").count() <= 2 * shards**2
+    assert staged["mixed"].groupBy("block", "part").count().where("count > 1").isEmpty()
+
+
 def test_refinement():
     rng = np.random.default_rng(0)
     for columns in (1, 2, 4, 7):
