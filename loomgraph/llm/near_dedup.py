@@ -10,7 +10,8 @@
 5. Buckets that still hold several groups compare their classes across groups, in a grid of bounded
    chunks, so no link between groups is lost; a pair comes from the first bucket that both share, and pairs
    inside a group can't change the result and are not made. The group of the centre, which holds most of a large bucket,
-   is dealt apart from the rest and only meets the rest.
+   is dealt apart from the rest and only meets the rest. Buckets of one centre mostly hold the same classes: they meet
+   together, each class once, if that makes no more pairs than the buckets apart.
 
 Buckets and classes of any size are joined by common.spread_join(), which no hot key makes uneven.
 
@@ -40,7 +41,7 @@ BANDS, ROWS = 32, 4
 ELEMENTS = 1 << 17
 #: Estimated similarity under which a pair is not verified: over five standard deviations below 0.8.
 FAR = 0.2
-#: Members of a bucket that meet in one grid cell, from either side.
+#: Members of a bucket that meet in one grid cell, from either side, if it has up to 16 times as many.
 CHUNK = 256
 #: Bits of the filter that keeps documents without candidates out of the shuffle; a full one lets all pass.
 FILTER_BITS = 1 << 26
@@ -231,10 +232,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
         return frame.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     left = stage(grouped(members.select("id", "band", "key", "own", "h")), "left")
-    parts = left.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("h")).alias("major"))
-    several = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.when(F.col("major"), F.col("component"))).alias("major"), F.max(F.when(F.col("major"), F.col("n"))).alias("n_major"))
-    several = stage(several.where("parts > 1").drop("parts"), "several")
-    members_left = _promising_members(spread_join(left.drop("own", "h"), several, ["band", "key"], "n"), signatures, percent / 100, bands * rows)
+    left = left.withColumn("centre", F.col("own") == F.col("h")).drop("own")
+    several = stage(_several(left), "several")
+    # what meets around one centre: the buckets apart, or all of them at once if that makes no more pairs
+    around = spread_join(left, several.select("band", "key", "n"), ["band", "key"], "n").groupBy("h", "id")
+    around = around.agg(F.min("component").alias("component"), F.max("centre").alias("centre"), F.bit_or(_bit("band")).alias("mask"))
+    around = stage(around.withColumn("band", F.lit(-1)).withColumn("key", F.col("h")), "around")
+    squares = several.groupBy("h").agg(F.sum(F.col("n").cast("double") ** 2).alias("squares"))
+    merged = stage(_several(around).join(squares, "h").where("double(n) * n <= squares").drop("squares"), "merged")
+    apart = spread_join(left.withColumn("mask", _bit("band")).drop("h", "centre"), several.join(merged, "h", "left_anti").drop("h"), ["band", "key"], "n")
+    joint = spread_join(around.drop("h", "centre"), merged.drop("h"), ["band", "key"], "n")
+    members_left = _promising_members(apart.unionByName(joint), signatures, percent / 100, bands * rows)
     members_left = stage(members_left, "promising")
     if not members_left.isEmpty():
         more = _verified_across(members_left, verify.sets(members_left.select("id")), percent, percent / 100, bands * rows)
@@ -248,48 +256,74 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _bit(band: str):
+    """The bit of a band in a mask; bands that are 64 apart share one."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(band), F.lit(64)))
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Of the buckets (band, key) that hold several groups: h of their centre, members, the centre's group and its members."""
+    parts = members.groupBy("band", "key", "component").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.max("centre").alias("major"))
+    buckets = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.min("h").alias("h"), F.sum("n").alias("n"), F.max(F.when(F.col("major"), F.col("component"))).alias("major"), F.max(F.when(F.col("major"), F.col("n"))).alias("n_major"))
+    return buckets.where("parts > 1").drop("parts")
+
+
 def _candidates(table: pa.Table, threshold: float, m: int):
     """For each class i of the first chunk of a grid cell (i, classes j of the second): pairs of different groups whose
-    signatures are near, and whose first shared band is the cell's."""
-    ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+    signatures are near, and whose first shared band is one of those that meet in the cell."""
+    ids, component, mask = (table.column(c).to_numpy() for c in ("id", "component", "mask"))
     sig, keys = _signature_bytes(table.column("sig"), m)
-    chunk, band = table.column("chunk").to_numpy(), table.column("band")[0].as_py()
+    chunk = table.column("chunk").to_numpy()
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     cols = np.flatnonzero(chunk == y)
     for i in np.flatnonzero(chunk == x):
         js = cols[(component[cols] != component[i]) & ((ids[cols] > ids[i]) if x == y else True)]
         js = js[(sig[js] == sig[i]).mean(1) >= threshold - FAR] if len(js) else js
-        js = js[(keys[js] == keys[i]).argmax(1) == band] if len(js) else js
+        if len(js):
+            shared = keys[js] == keys[i]
+            js = js[shared.any(1) & ((mask[i] & mask[js]) >> (shared.argmax(1) & 63) & 1 == 1)]
         if len(js):
             yield int(i), js
 
 
-_CELL = "band int, key long, x int, y int, id long, component long, sig binary, chunk int"
+_CELL = "band int, key long, cell long, x int, y int, id long, component long, mask long, sig binary, chunk int"
+
+
+def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+    """What work() makes of the rows of each cell. The cells of a bucket have numbers in a row, and are dealt out by these: a hash
+    would pile up several in one task."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("slot", F.pmod(F.col("cell"), F.lit(tasks)).cast("int")).repartitionById(tasks, "slot")
+    return dealt.groupBy("slot", "band", "key", "x", "y").applyInArrow(work, schema)
 
 
 def _promising_members(left: DataFrame, signatures: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Members of buckets that hold several groups, dealt into a grid of chunks of CHUNK members; of each cell, those
-    that are near a member of another group. A row for each member and cell, however many pairs there are.
+    """Members of buckets that hold several groups, dealt into a grid of chunks; of each cell, those that are near a
+    member of another group. A row for each member and cell, however many pairs there are. Chunks have CHUNK members, and
+    grow with the root of larger buckets, so n members make rows as n**1.5.
 
     The centre's group has chunks -1, -2, ... that only meet those of the other groups, 0, 1, ..."""
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    size = CHUNK * F.greatest(F.lit(1.0), F.sqrt(F.col("n") / (16 * CHUNK)))
+    chunks = lambda n: F.ceil(n / size).cast("int")
     rest, own = chunks(F.col("n") - F.col("n_major")), chunks(F.col("n_major"))
     major = F.col("component") == F.col("major")
     dealt = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
     others = F.sequence(F.lit(0), rest - 1)
     rows = left.withColumn("chunk", F.when(major, -1 - dealt(own)).otherwise(dealt(rest)))
     rows = rows.withColumn("other", F.explode(F.when(major, others).otherwise(F.concat(others, F.sequence(-own, F.lit(-1))))))
-    rows = rows.select("band", "key", "id", "component", "chunk", "other").join(signatures, "id")
-    rows = rows.select("band", "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "component", "sig", "chunk")
+    rows = rows.withColumn("first", F.pmod(F.xxhash64("band", "key"), F.lit(1 << 32))).withColumn("own", F.coalesce(own, F.lit(0)).cast("long")).withColumn("rest", rest.cast("long"))
+    rows = rows.select("band", "key", "first", "own", "rest", "id", "component", "mask", "chunk", "other").join(signatures, "id")
+    x, y = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = rows.select("band", "key", (F.col("first") + (x + F.col("own")) * F.col("rest") + y).alias("cell"), x.alias("x"), y.alias("y"), "id", "component", "mask", "sig", "chunk")
 
     def meet(table: pa.Table) -> pa.Table:
         hit = np.zeros(table.num_rows, bool)
         for i, js in _candidates(table, threshold, m):
             hit[i] = True
             hit[js] = True
-        return table.filter(pa.array(hit))
+        return table.drop_columns("slot").filter(pa.array(hit))
 
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(meet, _CELL)
+    return _by_cell(rows, meet, _CELL)
 
 
 def _verified_across(members: DataFrame, sets: DataFrame, percent: int, threshold: float, m: int) -> DataFrame:
@@ -322,7 +356,7 @@ def _verified_across(members: DataFrame, sets: DataFrame, percent: int, threshol
                     b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.join(sets, "id").select("band", "key", "x", "y", "id", "component", "sig", "chunk", "shingles").groupBy("band", "key", "x", "y").applyInArrow(verify, "a long, b long")
+    return _by_cell(members.join(sets, "id").select("band", "key", "cell", "x", "y", "id", "component", "mask", "sig", "chunk", "shingles"), verify, "a long, b long")
 
 
 def distinct_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

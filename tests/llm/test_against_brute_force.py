@@ -309,6 +309,23 @@ def test_bucket_with_many_groups(spark, monkeypatch):
     assert got == want and 2 < len(set(want.values())) < 60
 
 
+def test_buckets_of_one_centre_meet_once(spark, monkeypatch):
+    """Near copies that share most bands meet once for each centre, and not once for each band."""
+    rng = random.Random(8)
+    base, rows = words_in(rng, 80), []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 9, 11])):
+            words[rng.randrange(80)] = rng.choice(base) + rng.choice("xyz")
+        rows.append((i, " ".join(words)))
+    made, promising = [], near_dedup._promising_members
+    monkeypatch.setattr(near_dedup, "_promising_members", lambda left, *a: made.append(left.count()) or promising(left, *a))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, bands=32, rows=1).collect()}
+    want = near_groups(rows, 2, 80)
+    assert got == want and 2 < len(set(want.values())) < 90
+    assert 90 <= made[0] < 32 * 90 / 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(7)
     vocabulary = words_in(rng, 400)
