@@ -14,6 +14,8 @@ from loomgraph.llm.common import stage
 
 #: Edges in one part of a round's table; rounds make fewer and fewer.
 EDGES = 500_000
+#: So many edges are settled in one task, at once; more need rounds, each of which costs the driver some ten plans.
+TOGETHER = 100_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,12 +40,18 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(roots[keep], pa.int64())], names=["a", "b"])
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all batches together."""
+    held = [*batches]
+    yield from _union_find(pa.Table.from_batches(held).combine_chunks().to_batches() if held else [])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a long, b long): the smallest node reachable.
 
-    Tasks first contract their own edges by union-find; then large-star and small-star rounds go on until
-    the edges stay as they are. Hubs are handled by minima with partial aggregation and joins that Spark
-    can split, never by gathering neighbours. Null and self edges are left out.
+    Tasks first contract their own edges by union-find, and one task the rest of them if there are TOGETHER at most; of
+    more, large-star and small-star rounds go on until the edges stay as they are. Hubs are handled by minima with
+    partial aggregation and joins that Spark can split, never by gathering neighbours. Null and self edges are left out.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     now, before, parts = stage(edges.mapInArrow(_union_find, "a long, b long").distinct(), "edges"), None, None
@@ -52,6 +60,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if not state[0] or state == before:
             break
+        if state[0] <= TOGETHER:
+            now = stage(now.coalesce(1).mapInArrow(_settled, "a long, b long"), "edges")
+            break
         before, parts = state, max(8, -(-state[0] // EDGES))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

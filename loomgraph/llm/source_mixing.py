@@ -39,16 +39,13 @@ def source_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
 
 
-def _bisect(shares: DataFrame, largest: float, holds) -> float:
-    """The smallest exponent in [0, 1] at which holds(measures) is true, if it holds from there on.
-
-    Measures of one exponent a: p = sum of share**a, e = sum of share**a * ln(share**a), and least = the least share."""
+def _bisect(holds) -> float:
+    """The smallest exponent in [0, 1] at which a condition holds, if it holds from there on; holds(grid) tells it for each
+    exponent of a list."""
     lo, hi = 0.0, 1.0
     for step in range(PASSES + 1):
         grid = [lo + (hi - lo) * k / (GRID + 1) for k in range(1, GRID + 1)] if step else [0.0]
-        power = lambda a: F.exp(F.lit(a) * F.ln("share"))
-        row = shares.agg(F.min("share").alias("least"), *(x for i, a in enumerate(grid) for x in (F.sum(power(a)).alias(f"p{i}"), F.sum(power(a) * F.lit(a) * F.ln("share")).alias(f"e{i}")))).first()
-        good = [holds(a, row[f"p{i}"], row[f"e{i}"], row["least"], largest) for i, a in enumerate(grid)]
+        good = holds(grid)
         if not step:
             if good[0]:
                 return 0.0
@@ -58,6 +55,13 @@ def _bisect(shares: DataFrame, largest: float, holds) -> float:
     return hi
 
 
+def _entropies(shares: DataFrame, grid: list[float]) -> list[float]:
+    """For each exponent the entropy of the shares raised to it."""
+    power = lambda a: F.exp(F.lit(a) * F.ln("share"))
+    row = shares.agg(*(x for i, a in enumerate(grid) for x in (F.sum(power(a)).alias(f"p{i}"), F.sum(power(a) * F.lit(a) * F.ln("share")).alias(f"e{i}")))).first()
+    return [math.log(row[f"p{i}"]) - row[f"e{i}"] / row[f"p{i}"] for i in range(len(grid))]
+
+
 def temperature(sizes: DataFrame, max_epochs: float | None = 4.0, target_entropy: float | None = None) -> float:
     """The exponent for sizes (source, tokens): see the module's text."""
     total, largest, n = sizes.agg(F.sum("tokens"), F.max("tokens"), F.count(F.when(F.col("tokens") > 0, 1))).first()
@@ -67,13 +71,12 @@ def temperature(sizes: DataFrame, max_epochs: float | None = 4.0, target_entropy
     alpha = 0.0
     if max_epochs is not None:
         # epochs relative to the largest source: (share / largest) ** (a - 1), the most for the least share
-        limit = math.log(max(max_epochs, 1.0))
-        alpha = _bisect(shares, largest / total, lambda a, p, e, least, top: (1 - a) * math.log(top / least) <= limit)
+        limit, top, least = math.log(max(max_epochs, 1.0)), largest / total, shares.agg(F.min("share")).first()[0]
+        alpha = _bisect(lambda grid: [(1 - a) * math.log(top / least) <= limit for a in grid])
     if target_entropy is not None:
         goal = min(target_entropy, math.log(n))
-        entropy = lambda p, e: math.log(p) - e / p
         # entropy falls as the exponent rises: the first exponent that is too low marks the bound
-        alpha = max(alpha, _bisect(shares, largest / total, lambda a, p, e, least, top: entropy(p, e) < goal))
+        alpha = max(alpha, _bisect(lambda grid: [x < goal for x in _entropies(shares, grid)]))
     return alpha
 
 

@@ -219,11 +219,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     if not n:
         return train([], [], window_words=window_words)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, TRAIN_CHARS))
-    # a fixed number of ids is broadcast, and as many texts of bounded length come back
+    # a fixed number of ids is broadcast, and as many texts of bounded length are learned from
     picked = rows.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS).unionByName(rows.where("_y = 0").orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     once = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    found = sorted((r._id, r._text, r._y) for r in once.collect())
-    return train([t for _, t, _ in found], [y for _, _, y in found], (n_toxic + 1) / (n + 2), window_words=window_words)
+    prior = (n_toxic + 1) / (n + 2)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in ("_id", "_text", "_y")), strict=True))
+        model = train([t for _, t, _ in found], [y for _, _, y in found], prior, window_words=window_words)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift))], names=["weights", "bias", "slope", "shift"])
+
+    # one task learns, so that neither the texts nor what training needs are in the driver's memory
+    row = common.bounded(once).coalesce(1).mapInArrow(learn, "weights binary, bias double, slope double, shift double").first()
+    if row is None:  # no rows, no task
+        return train([], [], prior, window_words=window_words)
+    return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.shift, window_words)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
